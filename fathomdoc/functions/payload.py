@@ -29,6 +29,11 @@ def is_scalar(value: Column) -> Column:
     return kind(value).isin("STRING", "BOOLEAN", "NUMBER")
 
 
+def overlay(first: Column, second: Column) -> Column:
+    """Both maps; the second wins."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)
+
+
 def field(value: Column, name: str, type_name: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", type_name)
 

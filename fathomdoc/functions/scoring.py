@@ -23,10 +23,12 @@ def similarity_percent(distance: Column, index: Column, zero_distance_quirk: boo
 
 def lexical_score(query: Column, content: Column, index: Column) -> Column:
     """Word overlap score of a passage at 0-based rank ``index``, one decimal."""
-    wanted = X.keywords(query)
-    wanted_set = F.array_distinct(wanted)
-    hits = F.size(F.filter(X.words(content), lambda w: F.array_contains(wanted_set, w)))
-    ratio = F.when(F.size(wanted) > 0, hits / F.size(wanted)).otherwise(0.0)
+    # Bound once per row: inside the inner lambda the query would be split again for every word.
+    bound = F.struct(X.keywords(query).alias("wanted"), X.words(content).alias("words"))
+    bound = F.struct(F.array_distinct(bound["wanted"]).alias("set"), F.size(bound["wanted"]).alias("n"),
+                     bound["words"].alias("words"))
+    ratio = F.get(F.transform(F.array(bound), lambda b: F.when(b["n"] > 0, F.size(
+        F.filter(b["words"], lambda w: F.array_contains(b["set"], w))) / b["n"]).otherwise(0.0)), F.lit(0))
     overlap = ratio * 60 + 30 - index * 3 + (F.length(content) % 10 - 5)
     score = (
         F.when((F.coalesce(F.length(query), F.lit(0)) == 0) | (F.coalesce(F.length(content), F.lit(0)) == 0),

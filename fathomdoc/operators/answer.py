@@ -18,11 +18,24 @@ def classify_questions(df: DataFrame, question: str = "question") -> DataFrame:
         "clean_question", F.when(F.col("status") == "ok", X.sanitize(X.strip(F.col(question)))))
 
 
-def build_context(hits: DataFrame, content: str = "content", rank: str = "retrieval_rank") -> DataFrame:
-    """One row per query: hit texts in rank order, joined by a blank line. Hits per query are at most top k."""
+def context_of(content: str = "content", rank: str = "retrieval_rank") -> Column:
+    """Aggregate: hit texts in rank order, joined by a blank line. Hits per query are at most top k."""
     ranked = F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(content).alias("t"))))
-    return hits.groupBy("query_id").agg(
-        F.array_join(F.transform(ranked, lambda h: h["t"]), "\n\n").alias("context"))
+    return F.array_join(F.transform(ranked, lambda h: h["t"]), "\n\n")
+
+
+def sources_of(size: int = DEFAULTS.source_snippet_chars) -> Column:
+    """Aggregate: array of a query's sources, best first."""
+    return F.sort_array(F.collect_list(F.struct(
+        F.col("retrieval_rank"),
+        X.snippet(F.col("content"), size).alias("content"),
+        X.source_or_unknown(F.col("source")).alias("source"),
+        F.col("rerank_score"),
+    )))
+
+
+def build_context(hits: DataFrame, content: str = "content", rank: str = "retrieval_rank") -> DataFrame:
+    return hits.groupBy("query_id").agg(context_of(content, rank).alias("context"))
 
 
 def rag_prompt(context: Column, question: Column) -> Column:
@@ -37,14 +50,7 @@ def build_prompts(questions: DataFrame, contexts: DataFrame, question: str = "qu
 
 
 def ranked_sources(hits: DataFrame, size: int = DEFAULTS.source_snippet_chars) -> DataFrame:
-    """One row per query with the array of its sources, best first."""
-    entry = F.struct(
-        F.col("retrieval_rank"),
-        X.snippet(F.col("content"), size).alias("content"),
-        X.source_or_unknown(F.col("source")).alias("source"),
-        F.col("rerank_score"),
-    )
-    return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("sources"))
+    return hits.groupBy("query_id").agg(sources_of(size).alias("sources"))
 
 
 def extractive_answers(prompts: Sequence[str]) -> list[str]:

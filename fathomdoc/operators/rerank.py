@@ -52,8 +52,25 @@ def parse_scores(results: DataFrame, item: str = "item") -> DataFrame:
     )
 
 
+def best_scored(candidates: DataFrame, top_n: int = DEFAULTS.rerank_top_k) -> DataFrame:
+    """Best ``top_n`` candidates by a score column of their own (null: no score), ties in vector order.
+
+    Same columns as ``rerank``, without a join.
+    """
+    query = Window.partitionBy("query_id")
+    position = F.row_number().over(query.orderBy(F.col("score").desc_nulls_last(), "cand_idx"))
+    scored = F.max(F.col("score").isNotNull()).over(query)
+    place = F.when(F.col("_scored"), position).otherwise(F.col("cand_idx") + 1)
+    ranked = candidates.withColumn("_scored", scored).withColumn("retrieval_rank", place)
+    return (
+        ranked.filter((F.col("retrieval_rank") <= max(1, top_n)) & (F.col("score").isNotNull() | ~F.col("_scored")))
+        .withColumn("rerank_position", F.when(F.col("_scored"), F.col("retrieval_rank")))
+        .withColumnRenamed("score", "rerank_score").drop("_scored")
+    )
+
+
 def rerank(candidates: DataFrame, scores: DataFrame, top_n: int = DEFAULTS.rerank_top_k) -> DataFrame:
-    """Best ``top_n`` candidates (query_id, cand_idx 0-based, ...) by score.
+    """Best ``top_n`` candidates (query_id, cand_idx 0-based, ...) by the scores of a reranker's response.
 
     Adds rerank_score, rerank_position and retrieval_rank. A position counts scores, so one that points outside
     the candidates leaves a gap. A query without usable scores keeps its first candidates, with null score and

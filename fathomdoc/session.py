@@ -41,3 +41,9 @@ def table_within(df: DataFrame, bound: int):
     """The rows as an Arrow table if there are at most ``bound``, else None; fetches at most bound + 1."""
     table = df.limit(bound + 1).toArrow()
     return table if table.num_rows <= bound else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than cores is dealt out to all cores before costly work; larger scans stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

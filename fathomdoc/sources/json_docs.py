@@ -37,11 +37,6 @@ def _scalars(value: Column, *skip: str) -> Column:
     return _as_strings(F.map_filter(_fields(value), lambda k, v: ~k.isin(*skip) & P.is_scalar(v)))
 
 
-def _overlay(first: Column, second: Column) -> Column:
-    """Both maps; the second wins."""
-    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)
-
-
 def _has(value: Column, key: str) -> Column:
     return (P.kind(value) == "OBJECT") & F.coalesce(F.map_contains_key(_fields(value), key), F.lit(False))
 
@@ -98,7 +93,7 @@ def json_documents(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -
     own = P.field(c("_v"), "content", "string")
     metadata = F.coalesce(_as_strings(_fields(P.field(c("_v"), "metadata"))),
                           F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))
-    from_content = F.array(_entry(own, extra=_overlay(metadata, _scalars(c("_v"), "content", "metadata"))))
+    from_content = F.array(_entry(own, extra=P.overlay(metadata, _scalars(c("_v"), "content", "metadata"))))
     from_chunks = F.filter(
         F.transform(chunks, lambda v, i: _entry(F.when(P.kind(v) == "STRING", v.try_cast("string")), chunk_index=i)),
         lambda e: e["text"].isNotNull())

@@ -17,22 +17,25 @@ from fathomdoc.operators.chunking import recursive_chunks
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.skew import union_all
 from fathomdoc.sources.collection import append_collection, assign_ids
-from fathomdoc.sources.files import decoded_files, plain_path, text_documents
+from fathomdoc.sources.files import Extractor, decoded_files, docx_text, extract_documents, plain_path, text_documents
 from fathomdoc.sources.json_docs import json_documents
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EXTRACTORS = {".docx": docx_text}
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def passages_of(files: DataFrame, fn: EmbedFn, batch_ms: int) -> DataFrame:
+def passages_of(files: DataFrame, fn: EmbedFn, batch_ms: int,
+                extractors: dict[str, Extractor] = EXTRACTORS) -> DataFrame:
     """Binary files to passages with ids and embeddings."""
     ending = X.suffix(F.col("path"))
     texts = text_documents(decoded_files(files.filter(ending == ".txt")))
     jsons, _ = json_documents(decoded_files(
         files.filter((ending == ".json") & (F.col("length") <= DEFAULTS.max_json_bytes))))
-    documents = union_all([jsons, texts])
+    extracted, _ = extract_documents(files, extractors)
+    documents = union_all([jsons, texts, extracted])
     # Position of a passage: file, place in the file, number in the document.
-    place = F.concat_ws("_", F.coalesce("chunk_index", "item_index", F.lit(0)).cast("string"))
+    place = F.coalesce("chunk_index", "item_index", "page", F.lit(0)).cast("string")
     chunks = recursive_chunks(documents, "text").withColumn("doc_key", F.concat_ws("_", F.sha2("source", 256), place))
     return embed(assign_ids(chunks.drop("text"), batch_ms, ["doc_key", "chunk_no"]), "chunk_text", fn)
 
