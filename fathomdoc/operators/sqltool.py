@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions import fixed, text as X
+from fathomdoc.session import once
 
 QUOTED_OR_COMMENT = re.compile(
     r"""(?P<quoted>'(?:[^']|'')*+(?:'|\Z)|"(?:[^"]|"")*+(?:"|\Z))|(?P<line>--[^\n]*(?P<end>\n)?)|(?P<block>/\*)""")
@@ -55,9 +56,9 @@ def _only_where(needed: Column, fn, sql: Column) -> Column:
 def validate_select(df: DataFrame, sql: str = "sql", max_chars: int = DEFAULTS.sql_max_chars) -> DataFrame:
     """Adds ok, reason and normalised for a column of query texts; the first rule that fails gives the reason."""
     c = F.col
-    ascii_only = df.withColumn("_n", _only_where(c(sql).rlike(r"[^\x00-\x7F]"), _compatible, c(sql)))
-    bare = ascii_only.withColumn("_c", X.strip(_only_where(c("_n").rlike(r"--|/\*"), _uncommented, c("_n"))))
-    one = bare.withColumn("_q", X.strip(F.regexp_replace("_c", r";\s*$", "")))
+    ascii_only = once(df, _n=_only_where(c(sql).rlike(r"[^\x00-\x7F]"), _compatible, c(sql)))
+    bare = once(ascii_only, _c=X.strip(_only_where(c("_n").rlike(r"--|/\*"), _uncommented, c("_n"))))
+    one = once(bare, _q=X.strip(F.regexp_replace("_c", r";\s*$", "")))
     words = r"(?i)\b(" + "|".join(fixed.FORBIDDEN_WORDS) + r")\b"
     reason = (
         F.when(c(sql).isNull(), fixed.EMPTY)
@@ -69,7 +70,7 @@ def validate_select(df: DataFrame, sql: str = "sql", max_chars: int = DEFAULTS.s
         .when(~c("_q").rlike(r"(?i)^(select|with)\b"), fixed.NOT_SELECT)
     )
     return (
-        one.withColumn("reason", reason)
+        once(one, reason=reason)
         .withColumn("ok", c("reason").isNull())
         .withColumn("normalised", F.when(c("ok"), c("_q")))
         .drop("_n", "_c", "_q")

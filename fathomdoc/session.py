@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,3 +47,12 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer files than cores is dealt out to all cores before costly work; larger scans stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often later expressions use them.
+
+    Plain projections are merged by the optimizer, which repeats a costly expression at every use; a generator of
+    one row is not merged.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

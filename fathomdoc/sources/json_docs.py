@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions import payload as P, text as X
 from fathomdoc.schemas import DOCUMENTS
+from fathomdoc.session import once
 
 BASE_KEYS = ("source", "file_type", "file_name")
 ENTRY = ("array<struct<text:string,chunk_index:int,item_index:int,json_structure:string,"
@@ -64,38 +65,39 @@ def json_documents(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -
     """
     c = F.col
     small = c("length") <= max_bytes
-    parsed = (
-        files.withColumn("_v", P.strict_json(F.when(small, c("body"))))
-        .withColumn("_kind", P.kind(c("_v")))
-        .withColumn("_content", (c("_kind") == "OBJECT") & _has(c("_v"), "content"))
-        .withColumn("_meta", P.kind(P.field(c("_v"), "metadata")))
-    )
+    parsed = once(files, _v=P.strict_json(F.when(small, c("body"))))
+    parsed = once(parsed, _kind=P.kind(c("_v")), _fields=F.when(P.kind(c("_v")) == "OBJECT", _fields(c("_v"))))
+    parsed = once(parsed, _content=F.coalesce(F.map_contains_key("_fields", "content"), F.lit(False)),
+                  _meta=F.element_at("_fields", "metadata"))
     reason = (
         F.when(~small, "too large")
         .when(c("_v").isNull(), "invalid JSON")
-        .when(c("_content") & (P.kind(P.field(c("_v"), "content")) != "STRING"), "content is no text")
-        .when(c("_content") & _has(c("_v"), "metadata") & (c("_meta") != "OBJECT"), "metadata is no object")
+        .when(c("_content") & (P.kind(F.element_at("_fields", "content")) != "STRING"), "content is no text")
+        .when(c("_content") & F.map_contains_key("_fields", "metadata") & (P.kind(c("_meta")) != "OBJECT"),
+              "metadata is no object")
     )
-    judged = parsed.withColumn("reason", reason)
+    judged = once(parsed, reason=reason)
     rejects = judged.filter("reason IS NOT NULL").select("path", "reason")
 
-    items = F.try_variant_get("_v", "$", "array<variant>")
-    chunks = F.try_variant_get("_v", "$.chunks", "array<variant>")
-    raw = F.from_json("body", "array<string>")
-    plain = F.transform(items, lambda v, i: F.when(~_has(v, "content") & (P.kind(v) != "STRING"),
-                                                   F.coalesce(F.get(raw, i), F.lit("null"))))
     listed = c("_kind") == "ARRAY"
-    is_chunks = (c("_kind") == "OBJECT") & ~c("_content") & chunks.isNotNull()
+    ready = once(
+        judged.filter("reason IS NULL"),
+        _items=F.when(listed, F.try_variant_get("_v", "$", "array<variant>")),
+        _raw=F.when(listed, F.from_json("body", "array<string>")),
+        _chunks=F.when((c("_kind") == "OBJECT") & ~c("_content"),
+                       F.try_variant_get("_v", "$.chunks", "array<variant>")))
+    is_chunks = c("_chunks").isNotNull()
     whole = ~listed & ~c("_content") & ~is_chunks
-    ready = judged.filter("reason IS NULL").withColumn(
-        "_pretty", _pretty(F.when(listed, plain).when(whole, F.array("body"))))
+    plain = F.transform("_items", lambda v, i: F.when(~_has(v, "content") & (P.kind(v) != "STRING"),
+                                                      F.coalesce(F.get("_raw", i), F.lit("null"))))
+    ready = ready.withColumn("_pretty", _pretty(F.when(listed, plain).when(whole, F.array("body"))))
 
-    own = P.field(c("_v"), "content", "string")
-    metadata = F.coalesce(_as_strings(_fields(P.field(c("_v"), "metadata"))),
+    own = F.element_at("_fields", "content").try_cast("string")
+    metadata = F.coalesce(_as_strings(_fields(c("_meta"))),
                           F.map_from_arrays(F.array(), F.array()).cast("map<string,string>"))
     from_content = F.array(_entry(own, extra=P.overlay(metadata, _scalars(c("_v"), "content", "metadata"))))
     from_chunks = F.filter(
-        F.transform(chunks, lambda v, i: _entry(F.when(P.kind(v) == "STRING", v.try_cast("string")), chunk_index=i)),
+        F.transform("_chunks", lambda v, i: _entry(F.when(P.kind(v) == "STRING", v.try_cast("string")), chunk_index=i)),
         lambda e: e["text"].isNotNull())
     from_whole = F.array(_entry(F.get("_pretty", F.lit(0)),
                                 structure=F.when(c("_kind") == "OBJECT", F.lit("object"))))
@@ -109,9 +111,9 @@ def json_documents(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -
             .otherwise(_entry(F.get("_pretty", i), item_index=i))
         )
 
-    each = F.transform(items, from_item)
-    first_bad = F.array_position(F.transform(each, lambda e: e["text"].isNull()), True)
-    from_items = F.when(first_bad > 0, F.slice(each, F.lit(1), first_bad.cast("int") - 1)).otherwise(each)
+    ready = once(ready, _each=F.transform("_items", from_item))
+    first_bad = F.array_position(F.transform("_each", lambda e: e["text"].isNull()), True)
+    from_items = F.when(first_bad > 0, F.slice("_each", F.lit(1), first_bad.cast("int") - 1)).otherwise(c("_each"))
     entries = (
         F.when(listed, from_items).when(c("_content"), from_content).when(is_chunks, from_chunks).otherwise(from_whole)
     )
