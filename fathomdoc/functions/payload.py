@@ -3,19 +3,22 @@
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_json(text: Column) -> Column:
     """Variant, or null for anything that is not exactly one JSON value.
 
-    The parser stops after the first value; wrapped twice, trailing text cannot parse.
+    The parser stops after the first value; wrapped in two ways, trailing text cannot parse.
     """
     in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_array.isNotNull() & in_object.isNotNull(), F.try_parse_json(text))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_array, "$[0]", "variant"))
 
 
-def kind(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, VOID or OTHER."""
-    schema = F.schema_of_variant(value)
+def _kind_of(schema: Column) -> Column:
     return (
         F.when(schema.startswith("OBJECT"), "OBJECT")
         .when(schema.startswith("ARRAY"), "ARRAY")
@@ -25,6 +28,11 @@ def kind(value: Column) -> Column:
     )
 
 
+def kind(value: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, VOID or OTHER; null for null."""
+    return F.when(value.isNotNull(), let(F.schema_of_variant(value), _kind_of))
+
+
 def is_scalar(value: Column) -> Column:
     return kind(value).isin("STRING", "BOOLEAN", "NUMBER")
 
@@ -40,25 +48,24 @@ def field(value: Column, name: str, type_name: str = "variant") -> Column:
 
 def truthy(value: Column) -> Column:
     """What a script language takes for true: not null, zero, false or empty."""
-    text = value.try_cast("string")
-    return F.coalesce(
-        F.when(kind(value) == "NUMBER", value.try_cast("double") != 0)
-        .when(kind(value) == "BOOLEAN", value.try_cast("boolean"))
-        .when(kind(value) == "STRING", F.length(text) > 0)
-        .when(kind(value) == "OBJECT", text != "{}")
-        .when(kind(value) == "ARRAY", text != "[]"),
-        F.lit(False),
-    )
+    def judge(v):
+        return (
+            F.when(v["kind"] == "NUMBER", v["text"].try_cast("double") != 0)
+            .when(v["kind"] == "BOOLEAN", v["text"] == "true")
+            .when(v["kind"] == "STRING", F.length(v["text"]) > 0)
+            .otherwise(~v["text"].isin("{}", "[]"))
+        )
+
+    bound = F.struct(kind(value).alias("kind"), value.try_cast("string").alias("text"))
+    return F.coalesce(let(bound, judge), F.lit(False))
 
 
 def object_or_null(text: Column) -> Column:
-    value = strict_json(text)
-    return F.when(kind(value) == "OBJECT", value)
+    return let(strict_json(text), lambda value: F.when(kind(value) == "OBJECT", value))
 
 
-def error_text(text: Column) -> Column:
-    """``error: detail``, ``error`` or null."""
-    payload = object_or_null(text)
+def error_of(payload: Column) -> Column:
+    """``error: detail``, ``error`` or null, of an object."""
     error, detail = field(payload, "error"), field(payload, "detail")
     label = error.try_cast("string")
     return F.when(
@@ -67,10 +74,9 @@ def error_text(text: Column) -> Column:
     )
 
 
-def tool_arguments(text: Column) -> Column:
-    """Arguments as a map of JSON scalars; anything but an object gives an empty map."""
-    value = object_or_null(text)
-    return F.coalesce(value.try_cast("map<string,string>"), F.map_from_arrays(F.array(), F.array()).cast(
+def arguments_of(payload: Column) -> Column:
+    """Fields of an object as strings; without an object an empty map."""
+    return F.coalesce(payload.try_cast("map<string,string>"), F.map_from_arrays(F.array(), F.array()).cast(
         "map<string,string>"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from fathomdoc.functions import text as X
+from fathomdoc.functions.payload import let
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -24,11 +25,10 @@ def similarity_percent(distance: Column, index: Column, zero_distance_quirk: boo
 def lexical_score(query: Column, content: Column, index: Column) -> Column:
     """Word overlap score of a passage at 0-based rank ``index``, one decimal."""
     # Bound once per row: inside the inner lambda the query would be split again for every word.
-    bound = F.struct(X.keywords(query).alias("wanted"), X.words(content).alias("words"))
-    bound = F.struct(F.array_distinct(bound["wanted"]).alias("set"), F.size(bound["wanted"]).alias("n"),
-                     bound["words"].alias("words"))
-    ratio = F.get(F.transform(F.array(bound), lambda b: F.when(b["n"] > 0, F.size(
-        F.filter(b["words"], lambda w: F.array_contains(b["set"], w))) / b["n"]).otherwise(0.0)), F.lit(0))
+    wanted = X.keywords(query)
+    bound = F.struct(F.array_distinct(wanted).alias("set"), F.size(wanted).alias("n"), X.words(content).alias("words"))
+    ratio = let(bound, lambda b: F.when(b["n"] > 0, F.size(
+        F.filter(b["words"], lambda w: F.array_contains(b["set"], w))) / b["n"]).otherwise(0.0))
     overlap = ratio * 60 + 30 - index * 3 + (F.length(content) % 10 - 5)
     score = (
         F.when((F.coalesce(F.length(query), F.lit(0)) == 0) | (F.coalesce(F.length(content), F.lit(0)) == 0),
@@ -45,11 +45,12 @@ def display_score(similarity: Column, query: Column, content: Column, index: Col
 
 
 def retry_after(oldest_us: Column, now_us: Column, window_seconds: int, round_up: bool) -> Column:
-    """Seconds until the oldest retained request leaves the window.
+    """Seconds until the oldest retained request leaves the window; null where none is retained.
 
     The whole-service rule cuts the fraction off; the per-client rule (``round_up``) adds one.
     """
     left = oldest_us + window_seconds * 1_000_000 - now_us
     # truncation towards zero, as int() does
     seconds = (left / 1_000_000).cast("bigint")
-    return F.greatest(F.lit(0), seconds + 1 if round_up else seconds).cast("bigint")
+    rounded = seconds + 1 if round_up else seconds
+    return F.when(oldest_us.isNotNull(), F.greatest(F.lit(0), rounded)).cast("bigint")

@@ -13,6 +13,7 @@ from fathomdoc.session import once
 
 QUOTED_OR_COMMENT = re.compile(
     r"""(?P<quoted>'(?:[^']|'')*+(?:'|\Z)|"(?:[^"]|"")*+(?:"|\Z))|(?P<line>--[^\n]*(?P<end>\n)?)|(?P<block>/\*)""")
+NOT_ASCII = r"[^\x00-\x7F]"
 BLOCK_EDGE = re.compile(r"/\*|\*/")
 
 
@@ -53,16 +54,14 @@ def _only_where(needed: Column, fn, sql: Column) -> Column:
     return F.coalesce(fn(F.when(needed, sql)), sql)
 
 
-def validate_select(df: DataFrame, sql: str = "sql", max_chars: int = DEFAULTS.sql_max_chars) -> DataFrame:
-    """Adds ok, reason and normalised for a column of query texts; the first rule that fails gives the reason."""
+def _judged(df: DataFrame, sql: str, max_chars: int) -> DataFrame:
+    """The rules over ``_n`` (compatible form) and ``_c`` (without comments)."""
     c = F.col
-    ascii_only = once(df, _n=_only_where(c(sql).rlike(r"[^\x00-\x7F]"), _compatible, c(sql)))
-    bare = once(ascii_only, _c=X.strip(_only_where(c("_n").rlike(r"--|/\*"), _uncommented, c("_n"))))
-    one = once(bare, _q=X.strip(F.regexp_replace("_c", r";\s*$", "")))
+    one = once(df, _q=X.strip(F.regexp_replace("_c", r";\s*$", "")))
     words = r"(?i)\b(" + "|".join(fixed.FORBIDDEN_WORDS) + r")\b"
     reason = (
         F.when(c(sql).isNull(), fixed.EMPTY)
-        .when(c("_n").rlike(r"[^\x00-\x7F]"), fixed.NOT_ASCII)
+        .when(c("_n").rlike(NOT_ASCII), fixed.NOT_ASCII)
         .when(F.length("_n") > max_chars, fixed.TOO_LONG.format(max_chars))
         .when(F.length("_c") == 0, fixed.EMPTY)
         .when(F.contains(c("_q"), F.lit(";")), fixed.MANY_STATEMENTS)
@@ -77,6 +76,14 @@ def validate_select(df: DataFrame, sql: str = "sql", max_chars: int = DEFAULTS.s
     )
 
 
+def validate_select(df: DataFrame, sql: str = "sql", max_chars: int = DEFAULTS.sql_max_chars) -> DataFrame:
+    """Adds ok, reason and normalised for a column of query texts; the first rule that fails gives the reason."""
+    c = F.col
+    known = once(df, _n=_only_where(c(sql).rlike(NOT_ASCII), _compatible, c(sql)))
+    bare = once(known, _c=X.strip(_only_where(c("_n").rlike(r"--|/\*"), _uncommented, c("_n"))))
+    return _judged(bare, sql, max_chars)
+
+
 def row_limit(requested: int | None, most: int = DEFAULTS.sql_max_rows) -> int:
     return min(requested, most) if requested and requested > 0 else most
 
@@ -90,17 +97,24 @@ def cap_rows(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return df.limit(n), summary
 
 
+def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
+    """One read-only statement; ``args`` fill named parameters such as ``:low``. A refused one raises ValueError."""
+    known = unicodedata.normalize("NFKC", sql)
+    row = spark.sql("SELECT :sql AS sql, :known AS _n, :bare AS _c",
+                    args={"sql": sql, "known": known, "bare": without_comments(known).strip()})
+    verdict = _judged(row, "sql", DEFAULTS.sql_max_chars).head()
+    if not verdict["ok"]:
+        raise ValueError(verdict["reason"])
+    return spark.sql(verdict["normalised"], args=args or {})
+
+
 def guarded_sql(spark: SparkSession, sql: str, args: dict | None = None,
                 max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows and summary of one read-only statement; ``args`` fill named parameters such as ``:low``.
+    """Capped rows of one read-only statement, and their summary.
 
-    A refused statement raises ValueError with the reason. Column names are those of the result, also when it is
-    empty.
+    Column names are those of the result, also when it is empty.
     """
-    verdict = validate_select(spark.createDataFrame([(sql,)], "sql string")).head()
-    if not verdict["ok"]:
-        raise ValueError(verdict["reason"])
-    return cap_rows(spark.sql(verdict["normalised"], args=args or {}), row_limit(max_rows))
+    return cap_rows(read_only_sql(spark, sql, args), row_limit(max_rows))
 
 
 def _as_text(field: T.StructField) -> Column:

@@ -3,11 +3,19 @@
 from pyspark.sql import DataFrame, functions as F
 
 from fathomdoc.functions import payload as P
+from fathomdoc.session import once
 
 
 def parse_tool_results(results: DataFrame, result: str = "result") -> DataFrame:
     """Adds error (text or null) and ok."""
-    return results.withColumn("error", P.error_text(F.col(result))).withColumn("ok", F.col("error").isNull())
+    parsed = once(results, _payload=P.object_or_null(F.col(result)))
+    return once(parsed, error=P.error_of(F.col("_payload"))).withColumn("ok", F.col("error").isNull()).drop("_payload")
+
+
+def parse_tool_arguments(calls: DataFrame, arguments: str = "arguments") -> DataFrame:
+    """Adds args, a map of strings; anything but a JSON object gives an empty one."""
+    return once(calls, _payload=P.object_or_null(F.col(arguments))).withColumn(
+        "args", P.arguments_of(F.col("_payload"))).drop("_payload")
 
 
 def match_calls(calls: DataFrame, results: DataFrame, on: str = "tool_call_id") -> DataFrame:
