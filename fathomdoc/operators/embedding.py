@@ -1,33 +1,30 @@
 """Attaching embeddings through a batch function."""
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from hashlib import sha256
 import re
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 HASH_DIMENSIONS = 256
 
 
-@lru_cache(maxsize=1 << 16)
-def _dimension(word: str, dimensions: int) -> int:
-    return int(sha256(word.encode("utf-8")).hexdigest()[:8], 16) % dimensions
-
-
-def hashing_embedder(texts: Sequence[str], dimensions: int = HASH_DIMENSIONS) -> list[np.ndarray]:
+def hashing_embedder(texts: Sequence[str], dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
     """Unit vector of word counts, words hashed to dimensions; needs no model and no network."""
-    vectors = []
-    for text in texts:
-        where = [_dimension(w, dimensions) for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
-        counts = np.bincount(np.array(where, dtype=np.int64), minlength=dimensions).astype(np.float64)
-        norm = np.sqrt((counts * counts).sum())
-        vectors.append((counts / norm if norm else counts).astype(np.float32))
-    return vectors
+    known: dict[str, int] = {}
+    vectors = np.zeros((len(texts), dimensions))
+    for n, text in enumerate(texts):
+        # White space as the JVM's \s has it.
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+        for word in {w for w in words if w not in known}:
+            known[word] = int(sha256(word.encode("utf-8")).hexdigest()[:8], 16) % dimensions
+        vectors[n] = np.bincount([known[w] for w in words] or [0], minlength=dimensions) if words else 0
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return (vectors / np.where(norms, norms, 1)).astype(np.float32)
 
 
 def embed(df: DataFrame, text: str, fn: EmbedFn = hashing_embedder, batch_size: int = 256,
@@ -37,17 +34,21 @@ def embed(df: DataFrame, text: str, fn: EmbedFn = hashing_embedder, batch_size:
     Empty texts are sent like any other; null stays null.
     """
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            present = batch[batch.notna()]
-            vectors: list = []
+            present = batch.drop_null()
+            parts = []
             for start in range(0, len(present), batch_size):
-                texts = present.iloc[start:start + batch_size].tolist()
-                answer = list(fn(texts))
-                if len(answer) != len(texts):
-                    raise ValueError(f"embedder gave {len(answer)} vectors for {len(texts)} texts")
-                vectors += answer
-            yield pd.Series(vectors, index=present.index, dtype=object).reindex(batch.index)
+                texts = present[start:start + batch_size].to_pylist()
+                vectors = np.asarray(fn(texts), dtype=np.float32)
+                if len(vectors) != len(texts):
+                    raise ValueError(f"embedder gave {len(vectors)} vectors for {len(texts)} texts")
+                parts.append(vectors)
+            flat = np.concatenate(parts).ravel() if parts else np.empty(0, np.float32)
+            width = parts[0].shape[1] if parts else 0
+            lengths = np.where(batch.is_valid().to_numpy(zero_copy_only=False), width, 0)
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=batch.is_null())
 
     return df.withColumn(name, run(text))

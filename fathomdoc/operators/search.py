@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -25,7 +26,7 @@ EXACT_PAIRS = 32768
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal-length float lists as a 2-d array of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1 if len(column) else 0)
 
 
 def sign_codes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
@@ -111,12 +112,17 @@ class _Nearest:
             pa.array(self.distance[known], schema.field(2).type)], schema=schema)
 
 
+def _with_vector(rows):
+    return rows.filter(pc.is_valid(rows.column(1)))
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
 def _scan_join(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType, lsh) -> DataFrame:
     """Query vectors travel with the task; every corpus partition gives its k nearest per query."""
+    queries = _with_vector(queries)
     query_ids, matrix = _ids(queries.column(0)), _matrix(queries.column(1).combine_chunks())
     shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
     arrow_schema = to_arrow_schema(schema)
@@ -124,7 +130,8 @@ def _scan_join(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructTyp
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = _Nearest(*shared.value, k, lsh)
         for batch in batches:
-            if batch.num_rows:
+            batch = _with_vector(batch)
+            if batch.num_rows and len(nearest.ids):
                 nearest.add(_ids(batch.column(0)), _matrix(batch.column(1)))
         yield nearest.rows(arrow_schema.names, arrow_schema)
 
@@ -149,6 +156,8 @@ def _grid_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructTy
 
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = (
+            side.filter(pc.is_valid(side[name])) for side, name in ((left, "_q_vector"), (right, "_c_vector")))
         if not left.num_rows or not right.num_rows:
             return arrow_schema.empty_table()
         nearest = _Nearest(_ids(left["_q_id"]), _matrix(left["_q_vector"].combine_chunks()), k, lsh)
@@ -170,20 +179,19 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
     code in some table (approximate). Ties go to the smaller corpus id. Vectors are finite and of one length.
 
     Query vectors within ``broadcast_bytes`` are sent to the scan of the corpus, which is then not shuffled;
-    more of them are joined on a grid of bounded cells. Both ways are exact without ``lsh``.
+    more of them are joined on a grid of bounded cells. Both ways are exact without ``lsh``. Rows without a vector
+    are skipped in the tasks: a filter on a vector made by a UDF would be pushed down and make it twice.
     """
     corpus = corpus.filter(where) if where is not None else corpus
-    queries = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
-    corpus = corpus.select(corpus_id, vector).filter(F.col(vector).isNotNull())
+    queries = queries.select(query_id, vector)
+    corpus = corpus.select(corpus_id, vector)
     names = [query_id, corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"]
     schema = T.StructType([
         T.StructField(names[0], queries.schema[query_id].dataType),
         T.StructField(names[1], corpus.schema[corpus_id].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    first = queries.select(F.size(vector)).head()
-    dimensions = first[0] if first else 1
-    small = table_within(queries, max(1, broadcast_bytes // (8 * max(1, dimensions))))
+    small = table_within(queries, broadcast_bytes)
     if small is None:
         partial = _grid_join(queries, corpus, k, schema, lsh, cell_rows)
     else:

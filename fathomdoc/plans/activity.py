@@ -8,7 +8,7 @@ from fathomdoc.operators.admission import sliding_admission
 from fathomdoc.operators.skew import top_per_group
 from fathomdoc.plans import sql_parts as S
 from fathomdoc.plans.registry import query, table
-from fathomdoc.session import work_folder
+from fathomdoc.session import spread, work_folder
 from fathomdoc.streaming import jobs
 
 DAY, HOUR = 86_400, 3_600
@@ -195,7 +195,7 @@ def calls(spark, folder):
     arguments = (
         F.when(k % 4 == 0, F.concat(F.lit("["), "props", F.lit("]"))).when(k % 4 == 1, F.substring("props", 1, 5))
         .otherwise(F.col("props")))
-    return events(spark, folder).select(
+    return spread(events(spark, folder)).select(
         F.concat(F.lit("call-"), "event_id").alias("tool_call_id"), "event_id", "user_id",
         F.col("event_type").alias("name"), arguments.alias("arguments"))
 
@@ -209,7 +209,7 @@ def results(spark, folder):
         .when(k % 5 == 2, F.lit('{"error": "", "detail": "D"}'))
         .when(k % 5 == 3, F.concat(F.lit("["), error, F.lit("}]")))
         .otherwise(F.concat(error, F.lit("} and more"))))
-    return events(spark, folder).select(
+    return spread(events(spark, folder)).select(
         F.concat(F.lit("call-"), "event_id").alias("tool_call_id"), k.alias("k"), result.alias("result"))
 
 

@@ -8,7 +8,7 @@ from fathomdoc.operators.chunking import fixed_windows, recursive_chunks
 from fathomdoc.operators.skew import union_all
 from fathomdoc.plans import sql_parts as S
 from fathomdoc.plans.registry import query, table
-from fathomdoc.session import spread, work_folder
+from fathomdoc.session import once, spread, work_folder
 from fathomdoc.sources import collection as C, files as FS
 from fathomdoc.sources.json_docs import json_documents
 
@@ -23,6 +23,10 @@ def documents(spark, folder):
     return table(spark, folder, "documents")
 
 
+def spread_documents(spark, folder):
+    return spread(documents(spark, folder))
+
+
 def written_texts(spark, folder):
     """The documents as .txt files, one folder per source; files stay small, however large a source is."""
     target = work_folder(spark, "texts")
@@ -78,7 +82,7 @@ def json_content(spark, folder):
         F.struct(F.lit("nested").alias("source"), "lang", F.lit("path").alias("path")).alias("metadata"),
         "source", "n_chars", (F.col("n_chars") > 1000).alias("long_text"), F.array(F.lit(1)).alias("skipped"),
         F.concat(F.lit("/data/"), "doc_id", F.lit(".json")).alias("path")))
-    found, _ = json_documents(json_files(documents(spark, folder), body))
+    found, _ = json_documents(json_files(spread_documents(spark, folder), body))
     names = ("path", "lang", "n_chars", "long_text", "skipped")
     return found.select("text", "source", "file_name", "file_type",
                         *[F.element_at("extra", n).alias(n) for n in names])
@@ -92,7 +96,7 @@ def json_chunks(spark, folder):
     lines = F.to_json(F.split("text", "\n"))
     body = F.concat(F.lit('{"chunks": ['), F.col("n_chars"), F.lit(","), F.substring(lines, F.lit(2), F.length(lines)),
                     F.lit("}"))
-    found, _ = json_documents(json_files(documents(spark, folder), body))
+    found, _ = json_documents(json_files(spread_documents(spark, folder), body))
     return found.select("source", long(F.col("chunk_index")).alias("chunk_index"), "text")
 
 
@@ -101,7 +105,7 @@ def json_chunks(spark, folder):
   '/data/' || doc_id || '.json' AS source, 'object' AS json_structure FROM documents""")
 def json_object(spark, folder):
     body = F.to_json(F.struct("lang", F.struct("n_chars").alias("size"), "doc_id"))
-    found, _ = json_documents(json_files(documents(spark, folder), body))
+    found, _ = json_documents(json_files(spread_documents(spark, folder), body))
     return found.select("text", "source", "json_structure")
 
 
@@ -113,14 +117,14 @@ def json_array(spark, folder):
     item = F.to_json(F.struct(F.col("text").alias("content"), "lang", F.struct("source").alias("metadata")))
     body = F.concat(F.lit("["), item, F.lit(', "'), F.col("source"), F.lit('", '), F.col("n_chars"), F.lit(", ["),
                     F.col("doc_id"), F.lit("]]"))
-    found, _ = json_documents(json_files(documents(spark, folder), body))
+    found, _ = json_documents(json_files(spread_documents(spark, folder), body))
     return found.select(long(F.regexp_extract("source", r"(\d+)\.json", 1)).alias("doc_id"), "item_index", "text",
                         F.element_at("extra", "lang").alias("lang"))
 
 
 @query("a7_json_scalar", """SELECT '/data/' || doc_id || '.json' AS source, '"' || lang || '"' AS text FROM documents""")
 def json_scalar(spark, folder):
-    found, _ = json_documents(json_files(documents(spark, folder), F.concat(F.lit('"'), "lang", F.lit('"'))))
+    found, _ = json_documents(json_files(spread_documents(spark, folder), F.concat(F.lit('"'), "lang", F.lit('"'))))
     return found.select("source", "text")
 
 
@@ -130,7 +134,7 @@ def json_scalar(spark, folder):
 def json_rejects(spark, folder):
     body = F.concat(F.lit('{"k": "'), "source", F.repeat(F.lit("x"), F.col("n_chars").cast("int")), F.lit('"'),
                     F.when(F.col("lang") == "en", "}").otherwise(""))
-    return json_documents(json_files(documents(spark, folder), body), max_bytes=4000)[1]
+    return json_documents(json_files(spread_documents(spark, folder), body), max_bytes=4000)[1]
 
 
 @query("k4_s1_fixed_windows", f"WITH {S.WINDOWS} SELECT doc_id, chunk_no, content FROM windows")
@@ -143,8 +147,9 @@ def windows(spark, folder):
   true AS covers_ends FROM documents WHERE length(trim(text, E' \\n')) > 0""")
 def recursive(spark, folder):
     """What holds for every document: passages fit, are found in the text, and reach from its start to its end."""
-    chunks = recursive_chunks(spread(documents(spark, folder)), "text")
-    whole, part = X.strip(F.col("text")), F.col("chunk_text")
+    given = once(spread_documents(spark, folder), whole=X.strip(F.col("text")))
+    chunks = recursive_chunks(given, "text")
+    whole, part = F.col("whole"), F.col("chunk_text")
     return chunks.groupBy("doc_id", "source", "lang").agg(
         F.bool_and(F.length(part) <= 1000).alias("within_size"),
         F.bool_and(F.contains("text", part)).alias("from_text"),
@@ -159,7 +164,7 @@ SELECT doc_id, chunk_no, 'doc_' || h || '_{BATCH_MS}' ||
 
 
 def passages(spark, folder):
-    chunks = fixed_windows(documents(spark, folder).select("doc_id", "lang", "source", "text"), "text").drop("text")
+    chunks = fixed_windows(spread(documents(spark, folder).select("doc_id", "lang", "source", "text")), "text").drop("text")
     return C.assign_ids(chunks, BATCH_MS, ["doc_id", "chunk_no"])
 
 
@@ -222,7 +227,7 @@ def seed_or_documents(spark, folder):
 @query("h1_concatenated_formats", """SELECT text, source, NULL::BIGINT AS chunk_index, 'txt' AS file_type FROM documents
 WHERE lang = 'fr' UNION ALL SELECT text, '/data/' || doc_id || '.json', 0, 'json' FROM documents WHERE lang <> 'fr'""")
 def concatenated_formats(spark, folder):
-    found = documents(spark, folder)
+    found = spread_documents(spark, folder)
     texts = FS.text_documents(found.filter("lang = 'fr'").select(
         F.col("source").alias("path"), F.col("text").alias("body")))
     body = F.to_json(F.struct(F.array("text").alias("chunks")))

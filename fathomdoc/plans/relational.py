@@ -1,24 +1,28 @@
 """Registered read-only SQL over the star schema: the guard, parameters, row caps, and what SELECT can say."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fathomdoc.functions import fixed
 from fathomdoc.operators import sqltool as Q
 from fathomdoc.plans.registry import query, table
+from fathomdoc.session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def views(spark, folder):
+def views(spark, folder, sql: str):
     for name in TABLES:
-        table(spark, folder, name).createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", sql):
+            table(spark, folder, name).createOrReplaceTempView(name)
 
 
 def register_sql(name: str, sql: str, duckdb: str | None = None, args: dict | None = None):
     """Registers a text that Spark runs through the guard; ``duckdb`` where its dialect differs."""
     @query(name, duckdb or sql)
     def run(spark, folder):
-        views(spark, folder)
+        views(spark, folder, sql)
         return Q.read_only_sql(spark, sql, args)
 
 
@@ -120,14 +124,14 @@ ORDER BY n DESC, o_custkey"""
 
 @query("k6_g7_capped_rows", CAPPED.format(low=1000) + " LIMIT 25")
 def capped_rows(spark, folder):
-    views(spark, folder)
+    views(spark, folder, CAPPED)
     return Q.guarded_sql(spark, CAPPED.format(low=":low") + "; -- all", {"low": 1000}, max_rows=25)[0]
 
 
 @query("e7_g7_cap_summary", f"""SELECT least(count(*), 200) AS row_count, count(*) > 200 AS truncated,
   CAST(200 AS BIGINT) AS max_rows FROM ({CAPPED.format(low=1000)})""")
 def cap_summary(spark, folder):
-    views(spark, folder)
+    views(spark, folder, CAPPED)
     return Q.guarded_sql(spark, CAPPED.format(low=":low"), {"low": 1000}, max_rows=500)[1]
 
 
@@ -166,5 +170,5 @@ def guarded_query_log(spark, folder):
         .when(which == 6, F.concat(F.lit("SELECT 'é' AS a, "), key))
         .otherwise(F.concat(F.lit("ＷＩＴＨ t AS (SELECT "), "o_custkey", F.lit(" AS updated_at) SELECT * FROM t")))
     )
-    queries = table(spark, folder, "orders").withColumn("sql", log)
+    queries = spread(table(spark, folder, "orders")).withColumn("sql", log)
     return Q.validate_select(queries).select("o_orderkey", "reason", "normalised")

@@ -37,10 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table_within(df: DataFrame, bound: int):
-    """The rows as an Arrow table if there are at most ``bound``, else None; fetches at most bound + 1."""
+def table_within(df: DataFrame, most_bytes: int, row_bytes: int = 256):
+    """The rows as an Arrow table if they take at most ``most_bytes``, else None.
+
+    Never fetches more rows than would fit if each took ``row_bytes``; what was fetched is then measured.
+    """
+    bound = most_bytes // row_bytes
     table = df.limit(bound + 1).toArrow()
-    return table if table.num_rows <= bound else None
+    return table if table.num_rows <= bound and table.nbytes <= most_bytes else None
 
 
 def spread(df: DataFrame) -> DataFrame:
