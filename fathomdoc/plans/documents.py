@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from fathomdoc.functions import payload as P, text as X
 from fathomdoc.operators import limits as L
 from fathomdoc.operators.chunking import fixed_windows, recursive_chunks
+from fathomdoc.operators.embedding import HASH_DIMENSIONS
 from fathomdoc.operators.skew import union_all
 from fathomdoc.plans import sql_parts as S
 from fathomdoc.plans.registry import query, table
 from fathomdoc.session import once, spread, work_folder
 from fathomdoc.sources import collection as C, files as FS
 from fathomdoc.sources.json_docs import json_documents
+from fathomdoc.streaming import jobs
 
 BATCH_MS = 1_700_000_000_000
 
@@ -373,3 +375,18 @@ def keywords(spark, folder):
     found = X.keywords(F.col("text"))
     return table(spark, folder, "benchmark").select(
         "item_id", long(F.size(found)).alias("keywords"), long(F.size(F.array_distinct(found))).alias("different"))
+
+
+@query("j4_ingest_stream", """SELECT source, true AS within_size, true AS embedded, true AS different_ids
+FROM documents GROUP BY source""")
+def ingest_stream(spark, folder):
+    """Text files of the documents ingested as a stream, in two runs over the same files: nothing is added twice."""
+    target = work_folder(spark, "ingest")
+    texts = written_texts(spark, folder)
+    for _ in range(2):
+        jobs.ingest_stream(spark, texts, target, f"{target}-checkpoint").awaitTermination()
+    found = C.read_collection(spark, target)
+    return found.groupBy(source_of(F.col("source")).alias("source")).agg(
+        F.bool_and(F.length("chunk_text") <= 1000).alias("within_size"),
+        F.bool_and(F.size("embedding") == HASH_DIMENSIONS).alias("embedded"),
+        (F.countDistinct("id") == F.count("*")).alias("different_ids"))
