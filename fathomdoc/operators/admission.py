@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathomdoc.functions.scoring import retry_after
+from fathomdoc.functions.time import epoch_micros
 from fathomdoc.session import cut_lineage
 
 MIN_BLOCK = 1024
@@ -184,14 +185,14 @@ def _spread(schema: pa.Schema):
 
 def sliding_admission(events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: int,
                       inclusive: bool = False) -> DataFrame:
-    """client, event_id, ts, admitted, retry_after (seconds, refused requests only).
+    """client, event_id, at_us, admitted, retry_after (seconds, refused requests only).
 
     ``inclusive`` is the whole-service rule: it still counts a request exactly one window old, and cuts the
     fraction of retry_after off. Without it, the per-client rule: such a request is gone, and retry_after is one
     more. Requests at one instant are taken in order of ``event_id``, which is unique.
     """
     rule = Rule(limit, window_seconds * 1_000_000, inclusive)
-    rows = events.select(F.col(key).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+    rows = events.select(F.col(key).alias("client"), epoch_micros(events, ts).alias("t"),
                          F.col(event_id).alias("id"))
     client_type, id_type = (rows.schema[c].dataType for c in ("client", "id"))
 
@@ -219,5 +220,5 @@ def sliding_admission(events: DataFrame, key: str, ts: str, event_id: str, limit
     )
     spread = packed.join(decided, "first_id").mapInArrow(_spread(to_arrow_schema(out_schema)), out_schema)
     return spread.select(
-        "client", event_id, F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"), "admitted",
+        "client", event_id, F.col("t").alias("at_us"), "admitted",
         retry_after(F.col("oldest"), F.col("t"), window_seconds, not inclusive).alias("retry_after"))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions import text as X
+from fathomdoc.functions.time import epoch_micros
 from fathomdoc.operators.skew import running_total, top_per_group
 
 
@@ -16,7 +17,7 @@ def request_rate(events: DataFrame, key: str, ts: str, window_seconds: int, incl
     """
     window = window_seconds * 1_000_000
     # Times are doubled: odd places between them are where requests leave.
-    timed = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")) * 2)
+    timed = events.withColumn("_at", epoch_micros(events, ts) * 2)
     steps = F.explode(F.array(
         F.struct(F.col("_at").alias("_at"), F.lit(1).alias("_step")),
         F.struct((F.col("_at") + 2 * window + (1 if inclusive else -1)).alias("_at"), F.lit(-1).alias("_step")),

@@ -1,6 +1,7 @@
 """Nearest-neighbour joins: exact and approximate, for a small or a large query side."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,12 @@ def sign_codes(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return codes
 
 
-def code_pair(table: int, bit: int, bits: int, dimensions: int) -> tuple[int, int]:
+def code_pair(table: int, bit: int, bits: int, dimensions):
+    """The two coordinates to compare; ``dimensions`` may be a column."""
     i = 2 * (table * bits + bit)
-    return i % dimensions, (i + 1 + i // dimensions) % dimensions
+    lap = F.floor(F.lit(i) / dimensions) if isinstance(dimensions, Column) else i // dimensions
+    i = F.lit(i) if isinstance(dimensions, Column) else i
+    return i % dimensions, (i + 1 + lap) % dimensions
 
 
 class _Nearest:
@@ -138,35 +142,80 @@ def _scan_join(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructTyp
     return corpus.mapInArrow(scan, schema)
 
 
-def _grid_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, lsh, cell_rows: int) -> DataFrame:
-    """Both sides cut into slices of about ``cell_rows`` by a hash of the id; one group per pair of slices.
+def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return queries.toDF("_q_id", "_q_vector"), corpus.toDF("_c_id", "_c_vector")
 
-    Memory per group is bounded by the cell, whatever the data; each cell gives k rows per query.
-    """
-    across = max(1, -(-queries.count() // cell_rows))
-    down = max(1, -(-corpus.count() // cell_rows))
-    arrow_schema = to_arrow_schema(schema)
 
-    def slices(df: DataFrame, side: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return (
-            df.toDF(f"{side}_id", f"{side}_vector")
-            .withColumn(own, F.pmod(F.xxhash64(f"{side}_id"), F.lit(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
-        )
+def _sliced(df: DataFrame, row_id: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+    """Rows of one side dealt to ``own_n`` slices by a hash of the id, repeated for every slice of the other side."""
+    return (
+        df.withColumn(own, F.pmod(F.xxhash64(row_id), own_n).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), (other_n - 1).cast("int"))))
+    )
 
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = (
-            side.filter(pc.is_valid(side[name])) for side, name in ((left, "_q_vector"), (right, "_c_vector")))
-        if not left.num_rows or not right.num_rows:
+def _join_cells(left: DataFrame, right: DataFrame, cell: list[str], k: int, schema: T.StructType, lsh) -> DataFrame:
+    """The k nearest per query of every cell; a cell holds one slice of each side."""
+    arrow_schema = to_arrow_schema(schema)
+
+    def nearest_in(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        queries, corpus = (
+            side.filter(pc.is_valid(side[name])) for side, name in ((queries, "_q_vector"), (corpus, "_c_vector")))
+        if not queries.num_rows or not corpus.num_rows:
             return arrow_schema.empty_table()
-        nearest = _Nearest(_ids(left["_q_id"]), _matrix(left["_q_vector"].combine_chunks()), k, lsh)
-        nearest.add(_ids(right["_c_id"]), _matrix(right["_c_vector"].combine_chunks()))
+        nearest = _Nearest(_ids(queries["_q_id"]), _matrix(queries["_q_vector"].combine_chunks()), k, lsh)
+        nearest.add(_ids(corpus["_c_id"]), _matrix(corpus["_c_vector"].combine_chunks()))
         return pa.Table.from_batches([nearest.rows(arrow_schema.names, arrow_schema)])
 
-    left = slices(queries, "_q", "_col", across, "_row", down).groupBy("_col", "_row")
-    right = slices(corpus, "_c", "_row", down, "_col", across).groupBy("_col", "_row")
-    return left.cogroup(right).applyInArrow(cell, schema)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(nearest_in, schema)
+
+
+def _grid_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, cell_rows: int) -> DataFrame:
+    """Exact: every slice of the queries meets every slice of the corpus, about ``cell_rows`` rows each."""
+    across = F.lit(max(1, -(-queries.count() // cell_rows)))
+    down = F.lit(max(1, -(-corpus.count() // cell_rows)))
+    left, right = _sides(queries, corpus)
+    return _join_cells(_sliced(left, "_q_id", "_col", across, "_row", down),
+                       _sliced(right, "_c_id", "_row", down, "_col", across), ["_col", "_row"], k, schema, None)
+
+
+def _code(vector: str, table: int, bits: int) -> Column:
+    """``sign_codes`` as a column expression."""
+    def larger(bit):
+        i, j = code_pair(table, bit, bits, F.size(vector))
+        greater = F.get(vector, i.cast("int")) > F.get(vector, j.cast("int"))
+        return F.when(greater, 1 << bit).otherwise(0)
+
+    return reduce(lambda a, b: a + b, [larger(b) for b in range(bits)], F.lit(0))
+
+
+def _bucket_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, lsh: tuple[int, int],
+                 cell_rows: int) -> DataFrame:
+    """Approximate: only rows with the same code in a table meet. Large buckets are cut into cells by their size.
+
+    There are at most tables * 2^bits buckets, so their sizes are broadcast.
+    """
+    tables, bits = lsh
+    bucket = ["_table", "_code"]
+
+    def coded(side: DataFrame, vector: str) -> DataFrame:
+        codes = F.array(*[
+            F.struct(F.lit(t).alias("_table"), _code(vector, t, bits).alias("_code")) for t in range(tables)])
+        return side.select("*", F.inline(codes))
+
+    left, right = (coded(side, v) for side, v in zip(_sides(queries, corpus), ("_q_vector", "_c_vector")))
+
+    def slices(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*bucket).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+
+    sizes = F.broadcast(slices(left, "_across").join(slices(right, "_down"), bucket))
+    across, down = F.col("_across"), F.col("_down")
+    cells = _join_cells(
+        _sliced(left.join(sizes, bucket), "_q_id", "_col", across, "_row", down).drop("_across", "_down"),
+        _sliced(right.join(sizes, bucket), "_c_id", "_row", down, "_col", across).drop("_across", "_down"),
+        [*bucket, "_col", "_row"], k, schema, None)
+    # A pair may meet in several tables.
+    return cells.groupBy(*schema.names[:2]).agg(F.min("distance").alias("distance"))
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
@@ -179,7 +228,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
     code in some table (approximate). Ties go to the smaller corpus id. Vectors are finite and of one length.
 
     Query vectors within ``broadcast_bytes`` are sent to the scan of the corpus, which is then not shuffled;
-    more of them are joined on a grid of bounded cells. Both ways are exact without ``lsh``. Rows without a vector
+    more of them are joined in bounded cells: all slices with all slices, or with ``lsh`` bucket by bucket. Both
+    ways give the same rows; they are exact without ``lsh``. Rows without a vector
     are skipped in the tasks: a filter on a vector made by a UDF would be pushed down and make it twice.
     """
     corpus = corpus.filter(where) if where is not None else corpus
@@ -193,7 +243,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
     ])
     small = table_within(queries, broadcast_bytes)
     if small is None:
-        partial = _grid_join(queries, corpus, k, schema, lsh, cell_rows)
+        partial = (_bucket_join(queries, corpus, k, schema, lsh, cell_rows) if lsh
+                   else _grid_join(queries, corpus, k, schema, cell_rows))
     else:
         partial = _scan_join(small, corpus, k, schema, lsh)
     return top_per_group(partial, [names[0]], [F.col("distance"), F.col(names[1])], k, "rank",

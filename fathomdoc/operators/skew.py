@@ -16,13 +16,19 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spre
     return salted.join(repeated, on + ["_salt"], how).drop("_salt")
 
 
+def _stretched(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """Adds _stretch. The filter is the one the later join infers; stated here, both of its sides share a shuffle."""
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_stretch"]])
+    return df.withColumn("_stretch", F.floor(F.col(order) / width)).filter(present)
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, width: int, name: str) -> DataFrame:
     """``name`` = sum of ``value`` over all rows of the key with ``order`` up to this row's (peers included).
 
-    ``order`` is integral. Rows are windowed per (key, stretch of ``width``); a hot key therefore spreads over
-    its stretches, and only one total per stretch is windowed per key.
+    ``order`` is integral; it and the keys are not null. Rows are windowed per (key, stretch of ``width``); a hot
+    key therefore spreads over its stretches, and only one total per stretch is windowed per key.
     """
-    stretched = df.withColumn("_stretch", F.floor(F.col(order) / width))
+    stretched = _stretched(df, keys, order, width)
     per_key = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         stretched.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
@@ -41,10 +47,10 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, width:
 def last_items(df: DataFrame, keys: list[str], order: str, item: Column, n: int, width: int, name: str) -> DataFrame:
     """``name`` = array of the last ``n`` items of the key up to and including this row.
 
-    Windowed per (key, stretch of ``width`` order values); the last items of earlier stretches are carried in,
-    at most ``n`` per stretch.
+    Keys and order are not null. Windowed per (key, stretch of ``width`` order values); the last items of earlier
+    stretches are carried in, at most ``n`` per stretch.
     """
-    stretched = df.withColumn("_stretch", F.floor(F.col(order) / width)).withColumn("_item", item)
+    stretched = _stretched(df, keys, order, width).withColumn("_item", item)
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order)
     local = (
         stretched.withColumn(name, F.collect_list("_item").over(inside.rowsBetween(1 - n, 0)))

@@ -52,13 +52,13 @@ SERVICE_RULE = refused_only(admission_sql("'all'", 10, HOUR, True))
 
 @query("j2_f6_i22_client_admission", CLIENT_RULE)
 def client_admission(spark, folder):
-    return sliding_admission(events(spark, folder), "user_id", "ts", "event_id", 2, DAY).drop("ts")
+    return sliding_admission(events(spark, folder), "user_id", "ts", "event_id", 2, DAY).drop("at_us")
 
 
 @query("j1_f6_i22_service_admission", SERVICE_RULE)
 def service_admission(spark, folder):
     one = events(spark, folder).withColumn("service", F.lit("all"))
-    return sliding_admission(one, "service", "ts", "event_id", 10, HOUR, inclusive=True).drop("ts")
+    return sliding_admission(one, "service", "ts", "event_id", 10, HOUR, inclusive=True).drop("at_us")
 
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

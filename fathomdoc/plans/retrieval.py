@@ -53,14 +53,22 @@ def similarity_on_grid(spark, folder):
         {"distance": F.round("distance", 6), "similarity": F.round("similarity", 8)})
 
 
-@query("d3_approximate_neighbours",
-       f"WITH {S.nearest(4, S.shares_code(*LSH, 64))} SELECT query_id, chunk_id, round(distance, 6) AS distance, rank "
-       "FROM hits")
+APPROXIMATE = (f"WITH {S.nearest(4, S.shares_code(*LSH, 64))} SELECT query_id, chunk_id, round(distance, 6) AS distance, "
+               "rank FROM hits")
+
+
+@query("d3_approximate_neighbours", APPROXIMATE)
 def approximate_neighbours(spark, folder):
     hits = knn_join(*vectors(spark, folder), 4, lsh=LSH)
     return long_rank(hits, "rank").withColumn("distance", F.round("distance", 6))
 
 
+@query("d3_bucket_join_for_many_queries", APPROXIMATE)
+def approximate_in_buckets(spark, folder):
+    hits = knn_join(*vectors(spark, folder), 4, lsh=LSH, broadcast_bytes=0, cell_rows=64)
+    return long_rank(hits, "rank").withColumn("distance", F.round("distance", 6))
+
+
 @query("i5_squared_distance",
        f"""WITH {S.VECTORS} SELECT a.vec_id, {S.DISTANCE.replace('b.e[i]', 'a.e[len(a.e) + 1 - i]')} AS distance
 FROM v a""")

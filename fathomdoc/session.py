@@ -50,7 +50,7 @@ def table_within(df: DataFrame, most_bytes: int, row_bytes: int = 256):
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer files than cores is dealt out to all cores before costly work; larger scans stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions import text as X
+from fathomdoc.functions.time import epoch_micros
 from fathomdoc.operators.admission import Rule, decide
 from fathomdoc.operators.chunking import recursive_chunks
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
@@ -96,7 +97,7 @@ def admission_stream(events: DataFrame, key: str, ts: str, event_id: str, limit:
     of one batch, so bound the batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger). Needs the RocksDB
     state store provider. For the whole-service rule ``key`` is a constant: one counter, one task, by definition.
     """
-    rows = events.select(F.col(key).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+    rows = events.select(F.col(key).alias("client"), epoch_micros(events, ts).alias("t"),
                          F.col(event_id).alias("id"))
     out = T.StructType([
         T.StructField("client", rows.schema["client"].dataType), T.StructField("id", rows.schema["id"].dataType),

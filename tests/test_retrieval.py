@@ -33,6 +33,9 @@ def test_knn_ways_agree_with_brute_force(spark, ids):
     for options in ({}, {"broadcast_bytes": 0, "cell_rows": 37}, {"lsh": (1, 0)}):
         found = sorted(tuple(r) for r in knn_join(q, c, 5, **options).collect())
         assert found == expected, options
+    ways = [sorted(tuple(r) for r in knn_join(q, c, 5, lsh=(3, 2), **options).collect())
+            for options in ({}, {"broadcast_bytes": 0, "cell_rows": 20})]
+    assert ways[0] == ways[1]
 
 
 def test_knn_edges(spark):
