@@ -60,7 +60,10 @@ def extractive_answers(prompts: Sequence[str]) -> list[str]:
 
 
 def generate(prompts: DataFrame, fn: GenerateFn = extractive_answers, batch_size: int = 32) -> DataFrame:
-    """Adds answer, trimmed; rows without a prompt get the fixed message and are not sent to ``fn``."""
+    """Adds answer, trimmed; rows without a prompt get the fixed message and are not sent to ``fn``.
+
+    Not deterministic for the optimizer, so that no filter on the answer makes it twice.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -71,7 +74,7 @@ def generate(prompts: DataFrame, fn: GenerateFn = extractive_answers, batch_size
                 answers += list(fn(present.iloc[start:start + batch_size].tolist()))
             yield pd.Series([a.strip() for a in answers], index=present.index, dtype=object).reindex(batch.index)
 
-    return prompts.withColumn("answer", F.coalesce(run("prompt"), F.lit(fixed.NO_DOCUMENTS)))
+    return prompts.withColumn("answer", F.coalesce(run.asNondeterministic()("prompt"), F.lit(fixed.NO_DOCUMENTS)))
 
 
 def template_table(spark, templates=fixed.TASK_TEMPLATES) -> DataFrame:

@@ -51,4 +51,6 @@ def embed(df: DataFrame, text: str, fn: EmbedFn = hashing_embedder, batch_size:
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=batch.is_null())
 
-    return df.withColumn(name, run(text))
+    # Not deterministic for the optimizer: otherwise a filter on the vector, even an inferred one, would be pushed
+    # below a shuffle or a generator and make the vectors twice.
+    return df.withColumn(name, run.asNondeterministic()(text))

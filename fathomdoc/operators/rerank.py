@@ -30,7 +30,7 @@ def model_scores(candidates: DataFrame, fn: ScoreFn, query: str = "question", co
             yield pd.Series(fn(queries.tolist(), contents.tolist()), index=queries.index, dtype=float)
 
     return candidates.select(
-        "query_id", "cand_idx", run(query, content).alias("score"), F.col("cand_idx").alias("response_order"))
+        "query_id", "cand_idx", run.asNondeterministic()(query, content).alias("score"), F.col("cand_idx").alias("response_order"))
 
 
 def parse_scores(results: DataFrame, item: str = "item") -> DataFrame:
