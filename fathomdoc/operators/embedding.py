@@ -2,7 +2,6 @@
 
 from collections.abc import Callable, Iterator, Sequence
 from hashlib import sha256
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +12,34 @@ EmbedFn = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 HASH_DIMENSIONS = 256
 
 
-def hashing_embedder(texts: Sequence[str], dimensions: int = HASH_DIMENSIONS) -> np.ndarray:
+class HashingEmbedder:
     """Unit vector of word counts, words hashed to dimensions; needs no model and no network."""
-    known: dict[str, int] = {}
-    vectors = np.zeros((len(texts), dimensions))
-    for n, text in enumerate(texts):
-        # White space as the JVM's \s has it.
-        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
-        for word in {w for w in words if w not in known}:
-            known[word] = int(sha256(word.encode("utf-8")).hexdigest()[:8], 16) % dimensions
-        vectors[n] = np.bincount([known[w] for w in words] or [0], minlength=dimensions) if words else 0
-    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    return (vectors / np.where(norms, norms, 1)).astype(np.float32)
+
+    def __init__(self, dimensions: int = HASH_DIMENSIONS, remembered: int = 1 << 20):
+        self.dimensions, self.remembered = dimensions, remembered
+        self.known: dict[bytes, int] = {}
+
+    def __reduce__(self):
+        return HashingEmbedder, (self.dimensions, self.remembered)
+
+    def _dimension(self, word: bytes) -> int:
+        found = self.known[word] = int(sha256(word).hexdigest()[:8], 16) % self.dimensions
+        return found
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        known, vectors = self.known, np.zeros((len(texts), self.dimensions))
+        for n, text in enumerate(texts):
+            # Bytes split at ASCII white space only, as the JVM's \s does.
+            where = [known[w] if w in known else self._dimension(w) for w in text.lower().encode("utf-8").split()]
+            if where:
+                vectors[n] = np.bincount(where, minlength=self.dimensions)
+        norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        return (vectors / np.where(norms, norms, 1)).astype(np.float32)
+
+
+hashing_embedder = HashingEmbedder()
 
 
 def embed(df: DataFrame, text: str, fn: EmbedFn = hashing_embedder, batch_size: int = 256,
