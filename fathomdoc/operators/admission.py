@@ -29,6 +29,8 @@ MIN_BLOCK = 1024
 MAX_BLOCK = 8192
 # Requests of one key that are packed at once.
 PART = 1 << 20
+# Requests, in blocks of any number of keys, that leave a task at once.
+SENT = 1 << 17
 
 
 class Rule:
@@ -107,16 +109,16 @@ def decide(times: np.ndarray, rule: Rule, memory: list[int]) -> tuple[list, list
 def _pack(rule: Rule, schema: pa.Schema):
     """Sorted rows (key, t, id) to blocks."""
 
-    def rows(key, times: list, ids: list, starts_key: bool) -> pa.RecordBatch:
+    def blocks_of(key, times: list, ids: list, starts_key: bool) -> list[dict]:
         t, i = np.concatenate(times), np.concatenate(ids)
-        blocks = [
+        return [
             {"client": key, "first_t": int(t[start]), "first_id": i[start], "fresh": fresh,
              "warm": t[max(0, start - rule.limit):start] if fresh else t[:0], "t": t[start:stop], "id": i[start:stop]}
             for start, stop, fresh in cuts(t, rule, starts_key)]
-        return pa.RecordBatch.from_pylist(blocks, schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, times, ids, size = None, [], [], 0
+        ready, held = [], 0
         # The first key of a partition may have begun in the partition before.
         starts_key = TaskContext.get().partitionId() == 0
         for batch in batches:
@@ -129,15 +131,20 @@ def _pack(rule: Rule, schema: pa.Schema):
             for start, stop in zip(edges, edges[1:]):
                 here = keys[start].as_py()
                 if times and (here != key or size >= PART):
-                    yield rows(key, times, ids, starts_key)
+                    ready += blocks_of(key, times, ids, starts_key)
+                    held += size
                     starts_key = here != key
                     times, ids, size = [], [], 0
                 key = here
                 times.append(t[start:stop])
                 ids.append(i[start:stop])
                 size += stop - start
+                if held >= SENT:
+                    yield pa.RecordBatch.from_pylist(ready, schema)
+                    ready, held = [], 0
         if times:
-            yield rows(key, times, ids, starts_key)
+            ready += blocks_of(key, times, ids, starts_key)
+        yield pa.RecordBatch.from_pylist(ready, schema)
 
     return pack
 

@@ -7,6 +7,9 @@ from fathomdoc.functions import text as X
 from fathomdoc.functions.time import epoch_micros
 from fathomdoc.operators.skew import running_total, top_per_group
 
+# Windows of one key that are summed together.
+STRETCH_WINDOWS = 16
+
 
 def request_rate(events: DataFrame, key: str, ts: str, window_seconds: int, inclusive: bool,
                  name: str = "demand") -> DataFrame:
@@ -26,7 +29,7 @@ def request_rate(events: DataFrame, key: str, ts: str, window_seconds: int, incl
         timed.select(key, steps.alias("_s")).select(key, "_s.*")
         .groupBy(key, "_at").agg(F.sum("_step").alias("_step"))
     )
-    totals = running_total(instants, [key], "_at", "_step", 2 * window, name)
+    totals = running_total(instants, [key], "_at", "_step", 2 * window * STRETCH_WINDOWS, name)
     return timed.join(totals.select(key, "_at", name), [key, "_at"]).drop("_at")
 
 

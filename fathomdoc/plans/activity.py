@@ -74,7 +74,8 @@ def streamed(spark, stream, name):
 
 @query("j2_client_admission_stream", CLIENT_RULE)
 def client_admission_stream(spark, folder):
-    source = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    source = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option(
+        "maxFilesPerTrigger", 1).parquet(folder)
     decided = streamed(spark, jobs.admission_stream(source, "user_id", "ts", "event_id", 2, DAY), "admission")
     return decided.select("client", "event_id", "admitted", F.when(
         ~F.col("admitted"), scoring.retry_after(F.col("oldest"), F.col("t"), DAY, True)).alias("retry_after"))
@@ -127,7 +128,8 @@ def recent_context_in_stretches(spark, folder):
 @query("j5_history_stream", f"SELECT conv_id, turn, {CONTEXT} AS context FROM conversations")
 def history_stream(spark, folder):
     schema = "conv_id bigint, turn bigint, role string, text string"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").option(
+        "maxFilesPerTrigger", 1).parquet(folder)
     return streamed(spark, jobs.history_stream(source), "history")
 
 

@@ -9,7 +9,6 @@ from fathomdoc.operators.answer import (
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.rerank import best_scored
 from fathomdoc.operators.search import knn_join
-from fathomdoc.session import spread
 
 
 def candidates(questions: DataFrame, passages: DataFrame, embedder: EmbedFn = hashing_embedder,
@@ -18,8 +17,8 @@ def candidates(questions: DataFrame, passages: DataFrame, embedder: EmbedFn = ha
 
     questions: query_id, question. passages: passage_id, content, source, and embedding if they have one.
     """
-    asked = embed(spread(questions), "question", embedder)
-    known = passages if "embedding" in passages.columns else embed(spread(passages), "content", embedder)
+    asked = embed(questions, "question", embedder)
+    known = passages if "embedding" in passages.columns else embed(passages, "content", embedder)
     hits = knn_join(asked, known, k, corpus_id="passage_id")
     return (
         passages.select("passage_id", "content", "source").join(hits, "passage_id")

@@ -39,13 +39,12 @@ LEFT JOIN orders o ON o.o_custkey = c.c_custkey
 RIGHT JOIN region r ON r.r_regionkey = n.n_regionkey
 FULL JOIN supplier s ON s.s_suppkey = c.c_custkey""")
 
-# Earlier orders of the same customer and year: an equi-join with the range as its further condition.
+# Every line meets the band it can lie in, by an equi-join on the band's number; the range is the further condition.
 register_sql("l3_range_join", """
-SELECT o.o_orderkey, count(*) AS earlier, min(p.o_totalprice) AS least FROM
-  (SELECT o_orderkey, o_custkey, o_orderdate, year(o_orderdate) AS y FROM orders) o
-JOIN (SELECT o_custkey, o_orderdate, o_totalprice, year(o_orderdate) AS y FROM orders) p
-  ON o.o_custkey = p.o_custkey AND o.y = p.y AND p.o_orderdate < o.o_orderdate
-GROUP BY o.o_orderkey""")
+SELECT b.r_name, count(*) AS n, CAST(sum(l.l_quantity) AS BIGINT) AS quantity FROM lineitem l
+JOIN (SELECT r_name, r_regionkey AS band, r_regionkey * 10 + 1 AS low, r_regionkey * 10 + 9 AS high FROM region) b
+  ON CAST(floor(l.l_quantity / 10) AS INT) = b.band AND l.l_quantity >= b.low AND l.l_quantity < b.high
+GROUP BY b.r_name""")
 
 register_sql("l4_semi_and_anti_joins", """
 SELECT c_custkey, c_mktsegment FROM customer c

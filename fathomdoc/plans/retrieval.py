@@ -85,7 +85,7 @@ def filtered_neighbours(spark, folder):
 
 
 def windows(spark, folder):
-    return fixed_windows(table(spark, folder, "documents"), "text").select(
+    return fixed_windows(spread(table(spark, folder, "documents")), "text").select(
         "doc_id", "chunk_no", "lang", "source", F.col("chunk_text").alias("content"),
         F.concat_ws("-", "doc_id", "chunk_no").alias("passage_id"))
 
