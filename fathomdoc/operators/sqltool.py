@@ -14,6 +14,7 @@ from fathomdoc.session import once
 QUOTED_OR_COMMENT = re.compile(
     r"""(?P<quoted>'(?:[^']|'')*+(?:'|\Z)|"(?:[^"]|"")*+(?:"|\Z))|(?P<line>--[^\n]*(?P<end>\n)?)|(?P<block>/\*)""")
 NOT_ASCII = r"[^\x00-\x7F]"
+JVM_CALL = re.compile(r"\b(?:try_reflect|reflect|java_method)\W*\(", re.IGNORECASE)
 BLOCK_EDGE = re.compile(r"/\*|\*/")
 
 
@@ -98,13 +99,18 @@ def cap_rows(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """One read-only statement; ``args`` fill named parameters such as ``:low``. A refused one raises ValueError."""
+    """One read-only statement; ``args`` fill named parameters such as ``:low``. A refused one raises ValueError.
+
+    Spark functions that call into the JVM are refused too: a SELECT could do more than read with them.
+    """
     known = unicodedata.normalize("NFKC", sql)
     row = spark.sql("SELECT :sql AS sql, :known AS _n, :bare AS _c",
                     args={"sql": sql, "known": known, "bare": without_comments(known).strip()})
     verdict = _judged(row, "sql", DEFAULTS.sql_max_chars).head()
     if not verdict["ok"]:
         raise ValueError(verdict["reason"])
+    if JVM_CALL.search(verdict["normalised"]):
+        raise ValueError(fixed.NOT_READ_ONLY)
     return spark.sql(verdict["normalised"], args=args or {})
 
 

@@ -138,6 +138,8 @@ def test_guard(spark):
         if normalised is None:
             with pytest.raises(ValueError):
                 Q.read_only_sql(spark, sql)
+    with pytest.raises(ValueError):
+        Q.read_only_sql(spark, "SELECT reflect('java.lang.System', 'nanoTime')")
 
 
 @settings(max_examples=200, deadline=None)
