@@ -85,16 +85,14 @@ def blocks_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: F.coalesce(F.get_json_object(b, "$.text"), b)), "\n")
 
 
-def rerank_index(item: Column) -> Column:
-    """Candidate position as int, null where missing or not a number."""
-    value = field(item, "index")
-    text = value.try_cast("string")
+def rerank_index(given: Column) -> Column:
+    """Candidate position as int of an item's index, null where it is not a number."""
+    text = given.try_cast("string")
     whole = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)\s*$", 1)
-    return (
-        F.when(kind(value) == "NUMBER", value.try_cast("double").cast("bigint"))
-        .when(kind(value) == "BOOLEAN", value.try_cast("boolean").cast("bigint"))
-        .when(kind(value) == "STRING", whole.try_cast("bigint"))
-    )
+    return let(kind(given), lambda k: (
+        F.when(k == "NUMBER", given.try_cast("double").cast("bigint"))
+        .when(k == "BOOLEAN", given.try_cast("boolean").cast("bigint"))
+        .when(k == "STRING", whole.try_cast("bigint"))))
 
 
 def rerank_score(item: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions import payload as P
 from fathomdoc.functions.scoring import display_score, lexical_score
+from fathomdoc.session import once
 
 ScoreFn = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
 
@@ -39,11 +40,11 @@ def parse_scores(results: DataFrame, item: str = "item") -> DataFrame:
     Items without an index are dropped. One index that is not a number voids all items of its query, which then
     falls back to vector order.
     """
-    value = P.object_or_null(F.col(item))
-    given = P.field(value, "index")
-    parsed = results.select(
-        "query_id", "response_order", P.rerank_index(value).alias("cand_idx"), P.rerank_score(value).alias("score"),
-        (given.isNotNull() & (P.kind(given) != "VOID")).alias("_given"))
+    read = once(results, _item=P.object_or_null(F.col(item)))
+    read = once(read, _index=P.field(F.col("_item"), "index"))
+    parsed = once(read, cand_idx=P.rerank_index(F.col("_index")), score=P.rerank_score(F.col("_item"))).select(
+        "query_id", "response_order", "cand_idx", "score",
+        (F.col("_index").isNotNull() & (P.kind(F.col("_index")) != "VOID")).alias("_given"))
     voided = F.max(F.col("_given") & F.col("cand_idx").isNull()).over(Window.partitionBy("query_id"))
     return (
         parsed.withColumn("_void", voided)
