@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fathomdoc.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -27,13 +28,17 @@ def rows(table):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, database, name):
-    found = entry.queries()[name](spark, FOLDER).toArrow()
-    expected = database.sql(entry.oracle_sql()[name]).to_arrow_table()
+    found = QUERIES[name](spark, FOLDER).toArrow()
+    expected = database.sql(SQL[name]).to_arrow_table()
     assert sorted(found.column_names) == sorted(expected.column_names)
     assert rows(found) == rows(expected)
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+
+
+def test_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
