@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fathomdoc.session import work_folder
+
 #: A word is a run of other characters than these (space, tab, line feed, vertical tab, form feed, return).
 SPACE_BYTES = (32, 9, 10, 11, 12, 13)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,3 +114,10 @@ def remainder(key: Column, modulus: int) -> Column:
 
 def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a table in the shared folder and read again: computed once, kept when executors go."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,10 +3,10 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, packing
-from fathomdoc.llm.common import scan_table
+from fathomdoc.llm import archive, langid, lattice, packing
+from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,17 @@ def op9(spark, folder):
 @query("op10_power_of_two_packing")
 def op10(spark, folder):
     return packing.pack(scan_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op3_subword_language_id")
+def op3(spark, folder):
+    docs = scan_table(spark, folder, "documents")
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op5_subword_lattice_likelihood")
+def op5(spark, folder):
+    docs = scan_table(spark, folder, "documents")
+    return lattice.score_documents(docs, remainder(F.col("doc_id"), 7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
