@@ -22,6 +22,8 @@ _FOLDED[65:91] = _CODE[97:123]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: For callers that take punctuation as blank too: all ASCII characters but letters and digits.
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,9 +38,10 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with the bytes and offsets of its text column; null is the empty text."""
     texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
+    texts = pc.utf8_lower(texts) if lower else texts
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
@@ -50,12 +53,12 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end) of every word; a word never crosses from one text to the next."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    word = ~_IS_SPACE[data]
+    word = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins, ends = word.copy(), word.copy()

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, langid, lattice, packing
+from fathomdoc.llm import archive, decontaminate, langid, lattice, packing
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op3(spark, folder):
 def op5(spark, folder):
     docs = scan_table(spark, folder, "documents")
     return lattice.score_documents(docs, remainder(F.col("doc_id"), 7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op2_latent_decontamination")
+def op2(spark, folder):
+    return decontaminate.contaminated(*[scan_table(spark, folder, t) for t in ("documents", "benchmark")])
