@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, langid, lattice, packing
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, packing
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5(spark, folder):
 @query("op2_latent_decontamination")
 def op2(spark, folder):
     return decontaminate.contaminated(*[scan_table(spark, folder, t) for t in ("documents", "benchmark")])
+
+
+@query("op8_jaccard_metric_join")
+def op8(spark, folder):
+    return jaccard.similar_documents(scan_table(spark, folder, "documents"))
