@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, packing
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, packing, quality
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,50 @@ def op2(spark, folder):
 @query("op8_jaccard_metric_join")
 def op8(spark, folder):
     return jaccard.similar_documents(scan_table(spark, folder, "documents"))
+
+
+QUALITY_SQL = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, row_number() OVER () AS rid FROM documents),
+    big AS (SELECT lang FROM d GROUP BY lang HAVING count(*) >= 0.005 * (SELECT count(*) FROM d)),
+    r AS (SELECT rid, doc_id, t, CASE WHEN lang IN (SELECT lang FROM big) THEN lang ELSE '' END AS ref,
+      list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+      list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS low,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    f AS (SELECT rid, doc_id, ref, len(words) AS n_words, CAST(list_sum(list_transform(words, lambda x: length(x))) AS BIGINT) AS wc,
+      len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '[0-9]')) AS digit,
+      len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(t) AS chars,
+      length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS ascii, length(regexp_replace(t, '\P{L}+', '', 'g')) AS letters,
+      length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper FROM r),
+    p AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS i FROM r),
+    g AS (SELECT rid, i, word || ' ' || lead(word) OVER s || ' ' || lead(word, 2) OVER s AS three FROM p
+      WINDOW s AS (PARTITION BY rid ORDER BY i)),
+    again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, three) AS n FROM g WHERE three IS NOT NULL) WHERE n > 1),
+    covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+    lw AS (SELECT rid, ref, unnest(low) AS word FROM r),
+    tot AS (SELECT ref, count(*) AS total FROM lw GROUP BY ref),
+    q AS (SELECT ref, word, count(*) / any_value(total) AS q FROM lw JOIN tot USING (ref) GROUP BY ref, word
+      HAVING count(*) >= 0.005 * any_value(total)),
+    rest AS (SELECT ref, 1 - coalesce(sum(q), 0) AS q FROM tot LEFT JOIN q USING (ref) GROUP BY ref),
+    bins AS (SELECT rid, lw.ref, CASE WHEN q.word IS NULL THEN NULL ELSE lw.word END AS word, count(*) AS c
+      FROM lw LEFT JOIN q ON q.ref = lw.ref AND q.word = lw.word GROUP BY ALL),
+    pq AS (SELECT rid, c / sum(c) OVER (PARTITION BY rid) AS p, coalesce(q.q, rest.q) AS q FROM bins
+      LEFT JOIN q ON q.ref = bins.ref AND q.word = bins.word JOIN rest ON rest.ref = bins.ref),
+    wd AS (SELECT rid, sum(p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) + greatest(0, 1 - sum(q)) AS twice
+      FROM pq GROUP BY rid),
+    c AS (SELECT rid, ref, unnest([greatest(ascii - least(upper, ascii), 0), least(upper, ascii), letters - ascii, digit,
+      chars - coalesce(wc, 0), n_symbols, chars - letters - digit - (chars - coalesce(wc, 0)) - n_symbols]) AS n, unnest(range(7)) AS k, chars FROM f),
+    e AS (SELECT ref, k, sum(n) / sum(chars) AS q FROM c GROUP BY ref, k),
+    cd AS (SELECT rid, sum(CASE WHEN n > 0 THEN n / chars * log2(2 * n / chars / (n / chars + q)) ELSE 0 END
+      + CASE WHEN q > 0 THEN q * log2(2 * q / (n / chars + q)) ELSE 0 END) AS twice FROM c JOIN e USING (ref, k) WHERE chars > 0 GROUP BY rid),
+    z AS (SELECT doc_id, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+      CASE WHEN chars >= 400 THEN round(sqrt(greatest(0, cd.twice / 2)), 6) END AS char_distance,
+      CASE WHEN n_words >= 100 THEN round(sqrt(greatest(0, wd.twice / 2)), 6) END AS word_distance
+      FROM f LEFT JOIN covered USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+      NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(char_distance <= 0.28, true)
+        AND coalesce(word_distance <= 0.3, true) AS kept FROM z"""
+
+
+@query("op1_divergence_quality", QUALITY_SQL)
+def op1(spark, folder):
+    return quality.quality_rules(scan_table(spark, folder, "documents"))
