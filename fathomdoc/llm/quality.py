@@ -136,8 +136,8 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     classes = facts.groupBy("ref").agg(*[F.sum(F.get("bins", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)],
                                        F.sum("chars").alias("all_chars"))
-    reference = classes.select("ref", F.array(*[F.col(c) / F.col("all_chars") for c in CLASSES]).alias("expected"))
-    char = F.aggregate(F.zip_with("bins", "expected", lambda n, q: _divergence(n / F.col("chars"), q)), F.lit(0.0), lambda a, b: a + b)
+    reference = classes.select("ref", F.array(*[F.col(c) / F.greatest("all_chars", F.lit(1)) for c in CLASSES]).alias("expected"))
+    char = F.aggregate(F.zip_with("bins", "expected", lambda n, q: _divergence(n / F.greatest("chars", F.lit(1)), q)), F.lit(0.0), lambda a, b: a + b)
     judged = facts.join(F.broadcast(reference), "ref", "left").withColumn(
         "char_distance", F.when(F.col("chars") >= LEAST_CHARS, _distance(char)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))

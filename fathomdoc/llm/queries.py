@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, packing, quality
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, quality
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ QUALITY_SQL = r"""
 @query("op1_divergence_quality", QUALITY_SQL)
 def op1(spark, folder):
     return quality.quality_rules(scan_table(spark, folder, "documents"))
+
+
+@query("op7_deletion_neighbourhood_lines")
+def op7(spark, folder):
+    return linededup.repeated_lines(scan_table(spark, folder, "documents"))
