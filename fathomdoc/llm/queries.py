@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, quality
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, pseudonyms, quality
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op1(spark, folder):
 @query("op7_deletion_neighbourhood_lines")
 def op7(spark, folder):
     return linededup.repeated_lines(scan_table(spark, folder, "documents"))
+
+
+#: The key of a production run comes from the job's settings; this one makes the registered query repeatable.
+PSEUDONYM_KEY = "registered-query"
+
+
+@query("op4_feistel_pseudonyms")
+def op4(spark, folder):
+    return pseudonyms.pseudonymise(scan_table(spark, folder, "documents"), PSEUDONYM_KEY)
