@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, pseudonyms, quality
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, pseudonyms, quality, secretscan
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ PSEUDONYM_KEY = "registered-query"
 @query("op4_feistel_pseudonyms")
 def op4(spark, folder):
     return pseudonyms.pseudonymise(scan_table(spark, folder, "documents"), PSEUDONYM_KEY)
+
+
+@query("op6_secret_forest")
+def op6(spark, folder):
+    return secretscan.scan_secrets(scan_table(spark, folder, "documents"))

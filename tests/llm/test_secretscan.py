@@ -1,0 +1,61 @@
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from fathomdoc.llm import secretscan
+
+FILLER = "the house and water were near that river with people walking around under green trees"
+
+
+def make(seed):
+    source = random.Random(seed)
+    rows, secrets = [], set()
+    for i in range(120):
+        hexa = "".join(source.choice("0123456789abcdef") for _ in range(40))
+        mixed = "".join(source.choice("ABCDEFabcdefghXYZ0123456789") for _ in range(32))
+        text = [f'{FILLER} token = "{hexa}" {FILLER}', f"{FILLER} commit {hexa} {FILLER}", f"{FILLER} {source.randrange(10**16, 10**17)} x",
+                f"see https://host.example/path/{mixed}/index.html {FILLER}", f"api key: {mixed} {FILLER}", f"{FILLER} HouseWaterRiverPeople1 end"][i % 6]
+        if i % 6 in (0, 4):
+            secrets.add(i)
+        rows.append((i, text * (1 if i % 6 else 2)))
+    return rows, secrets
+
+
+def test_forest_removes_false_positives(spark):
+    rows, secrets = make(1)
+    docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, probability double, features string")
+    found = secretscan.scan_secrets(docs).collect()
+    flagged = {r.doc_id for r in found if r.secret}
+    assert {i for i in secrets if i % 6 == 0} <= flagged and not any(i % 6 in (2, 3, 5) for i in flagged)
+    assert all(0 <= r.probability <= 1 for r in found)
+    row = next(r for r in found if r.doc_id == 0)
+    value = rows[0][1][row.start : row.start + row.length]
+    assert len(value) == 40 and row.fingerprint == hashlib.sha256(value.encode()).hexdigest()[:16]
+
+
+def test_given_labels_and_held_out_accuracy(spark):
+    rows, secrets = make(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secretscan.findings(docs, secretscan.dictionary(docs)).select("doc_id", "start").collect()
+    labels = spark.createDataFrame([(r.doc_id, r.start, int(r.doc_id in secrets)) for r in found if r.doc_id < 80], "doc_id long, start long, label int")
+    judged = [r for r in secretscan.scan_secrets(docs, labels).collect() if r.doc_id >= 80]
+    right = sum(r.secret == (r.doc_id in secrets) for r in judged)
+    assert len(judged) >= 35 and right >= 0.95 * len(judged)
+
+
+def test_edges(spark):
+    key = "ghp_" + "aZ3" * 12
+    rows = [(1, None), (2, ""), (3, "short aB3"), (4, f'x "{key}"'), (4, f'x "{key}"'), (None, key), (5, ("word " * 50_000) + key), (6, "a1" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secretscan.scan_secrets(docs).collect()
+    assert sorted((r.doc_id or 0, r.start, r.secret) for r in found) == [(0, 0, True), (4, 3, True), (4, 3, True), (5, 250_000, True)]
+    assert secretscan.scan_secrets(docs.limit(0)).count() == 0
+    assert secretscan.scan_secrets(docs.filter(F.col("doc_id") == 3)).count() == 0
+
+
+def test_features():
+    f = secretscan.Features({"house": 0.1, "water": 0.2})
+    names = dict(zip(secretscan.FEATURES, f.of('token = "housewater1234567"', 9, 26)))
+    assert (names["length"], names["quoted"], names["assigned"], names["secret_words"], names["covered"]) == (17, 1, 1, 1, 10 / 17)
+    assert names["transitions"] == 1 / 17 and names["digits"] == 7 / 17
