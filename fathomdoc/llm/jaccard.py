@@ -346,3 +346,28 @@ def similar_documents(documents: DataFrame, width: int = 4, percent: int = 85) -
     without = own.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     return with_words.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(
         without.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``documents``, with all their columns, with one document of each group of linked ones: the smallest doc_id.
+
+    Rows that repeat both id and text are one document. A row without an id goes if its set is that of a document with
+    one, and else stays. Documents without words stay.
+    """
+    labels = written(similar_documents(documents, width, percent), "components")
+    removed = labels.filter("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("removed_id")).distinct()
+    removed = F.broadcast(removed) if removed.count() <= SENT_IDS else removed
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    kept = rows.join(removed, F.col("row.doc_id") == F.col("removed_id"), "left_anti")
+    if not labels.filter("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
+        # Of the rows without an id, those equal to a document with one: few, and found by their text.
+        named = kept.filter("row.doc_id IS NOT NULL").select(F.xxhash64("row.text").alias("named_text")).distinct()
+        kept = kept.filter("row.doc_id IS NOT NULL").union(
+            kept.filter("row.doc_id IS NULL").join(named, F.xxhash64("row.text") == F.col("named_text"), "left_anti"))
+    repeated = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.col("doc_id").alias("repeated_id"))
+    if not repeated.isEmpty():
+        again = F.col("row.doc_id") == F.col("repeated_id")
+        once_ = kept.join(repeated, again, "left_semi").groupBy("row.doc_id", "row.text").agg(F.first("row").alias("row")).select("row")
+        kept = kept.join(repeated, again, "left_anti").union(once_)
+    return kept.select("row.*")
