@@ -5,10 +5,15 @@ EXTENSIONS = [".txt", ".pdf", ".docx", ".json"]
 
 # Words that make a statement more than a read.
 FORBIDDEN_WORDS = (
-    "alter analyze attach call checkpoint cluster comment copy create deallocate delete detach discard do drop "
-    "execute explain grant insert into listen load lock merge notify prepare reassign refresh reindex release reset "
-    "revoke savepoint security set show truncate unlisten update vacuum write"
-).split()
+    "alter", "analyze", "attach", "call", "checkpoint", "cluster", "comment", "copy", "create", "deallocate", "delete",
+    "detach", "discard", "do", "drop", "execute", "explain", "grant", "insert", "into", "listen", "load", "lock", "merge",
+    "notify", "prepare", "reassign", "refresh", "reindex", "release", "reset", "revoke", "savepoint", "security", "set",
+    "show", "truncate", "unlisten", "update", "vacuum", "write",
+)
+
+# Messages of the upload report.
+UPLOADED = "Successfully uploaded and processed %d files"
+NOTHING_UPLOADED = "No processable content found in uploaded files"
 
 # Reasons the guard gives.
 NOT_ASCII = "SQL must contain only ASCII characters"

@@ -86,13 +86,13 @@ def blocks_text(blocks: Column) -> Column:
 
 
 def rerank_index(given: Column) -> Column:
-    """Candidate position as int of an item's index, null where it is not a number."""
+    """Candidate position of an item's index, null where it is not a number, -1 where it is too large for any list."""
     text = given.try_cast("string")
     whole = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)\s*$", 1)
     return let(kind(given), lambda k: (
-        F.when(k == "NUMBER", given.try_cast("double").cast("bigint"))
+        F.when(k == "NUMBER", F.coalesce(given.try_cast("double").try_cast("bigint"), F.lit(-1)))
         .when(k == "BOOLEAN", given.try_cast("boolean").cast("bigint"))
-        .when(k == "STRING", whole.try_cast("bigint"))))
+        .when((k == "STRING") & (whole != ""), F.coalesce(whole.try_cast("bigint"), F.lit(-1)))))
 
 
 def rerank_score(item: Column) -> Column:

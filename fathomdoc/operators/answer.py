@@ -59,6 +59,16 @@ def extractive_answers(prompts: Sequence[str]) -> list[str]:
     return [b.split("\n\n")[0] for b in bodies]
 
 
+def _answers(fn: GenerateFn, prompts: list[str]) -> list[str]:
+    """Answers of a batch; where the function fails, each prompt is tried alone and a failure becomes its answer."""
+    try:
+        return list(fn(prompts))
+    except Exception as error:  # any model, any prompt
+        if len(prompts) == 1:
+            return [f"Error: {type(error).__name__}: {error}"]
+        return [a for p in prompts for a in _answers(fn, [p])]
+
+
 def generate(prompts: DataFrame, fn: GenerateFn = extractive_answers, batch_size: int = 32) -> DataFrame:
     """Adds answer, trimmed; rows without a prompt get the fixed message and are not sent to ``fn``.
 
@@ -71,7 +81,7 @@ def generate(prompts: DataFrame, fn: GenerateFn = extractive_answers, batch_size
             present = batch[batch.notna()]
             answers: list = []
             for start in range(0, len(present), batch_size):
-                answers += list(fn(present.iloc[start:start + batch_size].tolist()))
+                answers += _answers(fn, present.iloc[start:start + batch_size].tolist())
             yield pd.Series([a.strip() for a in answers], index=present.index, dtype=object).reindex(batch.index)
 
     return prompts.withColumn("answer", F.coalesce(run.asNondeterministic()("prompt"), F.lit(fixed.NO_DOCUMENTS)))
@@ -82,13 +92,13 @@ def template_table(spark, templates=fixed.TASK_TEMPLATES) -> DataFrame:
 
 
 def task_prompts(inputs: DataFrame, templates: DataFrame) -> DataFrame:
-    """Prompt per input row (task, first_input, second_input) from templates, one per task.
+    """Prompt per input row (task, first_input, second_input) from templates, one per task; null for other tasks.
 
     Spark broadcasts the templates while they are below its own size threshold.
     """
     second = F.when(F.col("middle").isNotNull(), F.concat("middle", X.strip(F.coalesce("second_input", F.lit("")))))
     return (
-        inputs.join(templates, "task")
+        inputs.join(templates, "task", "left")
         .withColumn("prompt", F.concat("head", X.strip(F.col("first_input")), F.coalesce(second, F.lit("")), "tail"))
         .drop("head", "middle", "tail")
     )

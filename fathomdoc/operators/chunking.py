@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fathomdoc.config import DEFAULTS
+from fathomdoc.session import once
 
 # Paragraph, line, word, character.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -18,12 +19,12 @@ def fixed_windows(df: DataFrame, text: str, size: int = DEFAULTS.chunk_size,
     This is what the recursive splitter gives for text without separators. No shuffle, no Python.
     """
     step = size - overlap
+    # Cut once into blocks of one step, of which neighbours make a window: linear in the length of the text.
+    cut = once(df, _blocks=F.regexp_extract_all(text, F.lit(f"((?s).{{1,{step}}})"), F.lit(1)))
     last = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / step).cast("int")
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), last))
-    return (
-        df.select("*", F.explode(starts).alias("chunk_no"))
-        .withColumn("chunk_text", F.substring(F.col(text), F.col("chunk_no") * step + 1, F.lit(size)))
-    )
+    windows = once(cut, _windows=F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(
+        F.concat(*[F.coalesce(F.get("_blocks", i + n), F.lit("")) for n in range(-(-size // step))]), 1, size))))
+    return windows.drop("_blocks").select("*", F.posexplode("_windows").alias("chunk_no", "chunk_text")).drop("_windows")
 
 
 def _pieces(text: str, separator: str) -> list[str]:

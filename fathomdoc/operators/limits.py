@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions import text as X
 from fathomdoc.functions.time import epoch_micros
-from fathomdoc.operators.skew import running_total, top_per_group
+from fathomdoc.operators.skew import null_safe_join, running_total, top_per_group
 
 # Windows of one key that are summed together.
 STRETCH_WINDOWS = 16
@@ -16,7 +16,7 @@ def request_rate(events: DataFrame, key: str, ts: str, window_seconds: int, incl
     """Requests of the key within the window that ends at this row, this row included.
 
     Every request counts +1 at its time and -1 when it leaves the window, so the rate is a running total of
-    per-instant sums. ``inclusive`` keeps a request exactly one window old.
+    per-instant sums. Requests without a time are left out; a null key is a key. ``inclusive`` keeps a request exactly one window old.
     """
     window = window_seconds * 1_000_000
     # Times are doubled: odd places between them are where requests leave.
@@ -30,7 +30,7 @@ def request_rate(events: DataFrame, key: str, ts: str, window_seconds: int, incl
         .groupBy(key, "_at").agg(F.sum("_step").alias("_step"))
     )
     totals = running_total(instants, [key], "_at", "_step", 2 * window * STRETCH_WINDOWS, name)
-    return timed.join(totals.select(key, "_at", name), [key, "_at"]).drop("_at")
+    return null_safe_join(timed, totals.select(key, "_at", name), [key, "_at"]).drop("_at")
 
 
 def batch_totals(files: DataFrame, batch: str = "batch", size: str = "size") -> DataFrame:
@@ -44,7 +44,8 @@ def admit_batches(files: DataFrame, batch: str = "batch", file_no: str = "file_n
     """One row per batch: admitted, and the reason of the first violation in file order.
 
     Too many files are refused before anything else, so only the first ``max_files + 1`` files of a batch are
-    looked at in order; the rest is dropped before the shuffle.
+    looked at in order; the rest is dropped before the shuffle. Bytes are counted while a file is read, so a file that
+    is too large by both limits is refused for the one that it meets first.
     """
     looked_at = top_per_group(files, [batch], [F.col(file_no)], max_files + 1, "_n", F.col(file_no))
     order = Window.partitionBy(batch).orderBy(file_no)
@@ -52,7 +53,7 @@ def admit_batches(files: DataFrame, batch: str = "batch", file_no: str = "file_n
     reason = (
         F.when(~X.has_known_suffix(F.col(file_name)), "file_type")
         .when(X.safe_name(F.col(file_name)).isNull(), "file_name")
-        .when(F.col(size) > max_file, "file_size")
+        .when((F.col(size) > max_file) & (running - F.col(size) + max_file <= max_total), "file_size")
         .when(running > max_total, "total_size")
     )
     return (

@@ -22,13 +22,24 @@ def lexical_scores(candidates: DataFrame, query: str = "question", content: str
     )
 
 
+def _scores(fn: ScoreFn, queries: list, contents: list) -> list:
+    """Scores of a batch; where the function fails, each pair is tried alone, and those that fail have none."""
+    try:
+        return list(fn(queries, contents))
+    except Exception:  # any scorer, any input
+        if len(queries) == 1:
+            return [None]
+        return [s for q, c in zip(queries, contents) for s in _scores(fn, [q], [c])]
+
+
 def model_scores(candidates: DataFrame, fn: ScoreFn, query: str = "question", content: str = "content") -> DataFrame:
-    """Scores from a batch function over (queries, contents)."""
+    """Scores from a batch function over (queries, contents); a pair it fails for has a null score, and a query
+    without any score keeps its vector order (``best_scored``)."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, contents in batches:
-            yield pd.Series(fn(queries.tolist(), contents.tolist()), index=queries.index, dtype=float)
+            yield pd.Series(_scores(fn, queries.tolist(), contents.tolist()), index=queries.index, dtype=float)
 
     return candidates.select(
         "query_id", "cand_idx", run.asNondeterministic()(query, content).alias("score"), F.col("cand_idx").alias("response_order"))
@@ -37,7 +48,7 @@ def model_scores(candidates: DataFrame, fn: ScoreFn, query: str = "question", co
 def parse_scores(results: DataFrame, item: str = "item") -> DataFrame:
     """Scores from a reranker's JSON items (query_id, response_order, item).
 
-    Items without an index are dropped. One index that is not a number voids all items of its query, which then
+    Items without an index are dropped; one beyond any list keeps its place and meets no candidate. One index that is not a number voids all items of its query, which then
     falls back to vector order.
     """
     read = once(results, _item=P.object_or_null(F.col(item)))
@@ -49,7 +60,7 @@ def parse_scores(results: DataFrame, item: str = "item") -> DataFrame:
     return (
         parsed.withColumn("_void", voided)
         .filter(F.col("_given") & ~F.col("_void"))
-        .select("query_id", F.col("cand_idx").cast("int").alias("cand_idx"), "score", "response_order")
+        .select("query_id", F.coalesce(F.col("cand_idx").try_cast("int"), F.lit(-1)).alias("cand_idx"), "score", "response_order")
     )
 
 

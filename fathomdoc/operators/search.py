@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathomdoc.functions.scoring import similarity_percent
 from fathomdoc.operators.skew import top_per_group
-from fathomdoc.session import table_within
+from fathomdoc.session import cut_lineage
 
 # Distances are rounded so that equal vectors tie, whatever the batch they were computed in.
 DECIMALS = 9
@@ -26,6 +26,9 @@ EXACT_PAIRS = 32768
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal-length float lists as a 2-d array of doubles."""
+    lengths = pc.unique(pc.list_value_length(column).drop_null())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different length: {sorted(lengths.to_pylist())[:5]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1 if len(column) else 0)
 
@@ -94,6 +97,8 @@ class _Nearest:
         if self.found is None:
             self.found = np.zeros((len(self.ids), self.k), dtype=ids.dtype)
         norms = (corpus * corpus).sum(axis=1)
+        if corpus.shape[1] != self.vectors.shape[1]:
+            raise ValueError(f"vectors of different length: {self.vectors.shape[1]} and {corpus.shape[1]}")
         codes = sign_codes(corpus, *self.lsh) if self.lsh else None
         for start in range(0, len(ids), TILE):
             part = slice(start, start + TILE)
@@ -227,7 +232,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
     ``where`` filters the corpus before the search. ``lsh=(tables, bits)`` only compares vectors that share a
     code in some table (approximate). Ties go to the smaller corpus id. Vectors are finite and of one length.
 
-    Query vectors within ``broadcast_bytes`` are sent to the scan of the corpus, which is then not shuffled;
+    Query vectors that, with k results each, are counted to be within ``broadcast_bytes`` are sent to the scan of the corpus, which is then not shuffled;
     more of them are joined in bounded cells: all slices with all slices, or with ``lsh`` bucket by bucket. Both
     ways give the same rows; they are exact without ``lsh``. Rows without a vector
     are skipped in the tasks: a filter on a vector made by a UDF would be pushed down and make it twice.
@@ -241,7 +246,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
         T.StructField(names[1], corpus.schema[corpus_id].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
-    small = table_within(queries, broadcast_bytes)
+    # Fixed once, so that an embedding function runs once, and measured before anything is fetched.
+    queries = cut_lineage(queries)
+    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
+    small = queries.toArrow() if 8 * numbers + n * (16 + 16 * k) <= broadcast_bytes else None
     if small is None:
         partial = (_bucket_join(queries, corpus, k, schema, lsh, cell_rows) if lsh
                    else _grid_join(queries, corpus, k, schema, cell_rows))

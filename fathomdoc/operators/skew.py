@@ -16,16 +16,22 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spre
     return salted.join(repeated, on + ["_salt"], how).drop("_salt")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join on the keys, in which a null key is a key like others."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    equal = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys])
+    return left.join(other, equal).drop(*[f"_right_{k}" for k in keys])
+
+
 def _stretched(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
-    """Adds _stretch. The filter is the one the later join infers; stated here, both of its sides share a shuffle."""
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "_stretch"]])
-    return df.withColumn("_stretch", F.floor(F.col(order) / width)).filter(present)
+    """Adds _stretch; rows without an order have no place and are left out, rows with null keys stay."""
+    return df.withColumn("_stretch", F.floor(F.col(order) / width)).filter(F.col("_stretch").isNotNull())
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, width: int, name: str) -> DataFrame:
     """``name`` = sum of ``value`` over all rows of the key with ``order`` up to this row's (peers included).
 
-    ``order`` is integral; it and the keys are not null. Rows are windowed per (key, stretch of ``width``); a hot
+    ``order`` is integral; rows where it is null are left out. Rows are windowed per (key, stretch of ``width``); a hot
     key therefore spreads over its stretches, and only one total per stretch is windowed per key.
     """
     stretched = _stretched(df, keys, order, width)
@@ -38,7 +44,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, width:
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     return (
         stretched.withColumn(name, F.sum(value).over(inside))
-        .join(carried, keys + ["_stretch"])
+        .transform(null_safe_join, carried, keys + ["_stretch"])
         .withColumn(name, F.col(name) + F.col("_carried"))
         .drop("_stretch", "_carried")
     )
@@ -47,7 +53,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, width:
 def last_items(df: DataFrame, keys: list[str], order: str, item: Column, n: int, width: int, name: str) -> DataFrame:
     """``name`` = array of the last ``n`` items of the key up to and including this row.
 
-    Keys and order are not null. Windowed per (key, stretch of ``width`` order values); the last items of earlier
+    Rows where the order is null are left out. Windowed per (key, stretch of ``width`` order values); the last items of earlier
     stretches are carried in, at most ``n`` per stretch.
     """
     stretched = _stretched(df, keys, order, width).withColumn("_item", item)
@@ -64,7 +70,7 @@ def last_items(df: DataFrame, keys: list[str], order: str, item: Column, n: int,
     )
     joined = F.concat("_before", name)
     return (
-        local.join(carried, keys + ["_stretch"])
+        null_safe_join(local, carried, keys + ["_stretch"])
         .withColumn(name, F.slice(joined, F.greatest(F.size(joined) - n + 1, F.lit(1)), n))
         .drop("_stretch", "_item", "_last", "_before")
     )

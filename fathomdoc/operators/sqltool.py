@@ -101,7 +101,8 @@ def cap_rows(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
     """One read-only statement; ``args`` fill named parameters such as ``:low``. A refused one raises ValueError.
 
-    Spark functions that call into the JVM are refused too: a SELECT could do more than read with them.
+    Spark functions that call into the JVM are refused too, and so are files by their path: a SELECT could do more with
+    them than read the known tables.
     """
     known = unicodedata.normalize("NFKC", sql)
     row = spark.sql("SELECT :sql AS sql, :known AS _n, :bare AS _c",
@@ -111,16 +112,26 @@ def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> Da
         raise ValueError(verdict["reason"])
     if JVM_CALL.search(verdict["normalised"]):
         raise ValueError(fixed.NOT_READ_ONLY)
-    return spark.sql(verdict["normalised"], args=args or {})
+    # A path as a table name would read any file the job can.
+    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        return spark.sql(verdict["normalised"], args=args or {})
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)
 
 
 def guarded_sql(spark: SparkSession, sql: str, args: dict | None = None,
                 max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Capped rows of one read-only statement, and their summary.
+    """Capped rows of one read-only statement, and one row with sql, columns, row_count, truncated and max_rows.
 
-    Column names are those of the result, also when it is empty.
+    The statement runs once: at most one row more than the cap is fetched, and both results come from these rows.
     """
-    return cap_rows(read_only_sql(spark, sql, args), row_limit(max_rows))
+    found, n = read_only_sql(spark, sql, args), row_limit(max_rows)
+    fetched = found.limit(n + 1).toArrow()
+    summary = [(sql, found.columns, min(fetched.num_rows, n), fetched.num_rows > n, n)]
+    return (spark.createDataFrame(fetched.slice(0, n), found.schema),
+            spark.createDataFrame(summary, "sql string, columns array<string>, row_count bigint, truncated boolean, max_rows bigint"))
 
 
 def _as_text(field: T.StructField) -> Column:

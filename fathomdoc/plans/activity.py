@@ -152,9 +152,9 @@ def conversation_summary(spark, folder):
     return H.conversation_summary(conversations(spark, folder))
 
 
-@query("b6_packed_history", """SELECT conv_id, 0 AS segment, '[' || string_agg('{"turn":' || turn || ',"role":"' || role ||
+@query("b6_packed_history", """SELECT conv_id, CAST(turn // 256 AS INTEGER) AS segment, '[' || string_agg('{"turn":' || turn || ',"role":"' || role ||
   '","text":' || CAST(to_json(text) AS VARCHAR) || '}', ',' ORDER BY turn) || ']' AS history FROM conversations
-GROUP BY conv_id""")
+GROUP BY conv_id, turn // 256""")
 def packed_history(spark, folder):
     return H.pack_history(conversations(spark, folder)).withColumn("segment", F.col("segment").cast("int"))
 

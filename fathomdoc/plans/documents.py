@@ -255,7 +255,7 @@ def uploads(spark, folder):
 
 JUDGED = f"""{UPLOADS}, judged AS (
   SELECT *, CASE WHEN NOT regexp_matches(lower(file_name), '\\.(txt|pdf|docx|json)$') THEN 'file_type'
-    WHEN size > 20000 THEN 'file_size'
+    WHEN size > 20000 AND sum(size) OVER (PARTITION BY batch ORDER BY file_no) - size + 20000 <= 30000 THEN 'file_size'
     WHEN sum(size) OVER (PARTITION BY batch ORDER BY file_no) > 30000 THEN 'total_size' END AS r FROM uploads),
 verdicts AS (SELECT batch, CASE WHEN count(*) > {{files}} THEN 'file_count' ELSE min_by(r, file_no)
   FILTER (WHERE r IS NOT NULL) END AS reason FROM judged GROUP BY batch)"""
@@ -280,7 +280,7 @@ def batch_totals(spark, folder):
 @query("b5_ingest_report", f"""WITH {JUDGED.format(files=8)}, {S.WINDOWS},
 named AS (SELECT batch, count(*) AS n, '["' || string_agg(file_name, '","' ORDER BY file_no) || '"]' AS file_names
           FROM uploads JOIN verdicts USING (batch) WHERE reason IS NULL GROUP BY batch),
-added AS (SELECT doc_id // 8 AS batch, count(*) AS a FROM windows WHERE lang <> 'fr' GROUP BY 1)
+added AS (SELECT doc_id // 8 AS batch, count(*) AS a FROM windows GROUP BY 1)
 SELECT batch, file_names, coalesce(a, 0) AS documents_added,
   CASE WHEN coalesce(a, 0) > 0 THEN 'Successfully uploaded and processed ' || n || ' files'
        ELSE 'No processable content found in uploaded files' END AS message
@@ -288,7 +288,7 @@ FROM named LEFT JOIN added USING (batch)""")
 def ingest_report(spark, folder):
     files = uploads(spark, folder)
     admitted = L.admit_batches(files, **{**LIMITS, "max_files": 8}).filter("admitted").select("batch")
-    chunks = fixed_windows(documents(spark, folder).filter("lang <> 'fr'"), "text")
+    chunks = fixed_windows(documents(spark, folder), "text")
     return C.ingest_report(files.join(admitted, "batch"), chunks.withColumn("batch", F.floor(F.col("doc_id") / 8)))
 
 
@@ -336,14 +336,16 @@ STATUS = """CASE WHEN text = '' THEN 'validation_failed' WHEN length(trim(text,
 
 
 @query("c7_i6_question_status", f"""SELECT doc_id, {STATUS} AS status FROM
-(SELECT doc_id, CASE WHEN lang = 'en' THEN text WHEN n_chars > 3000 THEN '' WHEN lang = 'fr' THEN '  ' || substring(text, 1, 2) || chr(10)
-  ELSE chr(10) || text || '   ' END AS text FROM documents)""")
+(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, CASE WHEN lang = 'en' THEN text WHEN n_chars > 3000 THEN ''
+  WHEN lang = 'fr' THEN '  ' || substring(text, 1, 2) || chr(10) ELSE chr(10) || text || '   ' END AS text FROM documents)""")
 def question_status(spark, folder):
     text = (
         F.when(F.col("lang") == "en", F.col("text")).when(F.col("n_chars") > 3000, "")
         .when(F.col("lang") == "fr", F.concat(F.lit("  "), F.substring("text", 1, 2), F.lit("\n")))
         .otherwise(F.concat(F.lit("\n"), "text", F.lit("   "))))
-    return documents(spark, folder).select("doc_id", X.question_status(text).alias("status"))
+    rows = documents(spark, folder)
+    asked = rows.select("doc_id", "text").union(rows.select("doc_id", text))
+    return asked.select("doc_id", X.question_status(F.col("text")).alias("status"))
 
 
 @query("c8_control_characters", "SELECT doc_id, text || chr(9) AS text FROM documents")
@@ -358,10 +360,12 @@ def substring_filter(spark, folder):
     return documents(spark, folder).filter(hit).select("doc_id")
 
 
-@query("c14_blank_filter", "SELECT doc_id FROM documents WHERE lang <> 'es' AND length(trim(text, E' \\n')) > 0")
+@query("c14_blank_filter", "SELECT doc_id FROM documents WHERE length(trim(text, E' \\n')) > 0")
 def blank_filter(spark, folder):
-    text = F.when(F.col("lang") == "es", "  \n\t").otherwise(F.col("text"))
-    return documents(spark, folder).filter(~X.is_blank(text)).select("doc_id")
+    """Every document, and beside it a blank one that goes."""
+    rows = documents(spark, folder).select("doc_id", "text")
+    blank = rows.withColumn("text", F.lit("  \n\t"))
+    return rows.union(blank).filter(~X.is_blank(F.col("text"))).select("doc_id")
 
 
 @query("e9_documents_per_source", "SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")

@@ -131,7 +131,7 @@ def capped_rows(spark, folder):
   CAST(200 AS BIGINT) AS max_rows FROM ({CAPPED.format(low=1000)})""")
 def cap_summary(spark, folder):
     views(spark, folder, CAPPED)
-    return Q.guarded_sql(spark, CAPPED.format(low=":low"), {"low": 1000}, max_rows=500)[1]
+    return Q.guarded_sql(spark, CAPPED.format(low=":low"), {"low": 1000}, max_rows=500)[1].drop("sql", "columns")
 
 
 @query("b4_json_safe_rows", """SELECT '{"o_orderkey":' || o_orderkey || ',"price":"' || CAST(o_totalprice AS DECIMAL(12,2)) ||

@@ -37,20 +37,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def table_within(df: DataFrame, most_bytes: int, row_bytes: int = 256):
-    """The rows as an Arrow table if they take at most ``most_bytes``, else None.
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores is dealt out to all cores before costly work; larger scans stay.
 
-    Never fetches more rows than would fit if each took ``row_bytes``; what was fetched is then measured.
+    A large table has many splits, so it is never shuffled, and never into fewer and larger parts.
     """
-    bound = most_bytes // row_bytes
-    table = df.limit(bound + 1).toArrow()
-    return table if table.num_rows <= bound and table.nbytes <= most_bytes else None
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer files than cores is dealt out to all cores before costly work; larger scans stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

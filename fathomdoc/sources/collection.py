@@ -73,11 +73,16 @@ def clear_collection(spark: SparkSession, folder: str) -> int:
     return read_collection(spark, folder).count()
 
 
+def _hit(text: str, needle: str):
+    """A null text contains nothing, so it is kept."""
+    return F.coalesce(X.contains_ignore_case(F.col(text), F.lit(needle)), F.lit(False))
+
+
 def split_by_content(passages: DataFrame, needle: str, text: str = "chunk_text") -> tuple[DataFrame, DataFrame]:
     """Rows kept, and one row with deleted_count: literal, case ignored. An empty needle is refused."""
     if not needle:
         raise ValueError("content to delete must not be empty")
-    hit = X.contains_ignore_case(F.col(text), F.lit(needle))
+    hit = _hit(text, needle)
     return passages.filter(~hit), passages.agg(F.count_if(hit).alias("deleted_count"))
 
 
@@ -91,7 +96,7 @@ def delete_by_content(spark: SparkSession, folder: str, needle: str, text: str =
     if max_scan > 0 and passages.count() > max_scan:
         raise RuntimeError(f"delete by content is limited to {max_scan} passages")
     seen = Observation("delete_by_content")
-    hit = X.contains_ignore_case(F.col(text), F.lit(needle))
+    hit = _hit(text, needle)
     kept, _ = split_by_content(passages.observe(seen, F.count_if(hit).alias("deleted")), needle, text)
     kept.write.mode("overwrite").parquet(_next_version(spark, folder))
     return seen.get["deleted"]
@@ -126,8 +131,8 @@ def ingest_report(files: DataFrame, passages: DataFrame, batch: str = "batch") -
     added = passages.groupBy(batch).agg(F.count("*").alias("_added"))
     message = F.when(
         F.col("documents_added") > 0,
-        F.concat(F.lit("Successfully uploaded and processed "), F.col("_files").cast("string"), F.lit(" files")),
-    ).otherwise("No processable content found in uploaded files")
+        F.format_string(fixed.UPLOADED, F.col("_files")),
+    ).otherwise(fixed.NOTHING_UPLOADED)
     return (
         named.join(added, batch, "left")
         .withColumn("documents_added", F.coalesce("_added", F.lit(0)))

@@ -18,11 +18,12 @@ ENTRY = ("array<struct<text:string,chunk_index:int,item_index:int,json_structure
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _pretty(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Indented form of JSON texts; nulls stay."""
+    """Indented form of JSON texts; nulls stay, and half of a surrogate pair becomes a question mark."""
     for batch in batches:
         yield batch.map(
             lambda texts: None if texts is None else
-            [None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=2) for t in texts])
+            [None if t is None else json.dumps(json.loads(t), ensure_ascii=False, indent=2)
+             .encode("utf-8", "replace").decode() for t in texts])
 
 
 def _fields(value: Column) -> Column:

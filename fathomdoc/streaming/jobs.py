@@ -27,25 +27,38 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def passages_of(files: DataFrame, fn: EmbedFn, batch_ms: int,
-                extractors: dict[str, Extractor] = EXTRACTORS) -> DataFrame:
-    """Binary files to passages with ids and embeddings."""
-    ending = X.suffix(F.col("path"))
-    texts = text_documents(decoded_files(files.filter(ending == ".txt")))
-    jsons, _ = json_documents(decoded_files(
-        files.filter((ending == ".json") & (F.col("length") <= DEFAULTS.max_json_bytes))))
-    extracted, _ = extract_documents(files, extractors)
+                extractors: dict[str, Extractor] = EXTRACTORS) -> tuple[DataFrame, DataFrame]:
+    """Binary files to passages with ids and embeddings, and the files that gave none: (path, reason)."""
+    ending, small = X.suffix(F.col("path")), F.col("length") <= DEFAULTS.max_json_bytes
+    decoded = decoded_files(files.filter(ending == ".txt"))
+    texts = text_documents(decoded)
+    jsons, bad_json = json_documents(decoded_files(files.filter((ending == ".json") & small)))
+    extracted, failed = extract_documents(files, extractors)
+
+    def refused(rows: DataFrame, reason: str) -> DataFrame:
+        return rows.select("path", F.lit(reason).alias("reason"))
+
+    rejects = union_all([
+        refused(decoded.filter("body IS NULL"), "not UTF-8"), refused(files.filter((ending == ".json") & ~small), "too large"), bad_json,
+        failed, refused(files.filter(~ending.isin(".txt", ".json", *extractors)), "no extractor")])
     documents = union_all([jsons, texts, extracted])
     # Position of a passage: file, place in the file, number in the document.
     place = F.coalesce("chunk_index", "item_index", "page", F.lit(0)).cast("string")
     chunks = recursive_chunks(documents, "text").withColumn("doc_key", F.concat_ws("_", F.sha2("source", 256), place))
-    return embed(assign_ids(chunks.drop("text"), batch_ms, ["doc_key", "chunk_no"]), "chunk_text", fn)
+    return embed(assign_ids(chunks.drop("text"), batch_ms, ["doc_key", "chunk_no"]), "chunk_text", fn), rejects
+
+
+def read_rejects(spark: SparkSession, collection: str) -> DataFrame:
+    """(path, reason) of the files that the ingest could not use."""
+    return spark.read.parquet(f"{collection}-rejects").drop("load")
 
 
 def ingest_stream(spark: SparkSession, folder: str, collection: str, checkpoint: str,
                   fn: EmbedFn = hashing_embedder, files_per_batch: int = 1000) -> StreamingQuery:
     """Adds new files below ``folder`` to the collection and stops when there are no more.
 
-    A batch that is run again replaces its own load.
+    Every file ends as passages of the collection or as a row of ``read_rejects``. A batch that is run again replaces its
+    own load of both.
     """
     found = (
         spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True)
@@ -57,7 +70,9 @@ def ingest_stream(spark: SparkSession, folder: str, collection: str, checkpoint:
     def add(batch: DataFrame, number: int) -> None:
         newest = batch.agg(F.max(F.unix_millis("modificationTime"))).head()[0]
         if newest is not None:
-            append_collection(passages_of(batch, fn, newest), collection, load=f"batch-{number}")
+            passages, rejects = passages_of(batch, fn, newest)
+            append_collection(passages, collection, load=f"batch-{number}")
+            rejects.write.mode("overwrite").parquet(f"{collection}-rejects/load=batch-{number}")
 
     return (
         found.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
