@@ -19,8 +19,8 @@ BLANKS, HAS_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 #: Lines of fewer words go only if they are equal to an earlier one; the parts compared first are half of this.
 LEAST_WORDS = 10
 EDGE = LEAST_WORDS // 2
-#: A set of ids is sent to all executors only if it was counted and is not larger.
-SENT_IDS = 500_000
+#: A table of keys is sent to all executors only if it was counted and has no more rows, of 40 bytes at most.
+SENT_ROWS = 1_000_000
 #: Sums of word hashes stay below 2^63 for lines of up to eight million words.
 _SMALL = 1 << 40
 _LAST = (1 << 63) - 1
@@ -47,6 +47,12 @@ def _hashed(lines: DataFrame) -> DataFrame:
         F.when(long, F.xxhash64(F.slice("words", -EDGE, EDGE), F.lit("tail"))).alias("tail"))
 
 
+def _bounded(keys: DataFrame, name: str) -> DataFrame:
+    """The keys, written; with the hint to send them if they are few enough, and else for a join by shuffle."""
+    table = written(keys, name)
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def _place(*names: str) -> Column:
     return F.struct(*names)
 
@@ -61,7 +67,7 @@ def _word(i: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """Adds the keys of a line: ``own``, and ``variants`` (place, key at this place, key of the shorter line).
+    """Adds the keys of a line: ``own``, and ``variants`` (key of a replacement at a place, key of the shorter line).
 
     The sum over words and places, less one word, is the key of a replacement there. The sum over neighbouring pairs
     is a line's own key; a word less takes two pairs away and puts one in. The ends that a line shares with others say
@@ -69,15 +75,15 @@ def _variants(lines: DataFrame) -> DataFrame:
     """
     summed = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
     step = once(lines, t=F.transform("words", lambda w: F.xxhash64(w)), n=F.size("words"))
-    step = once(step, by_place=summed(F.transform("t", lambda t, i: _small_hash(t, i))),
-                by_pair=summed(F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: _small_hash(_word(i - 1), _word(i)))))
+    step = once(step, placed=F.transform("t", lambda t, i: _small_hash(t, i)),
+                pairs=F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: _small_hash(_word(i - 1), _word(i)))).drop("words")
+    step = once(step, by_place=summed("placed"), by_pair=summed("pairs"))
     first = F.when(F.col("tail_shared"), F.lit(0)).otherwise(F.col("n") - EDGE - 1)
     last = F.when(F.col("head_shared"), F.col("n") - 1).otherwise(F.least(F.lit(EDGE), F.col("n") - 1))
 
     def variant(i: Column) -> Column:
-        pairs = (F.col("by_pair") - _small_hash(_word(i - 1), _word(i)) - _small_hash(_word(i), _word(i + 1))
-                 + _small_hash(_word(i - 1), _word(i + 1)))
-        return F.struct(i.alias("i"), F.xxhash64("n", i, F.col("by_place") - _small_hash(_word(i), i)).alias("same"),
+        pairs = F.col("by_pair") - F.get("pairs", i) - F.get("pairs", i + 1) + _small_hash(_word(i - 1), _word(i + 1))
+        return F.struct(F.xxhash64("n", i, F.col("by_place") - F.get("placed", i)).alias("same"),
                         F.xxhash64(F.col("n") - 1, pairs).alias("shorter"))
 
     return once(step, own=F.xxhash64("n", "by_pair"), variants=F.transform(F.sequence(F.greatest(first, F.lit(0)), last), variant)).select(
@@ -96,31 +102,31 @@ def _one_edit(x: Column, y: Column) -> Column:
 
 def _near(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(h, near): of each class with an earlier class one edit apart, the earliest place of such a class."""
-    ends = classes.filter("head IS NOT NULL").select("h", "doc_id", "line_no", F.explode(F.array("head", "tail")).alias("edge"))
-    shared = ends.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge")
-    flagged = (ends.join(shared, "edge").join(classes.select("h", "head"), "h")
-               .groupBy("h", "doc_id", "line_no").agg(F.max(F.col("edge") == F.col("head")).alias("head_shared"),
-                                                      F.max(F.col("edge") != F.col("head")).alias("tail_shared")))
-    wanted = written(flagged, "flagged-lines")
-    ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    texts = documents.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("wanted_id"), "left_semi")
-    worded = _lines(texts).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    worded = worded.join(wanted, ["doc_id", "line_no"]).filter(F.xxhash64("words") == F.col("h"))
-    lines = written(worded.dropDuplicates(["h"]), "worded-lines")
+    ends = classes.filter("head IS NOT NULL").select(F.explode(F.array("head", "tail")).alias("edge"))
+    shared = _bounded(ends.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge"), "shared-edges")
+    flagged = classes.filter("head IS NOT NULL").select("h", "doc_id", "line_no", "head", "tail")
+    for side in ("head", "tail"):
+        flagged = flagged.join(shared.withColumnRenamed("edge", side).withColumn(f"{side}_shared", F.lit(True)), side, "left")
+    flagged = flagged.filter("head_shared OR tail_shared").select(
+        "h", "doc_id", "line_no", F.coalesce("head_shared", F.lit(False)).alias("head_shared"),
+        F.coalesce("tail_shared", F.lit(False)).alias("tail_shared"))
+    wanted = _bounded(flagged, "flagged-lines")
+    worded = _lines(documents).join(wanted, ["doc_id", "line_no"]).withColumn("words", _words(F.col("line"))).drop("line")
+    lines = written(worded.filter(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "worded-lines")
 
     keyed = written(_variants(lines), "line-variants")
-    emitted = keyed.select("h", "doc_id", "line_no", F.explode("variants").alias("v")).select(
-        "h", "doc_id", "line_no", "v.same", "v.shorter")
+    emitted = keyed.select("h", "doc_id", "line_no", F.explode("variants").alias("v"))
     # Lines with the same key at the same place are one edit apart from each other, so the earliest stands for all.
-    earliest = (emitted.groupBy("same").agg(F.min(_place("doc_id", "line_no", "h")).alias("first"), F.count("*").alias("n"))
-                .filter("n > 1").select("same", "first"))
-    replaced = emitted.join(earliest, "same").filter(_place("doc_id", "line_no", "h") > F.col("first")).select(
+    several = _bounded(emitted.groupBy(F.col("v.same").alias("same")).agg(F.count("*").alias("n")).filter("n > 1").select("same"), "variant-keys")
+    alike = written(emitted.select("h", "doc_id", "line_no", "v.same").join(several, "same"), "lines-alike")
+    earliest = alike.groupBy("same").agg(F.min(_place("doc_id", "line_no", "h")).alias("first"))
+    replaced = alike.join(earliest, "same").filter(_place("doc_id", "line_no", "h") > F.col("first")).select(
         F.col("h").alias("later"), F.col("first.h").alias("earlier"))
-    shorter = keyed.select(F.col("h").alias("short_h"), _place("doc_id", "line_no", "h").alias("short"), "own")
-    met = emitted.select("h", _place("doc_id", "line_no", "h").alias("long"), "shorter").distinct().join(
-        shorter, F.col("shorter") == F.col("own"))
-    lacking = met.select(F.greatest("long", "short")["h"].alias("later"), F.least("long", "short")["h"].alias("earlier"))
+    shorter = _bounded(keyed.select(F.col("h").alias("short_h"), F.col("doc_id").alias("short_doc"), F.col("line_no").alias("short_line"), "own"), "own-keys")
+    met = emitted.select("h", "doc_id", "line_no", F.col("v.shorter").alias("own")).join(shorter, "own")
+    long, short = _place("doc_id", "line_no", "h"), F.struct(
+        F.col("short_doc").alias("doc_id"), F.col("short_line").alias("line_no"), F.col("short_h").alias("h"))
+    lacking = met.select(F.greatest(long, short)["h"].alias("later"), F.least(long, short)["h"].alias("earlier"))
     pairs = replaced.union(lacking).filter("later <> earlier").distinct()
     words = lines.select("h", "doc_id", "line_no", "words")
     checked = (pairs.join(words.select(F.col("h").alias("later"), F.col("words").alias("x")), "later")
