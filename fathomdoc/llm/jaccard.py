@@ -8,27 +8,27 @@ as many as a linked document could lack and one more, so linked documents always
 Each region with several documents then takes a document as pivot. By the triangle inequality a document within r of
 the pivot can only link with documents within 2r, and other links run among documents farther than r: the region falls
 into a near and a far part, those between r and 2r are in both, and the parts are joined in the same way. A part whose
-documents are all in one component already is done. Parts left after some rounds are compared in bounded blocks.
+documents are all in one component already is done. Parts that are small, or left after some rounds, are compared
+in bounded blocks.
 
-Two bounds save exact distances: counts of a document's shingles in 64 cells of the hash space differ by no more than
-the sets do, and sizes bound the distance. Only pairs within these bounds are compared by their texts.
+Two bounds save exact distances: counts of a document's shingles in 256 cells of the hash space differ by no more than
+the sets do, and sizes bound the distance. Only pairs within these bounds are compared set by set.
 """
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fathomdoc.llm.common import columns_of, mix, share_below, shingles, slices, word_hashes, word_spans, written
 from fathomdoc.llm.components import components
 
-CELLS = 64
+CELLS = 256
 #: Documents from which the order of the shingles is taken, and words and frequent shingles that it knows. The order
 #: decides only how much work there is, never which documents link.
 ORDER_SAMPLE, KNOWN_WORDS, KNOWN_SHINGLES, FREQUENT = 5000, 1 << 16, 1 << 16, 3
-#: Rounds of pivots, which end when no region is larger than this.
-ROUNDS, SMALL = 5, 128
+#: Rounds of pivots at most; they end when no region is larger than this.
+ROUNDS, SMALL = 3, 4096
 #: Documents of a region that are compared with each other in one task at most.
 BLOCK = 1024
 #: A set of ids is sent to all executors only if it was counted and is not larger.
@@ -164,29 +164,39 @@ def _possible(percent: int):
     return bound
 
 
-def _compared(order, percent: int):
-    """(a, b, linked, twice): exact, from the two texts; rows whose text is not the one of the class go."""
+def _keys(order):
+    """(node, keys): the set of each text; rows whose text is not the one of the class go."""
+
+    def make(batches):
+        for batch in batches:
+            for part, data, offsets in slices(batch):
+                rows, keys = order.value.sets(data, offsets)
+                edge = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys.view(np.int64)))
+                right = pa.array(fingerprints(rows, keys, part.num_rows)[0] == part.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "keys"]).filter(right)
+
+    return make
+
+
+def _compared(percent: int):
+    """(a, b, link, twice): exact, from the two sets."""
 
     def compare(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                both = pa.RecordBatch.from_arrays([pa.concat_arrays([part.column(2), part.column(3)])], ["text"])
-                found: list[np.ndarray] = []
-                prints: list[int] = []
-                for piece, data, offsets in slices(both):
-                    rows, keys = order.value.sets(data, offsets)
-                    edge = np.searchsorted(rows, np.arange(piece.num_rows + 1))
-                    found += [keys[x:y] for x, y in zip(edge[:-1], edge[1:])]
-                    prints += fingerprints(rows, keys, piece.num_rows)[0].tolist()
-                a, b, n, out = part.column(0).to_pylist(), part.column(1).to_pylist(), part.num_rows, []
-                for i in range(n):
-                    if prints[i] == a[i] and prints[n + i] == b[i]:
-                        common = len(np.intersect1d(found[i], found[n + i], assume_unique=True))
-                        union = len(found[i]) + len(found[n + i]) - common
-                        out.append((a[i], b[i], 100 * common >= percent * union, 100 * common >= (2 * percent - 100) * union))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["a", "b", "link", "twice"])
+            sides = []
+            for c in (2, 3):
+                lists = batch.column(c)
+                marks = lists.offsets.to_numpy()
+                sides.append((lists.values.to_numpy(), marks))
+            out = []
+            for i in range(batch.num_rows):
+                x, y = (values[marks[i] : marks[i + 1]] for values, marks in sides)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - common
+                out.append((100 * common >= percent * union, 100 * common >= (2 * percent - 100) * union))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in zip(*out)]], ["a", "b", "link", "twice"])
 
     return compare
 
@@ -250,11 +260,12 @@ class _Join:
             .filter("doc_id IS NOT NULL").withColumnRenamed("f1", "node"), "nodes")
         self.links = None
 
-    def _texts(self, pairs: DataFrame) -> DataFrame:
+    def _sets_of(self, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ids = written(self.nodes.select("node", "doc_id").join(wanted, "node"), "wanted")
         small = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-        return written(self.docs.join(small, "doc_id").select("node", "text"), "texts")
+        return written(self.docs.join(small, "doc_id").select("node", "text").mapInArrow(
+            _keys(self.order), "node long, keys array<long>"), "keys")
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """(a, b, link, twice) of each pair: whether it links, and whether the distance may be within twice the bound."""
@@ -265,20 +276,17 @@ class _Join:
         bounded = written(met.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(
             _possible(self.percent), "a long, b long, link boolean, twice boolean"), "bounded")
         near = bounded.filter("link").select("a", "b")
-        texts = self._texts(near)
-        exact = (near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-                 .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-                 .select("a", "b", "text_a", "text_b")
-                 .mapInArrow(_compared(self.order, self.percent), "a long, b long, link boolean, twice boolean"))
+        keys = self._sets_of(near)
+        exact = (near.join(keys.select(F.col("node").alias("b"), F.col("keys").alias("keys_b")), "b")
+                 .join(keys.select(F.col("node").alias("a"), F.col("keys").alias("keys_a")), "a")
+                 .select("a", "b", "keys_a", "keys_b")
+                 .mapInArrow(_compared(self.percent), "a long, b long, link boolean, twice boolean"))
         return written(bounded.filter("NOT link").union(exact).distinct(), "distances")
 
     def _add_links(self, found: DataFrame) -> None:
         new = found.filter("link").select("a", "b")
         self.links = new if self.links is None else self.links.union(new)
 
-    def labels(self) -> DataFrame:
-        return components(self.links)
-
     def _labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of those regions that still hold several components."""
         marked = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -299,7 +307,8 @@ class _Join:
             pairs = rows.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
             found = self.distances(pairs)
             self._add_links(found)
-            labels = self.labels()
+            # Documents with the same label are in one component; that is enough to see that a region is done.
+            labels = self.links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
             far = (rows.filter("node <> pivot").join(found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "link", "twice"),
                                                      ["pivot", "node"]))
             parts = far.select("node", "doc_id", "n", F.explode(F.when(F.col("link"), F.array(F.lit(0))).when(F.col("twice"), F.array(
@@ -308,13 +317,13 @@ class _Join:
             left = written(self._labelled(parts, labels), "parts")
             largest = left.agg(F.max("size")).first()[0]
             if not largest:
-                return labels
+                return components(self.links)
             if largest <= SMALL or round_ == ROUNDS - 1:
                 break
             member = left.select("region", "node", "doc_id", "n")
             rows = written(member.join(self._pivots(member), "region"), "regions")
         self._add_links(self.distances(self._blocks(left)))
-        return self.labels()
+        return components(self.links)
 
     def _blocks(self, left: DataFrame) -> DataFrame:
         """Pairs that may link in the regions that are left, compared cell by cell: two blocks of bounded size each."""
