@@ -15,7 +15,6 @@ Two bounds save exact distances: counts of a document's shingles in 256 cells of
 the sets do, and sizes bound the distance. Only pairs within these bounds are compared set by set.
 """
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,6 +30,8 @@ ORDER_SAMPLE, KNOWN_WORDS, KNOWN_SHINGLES, FREQUENT = 5000, 1 << 16, 1 << 16, 3
 ROUNDS, SMALL = 3, 4096
 #: Documents of a region that are compared with each other in one task at most.
 BLOCK = 1024
+#: Smallest regions of a document that its rows carry, so that a pair is compared in one of its regions only.
+LISTED, _NONE = 8, np.iinfo(np.int64).max
 #: A set of ids is sent to all executors only if it was counted and is not larger.
 SENT_IDS = 500_000
 SETS = ("doc_id long, n long, f1 long, f2 long, anchors array<long>, cells binary")
@@ -201,6 +202,13 @@ def _compared(percent: int):
     return compare
 
 
+def _elsewhere(first: np.ndarray, second: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Pairs whose smallest common region is known to be another: it is the smallest one that both lists have, as each
+    list holds the smallest regions of its document. Without one in common, the pair is taken wherever it meets."""
+    common = np.where((first[:, :, None] == second[:, None, :]).any(2), first, _NONE).min(1)
+    return (common != _NONE) & (common != region)
+
+
 def _in_blocks(percent: int):
     """Pairs (a, b) that may link among rows sorted by (region, i, j, n): each row meets the next ones of its cell, as
     long as their sizes allow a link. A batch ends with a whole cell; the rows of its last cell wait for the next."""
@@ -210,6 +218,9 @@ def _in_blocks(percent: int):
         node, n, label, side = (table.column(c).to_numpy() for c in ("node", "n", "label", "side"))
         number = np.cumsum(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(0)])
         counts = _cells(table.column("cells"))
+        lists = np.full((len(node), LISTED), _NONE)
+        for row, regions in enumerate(table.column("regions").to_pylist()):
+            lists[row, : len(regions)] = regions
         first = np.arange(len(node))
         for k in range(1, len(node)):
             first = first[first < len(node) - k]
@@ -221,8 +232,10 @@ def _in_blocks(percent: int):
             asked = (label[first] != label[second]) & ((cell[1][first] == cell[2][first]) | (side[first] != side[second]))
             a, b = first[asked], second[asked]
             link, _ = _bounds(counts[a], counts[b], n[a], n[b], percent)
-            if link.any():
-                a, b = node[a[link]], node[b[link]]
+            a, b = a[link], b[link]
+            own = ~_elsewhere(lists[a], lists[b], cell[0][a])
+            if own.any():
+                a, b = node[a[own]], node[b[own]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def compare(batches):
@@ -329,9 +342,11 @@ class _Join:
         """Pairs that may link in the regions that are left, compared cell by cell: two blocks of bounded size each."""
         dealt = left.join(self.nodes.select("node", "cells"), "node").withColumn(
             "blocks", F.ceil(F.col("size") / BLOCK)).withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+        listed = left.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("region")), 1, LISTED).alias("regions"))
+        dealt = dealt.join(listed, "node")
         cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cells = cells.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-        cells = cells.select("region", "i", "j", "node", "n", "label", "side", "cells")
+        cells = cells.select("region", "i", "j", "node", "n", "label", "side", "cells", "regions")
         dealt = cells.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", "n", "node")
         return dealt.mapInArrow(_in_blocks(self.percent), "a long, b long").distinct()
 
