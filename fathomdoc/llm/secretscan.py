@@ -24,6 +24,8 @@ DICTIONARY_SHARE, LEAST_LETTERS = 2e-5, 4
 MOST_LABELLED, TREES, DEPTH, SEED = 10_000, 24, 8, 13
 #: Words are looked for in so many characters before and after a candidate, and hashed to so many features.
 CONTEXT, NEIGHBOURS = 48, 16
+#: Texts that a task holds as Python strings at a time.
+TEXTS = 64
 #: Words that name secrets, words that name other codes, and prefixes of issued keys.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api", "key", "auth", "bearer", "credential", "private", "access")
 OTHER_WORDS = ("sha", "sha1", "sha256", "md5", "hash", "commit", "checksum", "digest", "uuid", "guid", "id", "isbn", "doi", "version",
@@ -118,18 +120,19 @@ def findings(documents: DataFrame, words: dict[str, float]) -> DataFrame:
     def scan(batches):
         features = Features(sent.value)
         for batch in batches:
-            rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for match in CANDIDATE.finditer(text or ""):
-                    if is_candidate(match[0]):
-                        values = features.of(text, match.start(), match.end())
-                        rows.append((i, match.start(), match.end() - match.start(), hashlib.sha256(match[0].encode()).hexdigest()[:16],
-                                     rule_label(dict(zip(FEATURES, values))), *values[1:]))
-            if rows:
-                i, start, length, fingerprint, label, *values = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(i)), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(fingerprint),
-                     pa.array(label, pa.int32()), *[pa.array(v, pa.float64()) for v in values]], columns)
+            for first in range(0, batch.num_rows, TEXTS):
+                part, rows = batch.slice(first, TEXTS), []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    for match in CANDIDATE.finditer(text or ""):
+                        if is_candidate(match[0]):
+                            values = features.of(text, match.start(), match.end())
+                            rows.append((i, match.start(), match.end() - match.start(), hashlib.sha256(match[0].encode()).hexdigest()[:16],
+                                         rule_label(dict(zip(FEATURES, values))), *values[1:]))
+                if rows:
+                    i, start, length, fingerprint, label, *values = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(i)), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(fingerprint),
+                         pa.array(label, pa.int32()), *[pa.array(v, pa.float64()) for v in values]], columns)
 
     return docs.mapInArrow(scan, schema)
 
