@@ -18,6 +18,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: references of its own, so there are at most 200; the other documents share one.
 COMMON_SHARE, LANGUAGE_SHARE = 0.005, 0.005
 BUCKETS = 4096
+#: Repeated windows of a text up to which each place is looked up among them; the result is the same either way.
+FEW = 64
 #: Sizes from which a histogram is judged, and distances up to which a document is kept.
 LEAST_CHARS, LEAST_COMMON = 400, 100
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.3
@@ -36,22 +38,27 @@ def _without(text: Column, pattern: str) -> Column:
 def _repeated(docs: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words in windows of three that occur twice or more in the text.
 
-    The windows' hashes are sorted with their places; equal neighbours give the places of repeated windows, and the
-    steps between these places, at most three, the words they cover. 64-bit hashes stand for windows.
+    The windows' hashes are sorted; equal neighbours are repeated windows. If these are few, each place is looked up
+    among them, else the hashes are sorted once more with their places. The steps between the places of repeated
+    windows, at most three, are the words they cover. 64-bit hashes stand for windows.
     """
     hashed = once(docs, h=F.when(F.size("words") >= 3, F.transform(
         F.sequence(F.lit(0), F.size("words") - 3),
         lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<long>")))
-    hashed = once(hashed, s=F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform(
-        "h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:long,i:int>>")))
+    ordered = once(hashed, o=F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array("h")).otherwise(F.array().cast("array<long>")))
+    twice = once(ordered, d=F.array_distinct(F.filter("o", lambda x, i: x == F.get("o", i - 1)))).drop("o")
+    few = F.size("d") <= FEW
+    sorted_ = once(twice, s=F.when(~few, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
 
     def same(e: Column, i: Column) -> Column:
         return F.coalesce(F.get("s", i)["h"] == e["h"], F.lit(False))
 
-    places = once(hashed, q=F.sort_array(F.transform(F.filter("s", lambda e, i: same(e, i - 1) | same(e, i + 1)), lambda e: e["i"])))
+    places = once(sorted_, q=F.when(F.size("d") == 0, F.array().cast("array<int>")).when(few, F.filter(
+        F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains("d", F.get("h", i)))).otherwise(
+            F.sort_array(F.transform(F.filter("s", lambda e, i: same(e, i - 1) | same(e, i + 1)), lambda e: e["i"]))))
     return places.withColumn("n_repeat_words", F.aggregate(
         F.transform("q", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("q", i + 1) - x, F.lit(3)))),
-        F.lit(0), lambda a, b: a + b).cast("long")).drop("h", "s", "q")
+        F.lit(0), lambda a, b: a + b).cast("long")).drop("h", "d", "s", "q")
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -65,7 +72,7 @@ def _distance(twice: Column) -> Column:
 
 
 def _common_words(exploded: DataFrame) -> DataFrame:
-    """(ref, names, shares): the common words of each reference, commonest first, and the share of all others last.
+    """(ref, names, shares): the common words of each reference, commonest first; the share of all others comes first.
 
     Words are counted by hash bucket first; a common word lies in a bucket as heavy as itself, so only the words of
     these few buckets are then counted one by one.
@@ -83,7 +90,7 @@ def _common_words(exploded: DataFrame) -> DataFrame:
     return totals.select("ref").join(lists, "ref", "left").select(
         "ref", F.coalesce(F.col("found.word"), F.array().cast("array<string>")).alias("names"),
         F.coalesce(F.transform("found.less", lambda x: -x), F.array().cast("array<double>")).alias("shares")).withColumn(
-        "shares", F.concat("shares", F.array(1 - F.aggregate("shares", F.lit(0.0), lambda a, b: a + b))))
+        "shares", F.concat(F.array(1 - F.aggregate("shares", F.lit(0.0), lambda a, b: a + b)), "shares"))
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
@@ -119,13 +126,13 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     bins = F.array(F.greatest(F.col("ascii") - F.least("upper", "ascii"), F.lit(0)), F.least("upper", "ascii"),
                    F.col("letters") - F.col("ascii"), F.col("digit"), blank, F.col("n_symbols"), other)
     met = counted.join(F.broadcast(common), "ref", "left")
-    placed = once(met, bins=bins, k=F.sort_array(F.transform("low", lambda w: F.coalesce(
-        F.nullif(F.array_position("names", w).cast("int"), F.lit(0)), F.size("names") + 1)))).drop("low", "names")
+    placed = once(met, bins=bins, k=F.when(F.size("low") >= LEAST_COMMON, F.sort_array(
+        F.transform("low", lambda w: F.array_position("names", w))))).drop("low", "names")
     starts = once(placed, b=F.when(F.col("n_words") >= LEAST_COMMON, F.filter(
         F.sequence(F.lit(0), F.size("k") - 1), lambda i: F.coalesce(F.get("k", i) != F.get("k", i - 1), F.lit(True)))).otherwise(
             F.array().cast("array<int>")))
     runs = F.transform("b", lambda s, i: F.struct(
-        ((F.coalesce(F.get("b", i + 1), F.size("k")) - s) / F.size("k")).alias("p"), F.get("shares", F.get("k", s) - 1).alias("q")))
+        ((F.coalesce(F.get("b", i + 1), F.size("k")) - s) / F.size("k")).alias("p"), F.get("shares", F.get("k", s).cast("int")).alias("q")))
     seen = once(starts, runs=runs)
     sums = F.aggregate("runs", F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), lambda a, r: F.struct(
         (a["d"] + _divergence(r["p"], r["q"])).alias("d"), (a["q"] + r["q"]).alias("q")))
