@@ -24,25 +24,43 @@ SENT_ROWS = 1_000_000
 #: Sums of word hashes stay below 2^63 for lines of up to eight million words.
 _SMALL = 1 << 40
 _LAST = (1 << 63) - 1
+#: A line's place, in the order in which one is earlier.
+PLACE = ["doc_id", "line_no", "text_id"]
 
 
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), BLANKS), "")
 
 
-def _lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line): every line that has a word; a null id comes after all others."""
-    docs = columns_of(documents, "doc_id", "text").select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string"))
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(HAS_WORD))
+def _identified(documents: DataFrame, *others: Column) -> DataFrame:
+    """(doc_id, text_id, copy, text) and others: an id and a text make a row, so rows that repeat an id stay apart.
+
+    A null id comes after all others. Of the rows without an id that have the same text, all but one are a ``copy``;
+    they are numbered in a table, as nothing else tells them apart.
+    """
+    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"), *others)
+    named = rows.withColumns({"text_id": F.xxhash64("text"), "copy": F.lit(False)})
+    nameless = named.filter("doc_id IS NULL")
+    if not nameless.isEmpty():
+        nameless = written(nameless.withColumn("number", F.monotonically_increasing_id()), "rows-without-id")
+        first = nameless.groupBy("text_id").agg(F.min("number").alias("number")).select("number", F.lit(True).alias("is_first"))
+        nameless = nameless.join(first, "number", "left").withColumn("copy", F.col("is_first").isNull())
+        named = named.filter("doc_id IS NOT NULL").union(nameless.select(*named.columns))
+    return named.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text_id, copy, line): every line of identified rows that has a word."""
+    return rows.select("doc_id", "text_id", "copy", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(
+        F.col("line").rlike(HAS_WORD)).select("doc_id", "line_no", "text_id", "copy", "line")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h, h2, head, tail): hashes of a line's words and of its ends, null for short lines."""
+    """(doc_id, line_no, text_id, copy, h, h2, head, tail): hashes of a line's words and of its ends, null for short lines."""
     worded = once(lines, words=_words(F.col("line"))).drop("line")
     long = F.size("words") >= LEAST_WORDS
     return worded.select(
-        "doc_id", "line_no", F.xxhash64("words").alias("h"), F.xxhash64("words", F.lit(1)).alias("h2"),
+        "doc_id", "line_no", "text_id", "copy", F.xxhash64("words").alias("h"), F.xxhash64("words", F.lit(1)).alias("h2"),
         F.when(long, F.xxhash64(F.slice("words", 1, EDGE), F.lit("head"))).alias("head"),
         F.when(long, F.xxhash64(F.slice("words", -EDGE, EDGE), F.lit("tail"))).alias("tail"))
 
@@ -87,7 +105,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                         F.xxhash64(F.col("n") - 1, pairs).alias("shorter"))
 
     return once(step, own=F.xxhash64("n", "by_pair"), variants=F.transform(F.sequence(F.greatest(first, F.lit(0)), last), variant)).select(
-        "h", "doc_id", "line_no", "own", "variants")
+        "h", *PLACE, "own", "variants")
 
 
 def _one_edit(x: Column, y: Column) -> Column:
@@ -100,74 +118,82 @@ def _one_edit(x: Column, y: Column) -> Column:
     return (F.abs(F.size(x) - F.size(y)) <= 1) & (equal(x, y) + equal(F.reverse(x), F.reverse(y)) >= longest - 1)
 
 
-def _near(documents: DataFrame, classes: DataFrame) -> DataFrame:
+def _near(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(h, near): of each class with an earlier class one edit apart, the earliest place of such a class."""
     ends = classes.filter("head IS NOT NULL").select(F.explode(F.array("head", "tail")).alias("edge"))
     shared = _bounded(ends.groupBy("edge").agg(F.count("*").alias("n")).filter("n > 1").select("edge"), "shared-edges")
-    flagged = classes.filter("head IS NOT NULL").select("h", "doc_id", "line_no", "head", "tail")
+    flagged = classes.filter("head IS NOT NULL").select("h", *PLACE, "head", "tail")
     for side in ("head", "tail"):
         flagged = flagged.join(shared.withColumnRenamed("edge", side).withColumn(f"{side}_shared", F.lit(True)), side, "left")
     flagged = flagged.filter("head_shared OR tail_shared").select(
-        "h", "doc_id", "line_no", F.coalesce("head_shared", F.lit(False)).alias("head_shared"),
+        "h", *PLACE, F.coalesce("head_shared", F.lit(False)).alias("head_shared"),
         F.coalesce("tail_shared", F.lit(False)).alias("tail_shared"))
     wanted = _bounded(flagged, "flagged-lines")
-    worded = _lines(documents).join(wanted, ["doc_id", "line_no"]).withColumn("words", _words(F.col("line"))).drop("line")
+    worded = _lines(rows).drop("copy").join(wanted, PLACE).withColumn("words", _words(F.col("line"))).drop("line")
     lines = written(worded.filter(F.xxhash64("words") == F.col("h")).dropDuplicates(["h"]), "worded-lines")
 
     keyed = written(_variants(lines), "line-variants")
-    emitted = keyed.select("h", "doc_id", "line_no", F.explode("variants").alias("v"))
+    emitted = keyed.select("h", *PLACE, F.explode("variants").alias("v"))
     # Lines with the same key at the same place are one edit apart from each other, so the earliest stands for all.
     several = _bounded(emitted.groupBy(F.col("v.same").alias("same")).agg(F.count("*").alias("n")).filter("n > 1").select("same"), "variant-keys")
-    alike = written(emitted.select("h", "doc_id", "line_no", "v.same").join(several, "same"), "lines-alike")
-    earliest = alike.groupBy("same").agg(F.min(_place("doc_id", "line_no", "h")).alias("first"))
-    replaced = alike.join(earliest, "same").filter(_place("doc_id", "line_no", "h") > F.col("first")).select(
+    alike = written(emitted.select("h", *PLACE, "v.same").join(several, "same"), "lines-alike")
+    earliest = alike.groupBy("same").agg(F.min(_place(*PLACE, "h")).alias("first"))
+    replaced = alike.join(earliest, "same").filter(_place(*PLACE, "h") > F.col("first")).select(
         F.col("h").alias("later"), F.col("first.h").alias("earlier"))
-    shorter = _bounded(keyed.select(F.col("h").alias("short_h"), F.col("doc_id").alias("short_doc"), F.col("line_no").alias("short_line"), "own"), "own-keys")
-    met = emitted.select("h", "doc_id", "line_no", F.col("v.shorter").alias("own")).join(shorter, "own")
-    long, short = _place("doc_id", "line_no", "h"), F.struct(
-        F.col("short_doc").alias("doc_id"), F.col("short_line").alias("line_no"), F.col("short_h").alias("h"))
+    shorter = _bounded(keyed.select(F.col("h").alias("short_h"), F.col("doc_id").alias("short_doc"), F.col("line_no").alias("short_line"),
+                                   F.col("text_id").alias("short_text"), "own"), "own-keys")
+    met = emitted.select("h", *PLACE, F.col("v.shorter").alias("own")).join(shorter, "own")
+    long, short = _place(*PLACE, "h"), F.struct(
+        F.col("short_doc").alias("doc_id"), F.col("short_line").alias("line_no"), F.col("short_text").alias("text_id"), F.col("short_h").alias("h"))
     lacking = met.select(F.greatest(long, short)["h"].alias("later"), F.least(long, short)["h"].alias("earlier"))
     pairs = replaced.union(lacking).filter("later <> earlier").distinct()
-    words = lines.select("h", "doc_id", "line_no", "words")
+    words = lines.select("h", *PLACE, "words")
     checked = (pairs.join(words.select(F.col("h").alias("later"), F.col("words").alias("x")), "later")
-               .join(words.select(F.col("h").alias("earlier"), F.col("words").alias("y"), "doc_id", "line_no"), "earlier")
+               .join(words.select(F.col("h").alias("earlier"), F.col("words").alias("y"), *PLACE), "earlier")
                .filter(_one_edit(F.col("x"), F.col("y"))))
-    return checked.groupBy(F.col("later").alias("h")).agg(F.min(_place("doc_id", "line_no")).alias("near"))
+    return checked.groupBy(F.col("later").alias("h")).agg(F.min(_place(*PLACE)).alias("near"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text_id, copy, first, edits): the repeated lines of identified rows, and the place of the first."""
+    hashed = written(_hashed(_lines(rows)), "line-hashes")
+    # Grouping keeps one row per class and task before the shuffle, however often a line occurs.
+    classes = written(hashed.groupBy("h", "h2").agg(
+        F.min(_place(*PLACE)).alias("first"), F.max(_place(*PLACE)).alias("last"), F.max("copy").alias("copied"),
+        F.max("head").alias("head"), F.max("tail").alias("tail")).select(
+            "h", "h2", "first.*", "head", "tail", ((F.col("first") < F.col("last")) | F.col("copied")).alias("again")), "line-classes")
+    touched = (classes.join(_near(rows, classes), "h", "left").filter("again OR near IS NOT NULL")
+               .select("h", "h2", _place(*PLACE).alias("first"), "near"))
+    return (hashed.select(*PLACE, "copy", "h", "h2").join(touched, ["h", "h2"])
+            .filter((_place(*PLACE) > F.col("first")) | F.col("near").isNotNull() | F.col("copy"))
+            .select(*PLACE, "copy", F.least("first", "near").alias("first"),
+                    F.when(F.least("first", "near") == F.col("first"), 0).otherwise(1).alias("edits")))
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, edits): every line of (doc_id, text) that an earlier line repeats.
 
     Lines end at \\n and are numbered from 0; their words are compared in lower case, white space does not count, and
-    lines without words never repeat. Earlier means a smaller (doc_id, line_no), null ids last; the earliest line that
-    is equal or one edit away is named, with ``edits`` 0 if the words are equal. Rows that repeat an id are the same
-    place, and neither is earlier. Null texts have no lines; other columns are ignored. Texts and lines are used whole.
+    lines without words never repeat. Earlier means a smaller (doc_id, line_no), null ids last, and between different
+    texts of one id (or of none) a smaller hash of the text; the earliest line that is equal or one edit away is named,
+    with ``edits`` 0 if the words are equal. Rows that repeat id and text are the same place, and neither is earlier;
+    rows without an id that repeat a text are copies of the first. Null texts have no lines; other columns are ignored.
+    Texts and lines are used whole.
     """
-    hashed = written(_hashed(_lines(documents)), "line-hashes")
-    # Grouping keeps one row per class and task before the shuffle, however often a line occurs.
-    classes = written(hashed.groupBy("h", "h2").agg(
-        F.min(_place("doc_id", "line_no")).alias("first"), F.max(_place("doc_id", "line_no")).alias("last"),
-        F.max("head").alias("head"), F.max("tail").alias("tail")).select(
-            "h", "h2", "first.doc_id", "first.line_no", "head", "tail", (F.col("first") < F.col("last")).alias("again")), "line-classes")
-    touched = (classes.join(_near(documents, classes), "h", "left").filter("again OR near IS NOT NULL")
-               .select("h", "h2", _place("doc_id", "line_no").alias("first"), "near"))
-    place = _place("doc_id", "line_no")
-    named = F.least("first", "near")
-    return (hashed.select("doc_id", "line_no", "h", "h2").join(touched, ["h", "h2"])
-            .filter((place > F.col("first")) | F.col("near").isNotNull())
-            .select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "line_no",
-                    F.nullif(named["doc_id"], F.lit(_LAST)).alias("first_doc_id"), named["line_no"].alias("first_line_no"),
-                    F.when(named == F.col("first"), 0).otherwise(1).alias("edits")))
+    return _repeated(_identified(documents)).select(
+        F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "line_no", F.nullif(F.col("first.doc_id"), F.lit(_LAST)).alias("first_doc_id"),
+        F.col("first.line_no").alias("first_line_no"), "edits")
 
 
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
     """``documents`` with the lines of ``repeated_lines`` taken out of ``text``, and ``n_chars``, if there is such a
-    column, counted anew. A document that had words and lost all its lines with words is dropped."""
-    gone = repeated_lines(documents).groupBy(F.coalesce("doc_id", F.lit(_LAST)).alias("gone_id")).agg(
-        F.collect_set("line_no").alias("gone"))
+    column, counted anew. A document that had words and lost all its lines with words is dropped. Lines are taken only
+    from the row they were found in, also where ids are null or repeat."""
     # The row travels as one column, so that none of its names can clash.
-    rows = documents.select(F.struct(*documents.columns).alias("row"))
-    met = rows.join(gone, F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST)) == F.col("gone_id"), "left")
+    rows = _identified(documents, F.struct(*documents.columns).alias("row"))
+    key = ["doc_id", "text_id", "copy"]
+    gone = _repeated(rows).groupBy(*key).agg(F.collect_set("line_no").alias("gone"))
+    met = rows.drop("text").join(gone, key, "left")
     parts = once(met, parts=F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
     text = once(parts, text=F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(

@@ -91,6 +91,21 @@ def test_texts_without_their_repeated_lines(spark):
     assert out.count() == 5 and linededup.without_repeated_lines(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    rows = [(1, "one\ntwo"), (None, "one\nfive"), (None, "six\nseven"), (None, "eight\nseven"), (None, "nine\nten"), (None, "nine\nten"),
+            (4, "two\neleven"), (4, "twelve\nthirteen"), (None, None), (None, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted((r.doc_id or 99, r.text) for r in linededup.without_repeated_lines(frame).collect() if r.text)
+    seven = [(99, "eight"), (99, "six\nseven")], [(99, "eight\nseven"), (99, "six")]
+    assert [x for x in out if "six" not in x[1] and "eight" not in x[1]] == [
+        (1, "one\ntwo"), (4, "eleven"), (4, "twelve\nthirteen"), (99, "five"), (99, "nine\nten")]
+    assert [x for x in out if "six" in x[1] or "eight" in x[1]] in seven
+    assert linededup.without_repeated_lines(frame).count() == 9
+    found = [tuple(r) for r in linededup.repeated_lines(frame).collect()]
+    assert sorted(x[1:] for x in found if x[0] is None and x[2] is None) == [(0, None, 0, 0), (1, None, 1, 0), (1, None, 1, 0)]
+    assert {x for x in found if x[2] is not None} == {(None, 0, 1, 0, 0), (4, 0, 1, 1, 0)}
+
+
 def test_quality_against_plain_counts(spark):
     clean = [(i, " ".join(f"the word{(i * j) % 97} of a house{j % 13} and" for j in range(60)), "en", "k") for i in range(1, 40)]
     odd = [(100, None, "en", ""), (101, "", None, ""), (102, "a b c a b c a b c x", "en", ""), (103, "x\nx\n \n\ny\nx ", "rare", ""),
