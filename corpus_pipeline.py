@@ -15,8 +15,10 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model, trained on their own labels, does not reject."""
+    """Documents whose language the model, trained on their own labels, does not reject; without labels, all."""
     model = langid.train(docs, F.lit(True))
+    if not model.languages:
+        return docs
     return langid.identify(docs, model).filter("NOT rejected").select(*docs.columns)
 
 

@@ -2,8 +2,9 @@
 
 Subwords are the runs of three and four bytes inside a word, its two ends included as marks. Their embeddings are
 averaged over the whole text and one linear layer gives a weight for each language. A temperature, fitted on texts
-that training left out, turns the weights into probabilities; the lowest probability at which enough answers on those
-texts are right is the bound below which a text is rejected.
+that training left out, turns the weights into probabilities; the lowest probability at which answers on those texts
+are wrong little more often than on the likeliest half of them is the bound below which a text is rejected. Labels that
+are wrong anywhere count in both, so they do not move the bound.
 """
 
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from fathomdoc.llm.common import remainder, share_below, slices
 #: Hashed subwords, numbers in an embedding, texts learned from for each language, languages learned at most.
 BUCKETS, WIDTH, PER_LANGUAGE, MOST_LANGUAGES = 1 << 13, 16, 1000, 256
 EPOCHS, BATCH, RATE, MOST_ERRORS = 8, 64, 0.3, 0.01
+#: At most this share of the texts left out of training lies below the bound.
+MOST_REJECTED = 0.5
 UNKNOWN = "und"
 
 _random = np.random.default_rng(7)
@@ -119,12 +122,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
     temperature = float(min(np.exp(np.linspace(-3, 2, 51)), key=loss))
     model = LanguageModel(languages, model.weights, bias, temperature, 0.0)
     p = model.scores(counts)
-    rank = np.argsort(-p.max(1), kind="stable")
-    wrong = np.cumsum((p.argmax(1) != truth)[rank]) / np.arange(1, len(rank) + 1)
-    good = np.flatnonzero(wrong <= MOST_ERRORS)
-    least = float(p.max(1)[rank][good[-1]]) if len(good) else 1.0
-    # No text of the check failed above this bound often enough; with nothing wrong, half of the mass is asked for.
-    return LanguageModel(languages, model.weights, bias, temperature, min(least, 0.5) if good[-1:] == len(rank) - 1 else least)
+    return LanguageModel(languages, model.weights, bias, temperature, least_score(p.max(1), p.argmax(1) != truth))
+
+
+def least_score(score: np.ndarray, wrong: np.ndarray) -> float:
+    """The bound below which answers are rejected, from scores and whether each answer differs from its label.
+
+    Down to the bound at most ``MOST_ERRORS`` more answers are wrong than among the likeliest, give or take two
+    standard errors of that share. If that holds for all, half of the mass is asked for.
+    """
+    rank = np.argsort(-score, kind="stable")
+    share = np.cumsum(wrong[rank]) / np.arange(1, len(rank) + 1)
+    sure = max(1, int(np.ceil(len(rank) * (1 - MOST_REJECTED))))
+    base = share[sure - 1]
+    good = np.flatnonzero(share <= base + MOST_ERRORS + 2 * np.sqrt(base * (1 - base) / sure))
+    # The last of the sure answers is always within the bound.
+    least = float(score[rank][good[-1]])
+    return min(least, 0.5) if good[-1] == len(rank) - 1 else least
 
 
 def train(documents: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -> LanguageModel:

@@ -2,6 +2,7 @@ import itertools
 import math
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -66,6 +67,25 @@ def test_low_scores_are_rejected():
     assert model.scores(mixed).max() < model.least_score <= model.scores(clear).max()
 
 
+@pytest.mark.parametrize("errors", [0.0, 0.005, 0.015, 0.03, 0.1])
+def test_wrong_labels_do_not_reject_clean_texts(errors):
+    random = np.random.default_rng(3)
+    kept = []
+    for _ in range(200):
+        score, wrong = random.uniform(0.6, 1, 800), random.random(800) < errors
+        kept.append((score >= langid.least_score(score, wrong)).mean())
+    assert np.median(kept) == 1 and min(kept) >= 0.5
+    # Answers that are wrong where the score is low are still rejected.
+    score = np.r_[np.full(700, 0.9), np.full(100, 0.4)] + random.uniform(0, 0.05, 800)
+    wrong = random.random(800) < np.where(score > 0.8, errors, 0.5)
+    assert 0.4 < langid.least_score(score, wrong) < 0.96 and (score[score > 0.8] >= langid.least_score(score, wrong)).all()
+
+
+def test_pipeline_keeps_documents_without_labels(spark):
+    docs = spark.createDataFrame([(1, "text", None), (2, "more text", None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 2
+
+
 def test_words_against_a_plain_loop():
     texts = ["a  b\tA\x0bcd", "", None, "ä x é", " ", "one", "a b c d a b c d", "x" * 50]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
