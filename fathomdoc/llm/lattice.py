@@ -51,8 +51,12 @@ class Lattice:
         raw = character.encode("utf-8", "surrogatepass")
         return -1, float(sum(self.log_p[self.n + b] for b in raw)), raw
 
-    def slow(self, word: str) -> float:
-        """Natural log of the word's probability, character by character; used for very long words."""
+    def slow(self, word: str, weight: float = 0.0, counts: np.ndarray | None = None) -> float:
+        """Natural log of the word's probability, character by character; used for very long words.
+
+        With a weight, the expected count of every piece and byte is added to ``counts``. Edges are looked up again on
+        the way back, so memory is two numbers a character.
+        """
         word, best = "▁" + word, [0.0]
         for end in range(1, len(word) + 1):
             found = [best[end - 1] + self._single(word[end - 1])[1]]
@@ -61,8 +65,25 @@ class Lattice:
                     found.append(best[start] + self.log_p[i])
             most = max(found)
             best.append(most + math.log(sum(math.exp(x - most) for x in found)))
+        if counts is not None and weight:
+            self._expect_slow(word, best, weight, counts)
         return best[-1]
 
+    def _expect_slow(self, word: str, forward: list[float], weight: float, counts: np.ndarray) -> None:
+        backward = [0.0] * len(forward)
+        for start in range(len(word) - 1, -1, -1):
+            place, log_p, raw = self._single(word[start])
+            edges = [([place] if place >= 0 else [self.n + b for b in raw], log_p + backward[start + 1])]
+            for end in range(start + 2, min(len(word), start + self.longest) + 1):
+                if (i := self.place.get(word[start:end])) is not None:
+                    edges.append(([i], self.log_p[i] + backward[end]))
+            most = max(x for _, x in edges)
+            backward[start] = most + math.log(sum(math.exp(x - most) for _, x in edges))
+            for places, x in edges:
+                share = weight * math.exp(forward[start] + x - forward[-1])
+                for i in places:
+                    counts[i] += share
+
     def _edges(self, codes: np.ndarray):
         """For words of one length as rows of code points: (start, end, rows or all, piece, log probability)."""
         n, length = codes.shape
@@ -103,13 +124,8 @@ class Lattice:
         for length in np.unique(lengths):
             chosen = np.flatnonzero(lengths == length)
             if length > LONG_WORD:
-                # Counts of these come from their best single pieces only: one character, one piece.
                 for i in chosen:
-                    result[i] = self.slow(texts[i])
-                    if weights is not None and weights[i]:
-                        for c in texts[i]:
-                            place, _, raw = self._single(c)
-                            np.add.at(counts, [place] if place >= 0 else [self.n + b for b in raw], weights[i])
+                    result[i] = self.slow(texts[i]) if weights is None else self.slow(texts[i], weights[i], counts)
                 continue
             for first in range(0, len(chosen), 4096):
                 some = chosen[first : first + 4096]

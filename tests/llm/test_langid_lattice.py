@@ -134,6 +134,18 @@ def test_lattice_against_all_segmentations():
     assert net.words(pa.array([long]))[0][0] == pytest.approx(net.slow(long))
 
 
+def test_expected_counts_do_not_depend_on_the_length(monkeypatch):
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "bab", "aba", "c"]
+    p = np.random.default_rng(6).random(len(pieces) + 256)
+    net = lattice.Lattice(pieces, np.log(p / p.sum()))
+    words, weights = ["ab" * 40, "abac" * 15 + "é", "x" * 50, "bab" * 16, "aé" * 200], np.array([1.0, 2.0, 3.0, 4.0, 0.5])
+    by_loop = net.words(pa.array(words), weights)
+    monkeypatch.setattr(lattice, "LONG_WORD", 1000)
+    in_blocks = net.words(pa.array(words), weights)
+    assert np.allclose(by_loop[0], in_blocks[0]) and np.allclose(by_loop[1], in_blocks[1])
+    assert by_loop[1][pieces.index("ab")] > 0
+
+
 def test_scores_against_a_plain_loop(spark):
     rows = [(1, "The the THE cat", 1), (2, None, 1), (3, "", 1), (4, "cat é dog dog", 1), (5, "unseen words", 0), (5, "unseen words", 0),
             (None, "the dog", 1), (7, "x" * 3000 + " the", 1)]
