@@ -14,14 +14,17 @@ from fathomdoc.session import once
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A word of this share is common, so a language has at most 200; a language of this share of the documents has
-#: references of its own, so there are at most 200; the other documents share one.
-COMMON_SHARE, LANGUAGE_SHARE = 0.005, 0.005
+#: A word of this share is common, so a language has at most 200.
+COMMON_SHARE = 0.005
+#: References are sent to all executors only if they were counted and are no more; else they are joined by shuffle.
+SENT_REFERENCES = 1000
 BUCKETS = 4096
 #: Repeated windows of a text up to which each place is looked up among them; the result is the same either way.
 FEW = 64
 #: Sizes from which a histogram is judged, and distances up to which a document is kept.
 LEAST_CHARS, LEAST_COMMON = 400, 100
+#: Characters and words of all documents of a language from which it is a reference.
+REFERENCE_CHARS, REFERENCE_WORDS = 10 * LEAST_CHARS, 10 * LEAST_COMMON
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.28, 0.3
 CLASSES = ["lower", "upper", "foreign", "digit", "blank", "symbol", "other"]
 
@@ -71,6 +74,10 @@ def _distance(twice: Column) -> Column:
     return F.round(F.sqrt(F.greatest(F.lit(0.0), twice / 2)), 6)
 
 
+def _bounded(table: DataFrame, most: float) -> DataFrame:
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _common_words(exploded: DataFrame) -> DataFrame:
     """(ref, names, shares): the common words of each reference, commonest first; the share of all others comes first.
 
@@ -79,10 +86,10 @@ def _common_words(exploded: DataFrame) -> DataFrame:
     """
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS))
     buckets = written(exploded.groupBy("ref", bucket.alias("bucket")).agg(F.count("*").alias("n")), "word-buckets")
-    totals = buckets.groupBy("ref").agg(F.sum("n").alias("total"))
+    totals = buckets.groupBy("ref").agg(F.sum("n").alias("total")).filter(F.col("total") >= REFERENCE_WORDS)
     heavy = buckets.join(totals, "ref").filter(F.col("n") >= COMMON_SHARE * F.col("total")).select("ref", "bucket", "total")
-    # At most 1 / COMMON_SHARE buckets of 1 / LANGUAGE_SHARE references and one more are heavy.
-    counted = (exploded.withColumn("bucket", bucket).join(F.broadcast(heavy), ["ref", "bucket"])
+    # At most 1 / COMMON_SHARE buckets of each reference are heavy.
+    counted = (exploded.withColumn("bucket", bucket).join(_bounded(written(heavy, "heavy-buckets"), SENT_REFERENCES / COMMON_SHARE), ["ref", "bucket"])
                .groupBy("ref", "word").agg(F.count("*").alias("n"), F.max("total").alias("total"))
                .filter(F.col("n") >= COMMON_SHARE * F.col("total")))
     share = F.col("n") / F.col("total")
@@ -99,17 +106,15 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
     A document is kept unless the base rules fail it (fewer than 50 words, or more than half of them in repeated
     windows), its characters are ``LEAST_CHARS`` or more and too far from its language, or its words ``LEAST_COMMON`` or
-    more and too far. Distances of documents below these sizes are null. Null text is empty; null and rare languages
-    are judged together. Repeated rows are judged each. A table without words gives no distances.
+    more and too far. Distances of documents below these sizes are null. Every language is its own reference, however
+    rare; documents without a language, and those whose language has fewer than ``REFERENCE_CHARS`` characters or
+    ``REFERENCE_WORDS`` words in all, have null distances. Null text is empty. Repeated rows are judged each. A table
+    without words gives no distances.
     """
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                            F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = [r.lang for r in sizes.filter(F.col("n") >= F.lit(LANGUAGE_SHARE * total)).collect()]
-    rows = rows.select("doc_id", "text", F.when(F.col("lang").isin(large), F.col("lang")).otherwise("").alias("ref"))
+                            F.nullif(F.col("lang").cast("string"), F.lit("")).alias("ref"))
 
-    exploded = rows.select("ref", F.explode(_words(F.lower("text"))).alias("word"))
+    exploded = rows.filter("ref IS NOT NULL").select("ref", F.explode(_words(F.lower("text"))).alias("word"))
     common = written(_common_words(exploded), "common-words")
 
     ascii_, letters, upper = (_without(F.col("text"), p) for p in (r"[^A-Za-z]+", r"\P{L}+", r"[^\p{Lu}]+"))
@@ -125,7 +130,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     other = F.col("chars") - F.col("letters") - F.col("digit") - blank - F.col("n_symbols")
     bins = F.array(F.greatest(F.col("ascii") - F.least("upper", "ascii"), F.lit(0)), F.least("upper", "ascii"),
                    F.col("letters") - F.col("ascii"), F.col("digit"), blank, F.col("n_symbols"), other)
-    met = counted.join(F.broadcast(common), "ref", "left")
+    met = counted.join(_bounded(common, SENT_REFERENCES), "ref", "left")
     placed = once(met, bins=bins, k=F.when(F.size("low") >= LEAST_COMMON, F.sort_array(
         F.transform("low", lambda w: F.array_position("names", w))))).drop("low", "names")
     starts = once(placed, b=F.when(F.col("n_words") >= LEAST_COMMON, F.filter(
@@ -138,15 +143,15 @@ def quality_rules(documents: DataFrame) -> DataFrame:
         (a["d"] + _divergence(r["p"], r["q"])).alias("d"), (a["q"] + r["q"]).alias("q")))
     facts = written(once(seen, sums=sums).select(
         "doc_id", "ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "bins",
-        F.when(F.col("n_words") >= LEAST_COMMON, _distance(F.col("sums.d") + F.greatest(F.lit(0.0), 1 - F.col("sums.q")))).alias("word_distance")),
+        F.when((F.col("n_words") >= LEAST_COMMON) & F.col("shares").isNotNull(), _distance(F.col("sums.d") + F.greatest(F.lit(0.0), 1 - F.col("sums.q")))).alias("word_distance")),
         "quality-facts")
 
-    classes = facts.groupBy("ref").agg(*[F.sum(F.get("bins", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)],
-                                       F.sum("chars").alias("all_chars"))
+    classes = facts.filter("ref IS NOT NULL").groupBy("ref").agg(*[F.sum(F.get("bins", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)],
+                                       F.sum("chars").alias("all_chars")).filter(F.col("all_chars") >= REFERENCE_CHARS)
     reference = classes.select("ref", F.array(*[F.col(c) / F.greatest("all_chars", F.lit(1)) for c in CLASSES]).alias("expected"))
     char = F.aggregate(F.zip_with("bins", "expected", lambda n, q: _divergence(n / F.greatest("chars", F.lit(1)), q)), F.lit(0.0), lambda a, b: a + b)
-    judged = facts.join(F.broadcast(reference), "ref", "left").withColumn(
-        "char_distance", F.when(F.col("chars") >= LEAST_CHARS, _distance(char)))
+    judged = facts.join(_bounded(written(reference, "references"), SENT_REFERENCES), "ref", "left").withColumn(
+        "char_distance", F.when((F.col("chars") >= LEAST_CHARS) & F.col("expected").isNotNull(), _distance(char)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     near = (F.coalesce(F.col("char_distance") <= MOST_CHAR_DISTANCE, F.lit(True))
             & F.coalesce(F.col("word_distance") <= MOST_WORD_DISTANCE, F.lit(True)))

@@ -134,6 +134,23 @@ def test_quality_against_plain_counts(spark):
     assert quality.quality_rules(frame.filter(F.col("doc_id").isin(100, 101))).filter("kept").count() == 0
 
 
+def test_rare_languages_have_references_of_their_own(spark):
+    def clean(words, i):
+        return " ".join(words[(i * 7 + j * j) % len(words)] + chr(97 + j % 20) for j in range(120))
+
+    english, hindi = ["the", "water", "house", "and"], ["पानी", "घरमें", "औरवह", "नदीके"]
+    rows = [(i, clean(english, i), "en") for i in range(4000)]
+    rows += [(10_000 + i, clean(hindi, i), "hi") for i in range(12)] + [(20_000 + i, clean(["вода", "домик", "река"], i), "ru") for i in range(8)]
+    rows += [(30_000, clean(hindi, 1), None), (30_001, clean(hindi, 1), "xx"), (30_002, clean(english, 1), "hi")]
+    found = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(found) == len(rows)
+    for doc in [*range(10_000, 10_012), *range(20_000, 20_008)]:
+        assert found[doc].char_distance is not None and found[doc].char_distance <= quality.MOST_CHAR_DISTANCE
+    for doc in (30_000, 30_001):
+        assert found[doc].char_distance is None and found[doc].word_distance is None and found[doc].kept != found[doc].base_failed
+    assert found[30_002].char_distance > quality.MOST_CHAR_DISTANCE
+
+
 def test_distance_is_jensen_shannons(spark):
     random = np.random.default_rng(1)
     p, q = random.dirichlet(np.ones(5), 2)
