@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, pseudonyms, quality, secretscan
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, pieces, pseudonyms, quality, secretscan
 from fathomdoc.llm.common import remainder, scan_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,10 @@ def op4(spark, folder):
 @query("op6_secret_forest")
 def op6(spark, folder):
     return secretscan.scan_secrets(scan_table(spark, folder, "documents"))
+
+
+@query("op13_distinct_chunk_pieces")
+def op13(spark, folder):
+    encoded = pieces.encode(scan_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
