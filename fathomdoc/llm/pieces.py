@@ -157,19 +157,20 @@ class _Known:
         self.other = {c: o for c, o in zip(chunks, others.to_pylist()) if o is not None}
         self.learned: list[str] = []
 
-    def learn(self, chunks: list[str], segmenter: Segmenter) -> None:
-        """Chunks outside the table; they are forgotten when they are many."""
-        if len(self.learned) + len(chunks) > HELD:
+    def learn(self, present: set[str], segmenter: Segmenter) -> None:
+        """The chunks outside the table that are present; those learned before are forgotten when they are many."""
+        new = [c for c in present if c not in self.ids]
+        if new and len(self.learned) + len(new) > HELD:
             for c in self.learned:
                 del self.ids[c]
                 self.other.pop(c, None)
-            self.learned = []
-        ids, texts = segmenter(chunks)
-        for c, i, t in zip(chunks, ids, texts):
+            self.learned, new = [], [c for c in present if c not in self.ids]
+        ids, texts = segmenter(new)
+        for c, i, t in zip(new, ids, texts):
             self.ids[c] = np.array(i, "<i4").tobytes()
             if t != c:
                 self.other[c] = t
-        self.learned += chunks
+        self.learned += new
 
 
 def _known(key: str, sent) -> _Known:
@@ -188,11 +189,7 @@ def _encode(path: str, key: str, sent):
         for part, texts in _texts(batches):
             rows = [chunks_of(t) for t in texts]
             present = set(chain.from_iterable(rows))
-            if new := [c for c in present if c not in known.ids]:
-                known.learn(new, _segmenter(path))
-                # To make room, learning may also forget chunks of these texts.
-                if missing := [c for c in present if c not in known.ids]:
-                    known.learn(missing, _segmenter(path))
+            known.learn(present, _segmenter(path))
             found = [b"".join(map(known.ids.__getitem__, r)) for r in rows]
             strange = known.other.keys() & present
             decoded = [t.replace(MARK, " ") for t in texts]

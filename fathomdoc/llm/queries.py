@@ -5,8 +5,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, pieces, pseudonyms, quality, secretscan
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, periods, pieces, pseudonyms, quality, secretscan
 from fathomdoc.llm.common import remainder, scan_table
+from fathomdoc.session import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +134,27 @@ def op13(spark, folder):
     encoded = pieces.encode(scan_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def with_periods(documents: DataFrame) -> DataFrame:
+    """(doc_id, text) where, in about a tenth of the rows, the words from some word on are repeated in periods."""
+    blank = F.lit(r"[\x20\x09-\x0D]+")
+    docs = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = (F.col("h") % 10 == 0) & F.col("text").isNotNull()
+    docs = once(docs, words=F.when(chosen, F.filter(F.split("text", blank), lambda w: w != "")))
+    docs = docs.withColumn("g", F.expr("h div 10")).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    periodic = F.expr("array_join(transform(words, (w, i) -> CASE WHEN i < a THEN w ELSE words[int(a + (i - a) % p)] END), ' ')")
+    return docs.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_recompression_runs")
+def op11(spark, folder):
+    found = periods.periodic_runs(with_periods(scan_table(spark, folder, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period)))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
+        (-F.col("best.period")).alias("period"), F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
