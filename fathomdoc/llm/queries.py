@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, periods, pieces, pseudonyms, quality, secretscan
+from fathomdoc.llm import archive, decontaminate, jaccard, langid, lattice, linededup, packing, periods, pieces, pseudonyms, quality, ranking, secretscan
 from fathomdoc.llm.common import remainder, scan_table
 from fathomdoc.session import once
 
@@ -158,3 +158,23 @@ def op11(spark, folder):
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
         (-F.col("best.period")).alias("period"), F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_hybrid_ranked_search", r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    n AS (SELECT rid, sum(tf)::BIGINT AS n FROM tf GROUP BY rid),
+    tot AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM n),
+    w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, tot GROUP BY term),
+    m AS (SELECT rid, 100 - 75 + ((75 * n * big_n) // big_l) AS m FROM n, tot),
+    q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    qt AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+    s AS (SELECT item_id, rid, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""")
+def op12(spark, folder):
+    return ranking.rank_documents(*[scan_table(spark, folder, t) for t in ("documents", "benchmark")])
