@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathomdoc.session import work_folder
@@ -115,6 +116,17 @@ def remainder(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+class Sent:
+    """An object of bounded size on all executors. It travels with its class, so executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._pickled = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        """The object; to be asked for once in a task."""
+        return cloudpickle.loads(self._pickled.value)
+
+
 def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomdoc.llm.common import columns_of, mix, share_below, shingles, slices, word_hashes, word_spans, written
+from fathomdoc.llm.common import Sent, columns_of, mix, share_below, shingles, slices, word_hashes, word_spans, written
 from fathomdoc.llm.components import components
 
 CELLS = 256
@@ -121,10 +121,11 @@ def fingerprints(rows: np.ndarray, keys: np.ndarray, n_rows: int) -> tuple[np.nd
 
 def _sets(order, percent: int):
     def describe(batches):
+        known = order.get()
         for batch in batches:
             for part, data, offsets in slices(batch):
                 n_rows = part.num_rows
-                rows, keys = order.value.sets(data, offsets)
+                rows, keys = known.sets(data, offsets)
                 n = np.bincount(rows, minlength=n_rows)
                 f1, f2 = fingerprints(rows, keys, n_rows)
                 first = np.cumsum(n) - n
@@ -169,9 +170,10 @@ def _keys(order):
     """(node, keys): the set of each text; rows whose text is not the one of the class go."""
 
     def make(batches):
+        known = order.get()
         for batch in batches:
             for part, data, offsets in slices(batch):
-                rows, keys = order.value.sets(data, offsets)
+                rows, keys = known.sets(data, offsets)
                 edge = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys.view(np.int64)))
                 right = pa.array(fingerprints(rows, keys, part.num_rows)[0] == part.column(0).to_numpy())
@@ -265,7 +267,7 @@ class _Join:
         self.percent = percent
         self.docs = columns_of(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.spark = documents.sparkSession
-        self.order = self.spark.sparkContext.broadcast(fit_order(self.docs, width))
+        self.order = Sent(self.spark, fit_order(self.docs, width))
         self.sets = written(self.docs.mapInArrow(_sets(self.order, percent), SETS), "sets")
         # Equal sets are one node; grouping keeps one row for each set and task before the shuffle.
         self.nodes = written(self.sets.filter("n > 0").groupBy("f1", "f2", "n").agg(
