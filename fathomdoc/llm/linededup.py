@@ -20,7 +20,7 @@ BLANKS, HAS_WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 LEAST_WORDS = 10
 EDGE = LEAST_WORDS // 2
 #: A table of keys is sent to all executors only if it was counted and has no more rows, of 40 bytes at most.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 400_000
 #: Sums of word hashes stay below 2^63 for lines of up to eight million words.
 _SMALL = 1 << 40
 _LAST = (1 << 63) - 1
