@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomdoc.llm.common import remainder, share_below, slices
 
-#: Hashed subwords, numbers in an embedding, texts learned from for each language, languages learned at most.
-BUCKETS, WIDTH, PER_LANGUAGE, MOST_LANGUAGES = 1 << 13, 16, 1000, 256
+#: Hashed subwords, numbers in an embedding, texts learned from for each language and for all, languages at most.
+BUCKETS, WIDTH, PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 1 << 13, 16, 1000, 16_000, 256
 EPOCHS, BATCH, RATE, MOST_ERRORS = 8, 64, 0.3, 0.01
 #: At most this share of the texts left out of training lies below the bound.
 MOST_REJECTED = 0.5
@@ -67,7 +67,7 @@ def subword_counts(data: np.ndarray, offsets: np.ndarray, block: int = 64) -> It
 
 
 def _sampled(batches):
-    """(lang, buckets, counts) of each text, sparse."""
+    """(lang, buckets, counts, key) of each text, sparse."""
     for batch in batches:
         for part, data, offsets in slices(batch):
             rows = [r for block in subword_counts(data, offsets) for r in block]
@@ -75,15 +75,15 @@ def _sampled(batches):
             yield pa.RecordBatch.from_arrays(
                 [part.column(part.schema.get_field_index("lang")).cast(pa.string()),
                  pa.array([u.astype("<u2").tobytes() for u in used], pa.binary()),
-                 pa.array([r[u].astype("<u4").tobytes() for r, u in zip(rows, used)], pa.binary())],
-                ["lang", "buckets", "counts"])
+                 pa.array([r[u].astype("<u4").tobytes() for r, u in zip(rows, used)], pa.binary()),
+                 part.column(part.schema.get_field_index("key"))], ["lang", "buckets", "counts", "key"])
 
 
 def _thinned(rows: list, random: np.random.Generator, kept: np.ndarray) -> np.ndarray:
     """Dense counts of each sparse text after keeping about this many of its subwords, as a short text would have."""
     out = np.zeros((len(rows), BUCKETS), np.float32)
     for i, ((used, counts), keep) in enumerate(zip(rows, kept)):
-        out[i, used] = random.binomial(counts, min(1.0, keep / max(1, counts.sum())))
+        out[i, used] = random.binomial(counts.astype(np.int64), min(1.0, keep / max(1, int(counts.sum()))))
     return out
 
 
@@ -113,15 +113,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages
     if not len(checked):
         return model
     kept = np.where(np.arange(len(checked)) % 2, np.inf, np.exp(random.uniform(3, 6, len(checked))))
-    counts, truth = _thinned([rows[i] for i in checked], random, kept), labels[checked]
+    truth, parts = labels[checked], []
+    for first in range(0, len(checked), 256):
+        counts = _thinned([rows[i] for i in checked[first : first + 256]], random, kept[first : first + 256])
+        parts.append(counts / np.maximum(counts.sum(1, keepdims=True), 1) @ model.weights + bias)
+    weight = np.concatenate(parts)
 
     def loss(t: float) -> float:
-        p = LanguageModel(languages, model.weights, bias, t, 0.0).scores(counts)
-        return -np.log(np.maximum(p[np.arange(len(truth)), truth], 1e-12)).mean()
+        return -np.log(np.maximum(_softmax(weight / t)[np.arange(len(truth)), truth], 1e-12)).mean()
 
     temperature = float(min(np.exp(np.linspace(-3, 2, 51)), key=loss))
-    model = LanguageModel(languages, model.weights, bias, temperature, 0.0)
-    p = model.scores(counts)
+    p = _softmax(weight / temperature)
     return LanguageModel(languages, model.weights, bias, temperature, least_score(p.max(1), p.argmax(1) != truth))
 
 
@@ -141,32 +143,55 @@ def least_score(score: np.ndarray, wrong: np.ndarray) -> float:
     return min(least, 0.5) if good[-1] == len(rank) - 1 else least
 
 
+def _fitted(languages: list[str]):
+    """One row, the pickled numbers of the model, from the rows of ``_sampled``."""
+
+    def learn(batches):
+        place = {lang: i for i, lang in enumerate(languages)}
+        texts, labels = [], []
+        for batch in batches:
+            kept = [batch.column(c) for c in (1, 2)]
+            texts += [tuple(np.frombuffer(c[i].as_buffer(), k) for c, k in zip(kept, ("<u2", "<u4"))) for i in range(batch.num_rows)]
+            labels += [place[x] for x in batch.column(0).to_pylist()]
+        # Training sees the texts in an order that does not depend on the tasks they come from.
+        order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i][0].tobytes(), texts[i][1].tobytes()))
+        model = fit([texts[i] for i in order], np.array(labels, np.int64)[order], languages)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([np.ascontiguousarray(model.weights, "<f4").tobytes()]), pa.array([np.asarray(model.bias, "<f4").tobytes()]),
+             pa.array([model.temperature]), pa.array([model.least_score])], ["weights", "bias", "temperature", "least_score"])
+
+    return learn
+
+
 def train(documents: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learns from a bounded sample of the rows of (doc_id, text, lang) where ``learn_from`` holds and neither is null.
 
-    About ``per_language`` texts of each of the ``MOST_LANGUAGES`` commonest languages are drawn by a hash of doc_id;
-    these whole texts become at most BUCKETS counts each on the executors, and only the counts reach the driver.
+    At most ``per_language`` texts, and ``MOST_TEXTS`` of all, are drawn by a hash of the row from each of the
+    ``MOST_LANGUAGES`` commonest languages. These whole texts become at most BUCKETS counts each on the executors. One
+    task trains on these counts, at most ``MOST_TEXTS * BUCKETS * 6`` bytes, and only the model reaches the driver.
     Without such rows the model knows no language and every answer is ``und``.
     """
     rows = documents.filter(learn_from & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
              .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    nothing = LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     if not sizes:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+        return nothing
     languages = sorted(sizes)
+    most = max(1, min(per_language, MOST_TEXTS // len(sizes)))
     drawn = F.lit(False)
     for lang, size in sizes.items():
-        drawn = drawn | ((F.col("lang") == lang) & share_below(F.col("doc_id"), per_language / size, 3))
-    most = 2 * per_language * len(sizes) + 1000
-    table = (rows.filter(drawn & (F.length(F.coalesce("text", F.lit(""))) > 0)).select("lang", "text")
-             .mapInArrow(_sampled, "lang string, buckets binary, counts binary").limit(most).toArrow())
-    texts = [(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4").astype(np.int64))
-             for b, c in zip(table.column("buckets").to_pylist(), table.column("counts").to_pylist())]
-    place = {lang: i for i, lang in enumerate(languages)}
-    labels = np.array([place[x] for x in table.column("lang").to_pylist()], np.int64)
-    # Spark gives the rows in the order of its tasks; training sees them in an order of their own.
-    order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i][0].tobytes(), texts[i][1].tobytes()))
-    return fit([texts[i] for i in order], labels[order], languages)
+        # Some more than are wanted, as a hash draws about a share.
+        drawn = drawn | ((F.col("lang") == lang) & share_below(F.col("doc_id"), 1.25 * (most + 20) / size, 3))
+    keyed = rows.filter(drawn & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    counts = keyed.mapInArrow(_sampled, "lang string, buckets binary, counts binary, key long")
+    first = Window.partitionBy("lang").orderBy("key", "buckets")
+    sample = counts.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).select("lang", "buckets", "counts")
+    fitted = sample.repartition(1).mapInArrow(_fitted(languages), "weights binary, bias binary, temperature double, least_score double").first()
+    if fitted is None:
+        return nothing
+    return LanguageModel(languages, np.frombuffer(fitted.weights, "<f4").reshape(BUCKETS, -1), np.frombuffer(fitted.bias, "<f4"),
+                         fitted.temperature, fitted.least_score)
 
 
 def _has_letter(text: str | None) -> bool:
