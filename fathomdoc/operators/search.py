@@ -20,11 +20,15 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Rows of either side in one cell of the grid join.
 CELL_ROWS = 16384
 TILE = 1024
+# Queries whose distances bound those of others.
+PIVOTS = 16
+# With more partitions than these, a sample of so many rows in a thousand first bounds what each of them sends.
+FEW_PARTITIONS, SAMPLED = 200, 10
 # Pairs whose distance is computed at once.
 EXACT_PAIRS = 32768
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal-length float lists as a 2-d array of doubles."""
     lengths = pc.unique(pc.list_value_length(column).drop_null())
     if len(lengths) > 1:
@@ -55,30 +59,60 @@ def code_pair(table: int, bit: int, bits: int, dimensions):
     return i % dimensions, (i + 1 + lap) % dimensions
 
 
+def sum_of_squares(vectors: np.ndarray) -> np.ndarray:
+    return (vectors * vectors).sum(axis=1)
+
+
+def far_apart(vectors: np.ndarray, count: int) -> np.ndarray:
+    """Some of the vectors, each as far as can be from those before."""
+    chosen = vectors[:1]
+    nearest = np.full(len(vectors), np.inf)
+    while len(chosen) < min(count, len(vectors)):
+        nearest = np.minimum(nearest, sum_of_squares(vectors - chosen[-1]))
+        chosen = np.concatenate([chosen, vectors[nearest.argmax()][None]])
+    return chosen
+
+
 class _Nearest:
-    """Running k nearest of a block of queries; feed it corpus batches, then read ``rows``."""
+    """Running k nearest of a block of queries; feed it corpus batches, then read ``rows``.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, lsh: tuple[int, int] | None):
+    ``bounds`` are distances that the k nearest of each query are known not to exceed. A tile of rows is compared only
+    with the queries that it may hold a near row for: by the triangle inequality a row is no nearer to a query than
+    their distances to any pivot differ.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, lsh: tuple[int, int] | None,
+                 bounds: np.ndarray | None = None):
         self.ids, self.vectors, self.k, self.lsh = ids, vectors, k, lsh
-        self.norms = (vectors * vectors).sum(axis=1)
+        self.norms = sum_of_squares(vectors)
         self.codes = sign_codes(vectors, *lsh) if lsh else None
         self.distance = np.full((len(ids), k), np.inf)
-        self.found = None
+        self.bounds = np.full(len(ids), np.inf) if bounds is None else bounds
+        self.found, self.compared = None, 0
+        self.pivots = far_apart(vectors, PIVOTS)
+        self.to_pivots = self._pivot_distances(vectors)
+
+    def _pivot_distances(self, vectors: np.ndarray) -> np.ndarray:
+        rough = sum_of_squares(vectors)[:, None] + sum_of_squares(self.pivots) - 2.0 * (vectors @ self.pivots.T)
+        return np.sqrt(np.maximum(rough, 0.0))
 
-    def _candidates(self, lo: int, hi: int, corpus: np.ndarray, norms: np.ndarray, codes) -> tuple:
+    def _limit(self, asked: np.ndarray) -> np.ndarray:
+        return np.minimum(self.distance[asked, -1], self.bounds[asked]) + 1e-7 * (1.0 + self.norms[asked])
+
+    def _candidates(self, asked: np.ndarray, corpus: np.ndarray, norms: np.ndarray, codes) -> tuple:
         """Positions (query, corpus row) that can still be among the k nearest."""
-        rough = self.norms[lo:hi, None] + norms[None, :] - 2.0 * (self.vectors[lo:hi] @ corpus.T)
+        rough = self.norms[asked, None] + norms[None, :] - 2.0 * (self.vectors[asked] @ corpus.T)
+        self.compared += rough.size
         if codes is not None:
             shared = np.zeros(rough.shape, dtype=bool)
             for t in range(codes.shape[1]):
-                shared |= self.codes[lo:hi, t, None] == codes[None, :, t]
+                shared |= self.codes[asked, t, None] == codes[None, :, t]
             rough[~shared] = np.inf
-        limit = self.distance[lo:hi, -1]
+        limit = self._limit(asked)
         if rough.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-        limit = limit + 1e-7 * (1.0 + self.norms[lo:hi])
+            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + 1e-7 * (1.0 + self.norms[asked]))
         q, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-        return q + lo, c
+        return asked[q], c
 
     def _merge(self, q: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
         hit = np.unique(q)
@@ -96,20 +130,29 @@ class _Nearest:
     def add(self, ids: np.ndarray, corpus: np.ndarray) -> None:
         if self.found is None:
             self.found = np.zeros((len(self.ids), self.k), dtype=ids.dtype)
-        norms = (corpus * corpus).sum(axis=1)
         if corpus.shape[1] != self.vectors.shape[1]:
             raise ValueError(f"vectors of different length: {self.vectors.shape[1]} and {corpus.shape[1]}")
+        # Rows near the same pivot lie together, so that a tile's distances to the pivots span little.
+        to_pivots = self._pivot_distances(corpus)
+        order = np.lexsort((to_pivots.min(axis=1), to_pivots.argmin(axis=1)))
+        ids, corpus, to_pivots = ids[order], corpus[order], to_pivots[order]
+        norms = sum_of_squares(corpus)
         codes = sign_codes(corpus, *self.lsh) if self.lsh else None
         for start in range(0, len(ids), TILE):
             part = slice(start, start + TILE)
+            low, high = to_pivots[part].min(axis=0), to_pivots[part].max(axis=0)
             for lo in range(0, len(self.ids), TILE):
-                q, c = self._candidates(lo, min(lo + TILE, len(self.ids)), corpus[part], norms[part],
-                                        codes[part] if codes is not None else None)
+                own = self.to_pivots[lo:lo + TILE]
+                apart = np.maximum(np.maximum(own - high, low - own).max(axis=1) - 1e-6, 0.0)
+                asked = lo + np.flatnonzero(apart * apart <= self._limit(np.arange(lo, lo + len(own))))
+                if not len(asked):
+                    continue
+                q, c = self._candidates(asked, corpus[part], norms[part], codes[part] if codes is not None else None)
                 for at in range(0, len(q), EXACT_PAIRS):
                     pairs = slice(at, at + EXACT_PAIRS)
-                    delta = self.vectors[q[pairs]] - corpus[part][c[pairs]]
-                    exact = np.round((delta * delta).sum(axis=1), DECIMALS)
-                    self._merge(q[pairs], exact, ids[part][c[pairs]])
+                    exact = np.round(sum_of_squares(self.vectors[q[pairs]] - corpus[part][c[pairs]]), DECIMALS)
+                    near = exact <= self.bounds[q[pairs]]
+                    self._merge(q[pairs][near], exact[near], ids[part][c[pairs]][near])
 
     def rows(self, names: list[str], schema: pa.Schema) -> pa.RecordBatch:
         if self.found is None:
@@ -125,33 +168,53 @@ def _with_vector(rows):
     return rows.filter(pc.is_valid(rows.column(1)))
 
 
-def _ids(column: pa.Array) -> np.ndarray:
+def ids_of(column: pa.Array) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
-def _scan_join(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType, lsh) -> DataFrame:
-    """Query vectors travel with the task; every corpus partition gives its k nearest per query."""
+def _scan_join(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType, lsh,
+               bounds: np.ndarray | None = None) -> DataFrame:
+    """Query vectors travel with the task; every corpus partition gives those of its k nearest per query that lie
+    within the query's bound."""
     queries = _with_vector(queries)
-    query_ids, matrix = _ids(queries.column(0)), _matrix(queries.column(1).combine_chunks())
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    shared = corpus.sparkSession.sparkContext.broadcast(
+        (ids_of(queries.column(0)), matrix(queries.column(1).combine_chunks()), bounds))
     arrow_schema = to_arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest = _Nearest(*shared.value, k, lsh)
+        ids, vectors, limits = shared.value
+        nearest = _Nearest(ids, vectors, k, lsh, limits)
         for batch in batches:
             batch = _with_vector(batch)
             if batch.num_rows and len(nearest.ids):
-                nearest.add(_ids(batch.column(0)), _matrix(batch.column(1)))
+                nearest.add(ids_of(batch.column(0)), matrix(batch.column(1)))
         yield nearest.rows(arrow_schema.names, arrow_schema)
 
     return corpus.mapInArrow(scan, schema)
 
 
+def upper_bounds(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructType, level: int = 0) -> np.ndarray | None:
+    """For each query with a vector, the distance of its k-th nearest in a sample of the corpus: no nearer row of the
+    whole corpus is farther. With them partitions send about k * 1000 / SAMPLED rows per query between them, however
+    many they are. A sample that has many partitions itself is bounded by a sample of its own, until it is small.
+    """
+    sample = cut_lineage(corpus.filter(F.pmod(F.xxhash64(corpus.columns[0], F.lit(level)), F.lit(1000)) < SAMPLED))
+    n = sample.count()
+    if n < k:
+        return None
+    within = upper_bounds(queries, sample, k, schema, level + 1) if n > 1000 * FEW_PARTITIONS else None
+    name, other = schema.names[:2]
+    hits = top_per_group(_scan_join(queries, sample, k, schema, None, within), [name], [F.col("distance"), F.col(other)], k, "rank", F.col(other))
+    found = hits.filter(F.col("rank") == k).select(name, "distance").toArrow()
+    known = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    return np.array([known.get(i, np.inf) for i in _with_vector(queries).column(0).to_pylist()])
+
+
 def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     return queries.toDF("_q_id", "_q_vector"), corpus.toDF("_c_id", "_c_vector")
 
 
-def _sliced(df: DataFrame, row_id: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+def sliced(df: DataFrame, row_id: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
     """Rows of one side dealt to ``own_n`` slices by a hash of the id, repeated for every slice of the other side."""
     return (
         df.withColumn(own, F.pmod(F.xxhash64(row_id), own_n).cast("int"))
@@ -159,7 +222,7 @@ def _sliced(df: DataFrame, row_id: str, own: str, own_n: Column, other: str, oth
     )
 
 
-def _join_cells(left: DataFrame, right: DataFrame, cell: list[str], k: int, schema: T.StructType, lsh) -> DataFrame:
+def join_cells(left: DataFrame, right: DataFrame, cell: list[str], k: int, schema: T.StructType, lsh) -> DataFrame:
     """The k nearest per query of every cell; a cell holds one slice of each side."""
     arrow_schema = to_arrow_schema(schema)
 
@@ -168,8 +231,8 @@ def _join_cells(left: DataFrame, right: DataFrame, cell: list[str], k: int, sche
             side.filter(pc.is_valid(side[name])) for side, name in ((queries, "_q_vector"), (corpus, "_c_vector")))
         if not queries.num_rows or not corpus.num_rows:
             return arrow_schema.empty_table()
-        nearest = _Nearest(_ids(queries["_q_id"]), _matrix(queries["_q_vector"].combine_chunks()), k, lsh)
-        nearest.add(_ids(corpus["_c_id"]), _matrix(corpus["_c_vector"].combine_chunks()))
+        nearest = _Nearest(ids_of(queries["_q_id"]), matrix(queries["_q_vector"].combine_chunks()), k, lsh)
+        nearest.add(ids_of(corpus["_c_id"]), matrix(corpus["_c_vector"].combine_chunks()))
         return pa.Table.from_batches([nearest.rows(arrow_schema.names, arrow_schema)])
 
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(nearest_in, schema)
@@ -180,8 +243,8 @@ def _grid_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructTy
     across = F.lit(max(1, -(-queries.count() // cell_rows)))
     down = F.lit(max(1, -(-corpus.count() // cell_rows)))
     left, right = _sides(queries, corpus)
-    return _join_cells(_sliced(left, "_q_id", "_col", across, "_row", down),
-                       _sliced(right, "_c_id", "_row", down, "_col", across), ["_col", "_row"], k, schema, None)
+    return join_cells(sliced(left, "_q_id", "_col", across, "_row", down),
+                       sliced(right, "_c_id", "_row", down, "_col", across), ["_col", "_row"], k, schema, None)
 
 
 def _code(vector: str, table: int, bits: int) -> Column:
@@ -215,14 +278,22 @@ def _bucket_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.Struct
 
     sizes = F.broadcast(slices(left, "_across").join(slices(right, "_down"), bucket))
     across, down = F.col("_across"), F.col("_down")
-    cells = _join_cells(
-        _sliced(left.join(sizes, bucket), "_q_id", "_col", across, "_row", down).drop("_across", "_down"),
-        _sliced(right.join(sizes, bucket), "_c_id", "_row", down, "_col", across).drop("_across", "_down"),
+    cells = join_cells(
+        sliced(left.join(sizes, bucket), "_q_id", "_col", across, "_row", down).drop("_across", "_down"),
+        sliced(right.join(sizes, bucket), "_c_id", "_row", down, "_col", across).drop("_across", "_down"),
         [*bucket, "_col", "_row"], k, schema, None)
     # A pair may meet in several tables.
     return cells.groupBy(*schema.names[:2]).agg(F.min("distance").alias("distance"))
 
 
+def hit_schema(queries: DataFrame, query_id: str, corpus: DataFrame, corpus_id: str) -> T.StructType:
+    return T.StructType([
+        T.StructField(query_id, queries.schema[query_id].dataType),
+        T.StructField(corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}", corpus.schema[corpus_id].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ])
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
              corpus_id: str = "chunk_id", vector: str = "embedding", where: Column | None = None,
              lsh: tuple[int, int] | None = None, broadcast_bytes: int = BROADCAST_BYTES,
@@ -233,19 +304,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
     code in some table (approximate). Ties go to the smaller corpus id. Vectors are finite and of one length.
 
     Query vectors that, with k results each, are counted to be within ``broadcast_bytes`` are sent to the scan of the corpus, which is then not shuffled;
-    more of them are joined in bounded cells: all slices with all slices, or with ``lsh`` bucket by bucket. Both
+    of many partitions each sends only rows within a bound that a sample gave first;
+    more queries are joined in bounded cells: all slices with all slices, or with ``lsh`` bucket by bucket. Both
     ways give the same rows; they are exact without ``lsh``. Rows without a vector
     are skipped in the tasks: a filter on a vector made by a UDF would be pushed down and make it twice.
     """
     corpus = corpus.filter(where) if where is not None else corpus
     queries = queries.select(query_id, vector)
     corpus = corpus.select(corpus_id, vector)
-    names = [query_id, corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"]
-    schema = T.StructType([
-        T.StructField(names[0], queries.schema[query_id].dataType),
-        T.StructField(names[1], corpus.schema[corpus_id].dataType),
-        T.StructField("distance", T.DoubleType()),
-    ])
+    schema = hit_schema(queries, query_id, corpus, corpus_id)
+    names = schema.names
     # Fixed once, so that an embedding function runs once, and measured before anything is fetched.
     queries = cut_lineage(queries)
     n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
@@ -254,7 +322,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
         partial = (_bucket_join(queries, corpus, k, schema, lsh, cell_rows) if lsh
                    else _grid_join(queries, corpus, k, schema, cell_rows))
     else:
-        partial = _scan_join(small, corpus, k, schema, lsh)
+        many = lsh is None and corpus.rdd.getNumPartitions() > FEW_PARTITIONS
+        partial = _scan_join(small, corpus, k, schema, lsh, upper_bounds(small, corpus, k, schema) if many else None)
     return top_per_group(partial, [names[0]], [F.col("distance"), F.col(names[1])], k, "rank",
                          F.col(names[1]))
 

@@ -1,36 +1,49 @@
 """Answering a table of questions in one job."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions.scoring import lexical_score
 from fathomdoc.operators.answer import (
     GenerateFn, build_prompts, classify_questions, context_of, extractive_answers, generate, sources_of)
+from fathomdoc.operators.cells import CellIndex, build_cell_index, search_cells
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.rerank import best_scored
 from fathomdoc.operators.search import knn_join
 
 
-def candidates(questions: DataFrame, passages: DataFrame, embedder: EmbedFn = hashing_embedder,
-               k: int = DEFAULTS.retrieval_candidates) -> DataFrame:
+def index_passages(passages: DataFrame, path: str | None = None, embedder: EmbedFn = hashing_embedder, **options) -> CellIndex:
+    """The passages with their embeddings, stored by cell; see ``build_cell_index`` for the options."""
+    known = passages if "embedding" in passages.columns else embed(passages, "content", embedder)
+    return build_cell_index(known, path, corpus_id="passage_id", **options)
+
+
+def candidates(questions: DataFrame, passages: DataFrame | CellIndex, embedder: EmbedFn = hashing_embedder,
+               k: int = DEFAULTS.retrieval_candidates, where: Column | None = None) -> DataFrame:
     """The k nearest passages of every question with both texts; cand_idx is the 0-based rank.
 
-    questions: query_id, question. passages: passage_id, content, source, and embedding if they have one.
+    questions: query_id, question. passages: passage_id, content, source, and embedding if they have one; or an index
+    of them, which is searched approximately. ``where`` filters the passages, by any column, before the search.
     """
     asked = embed(questions, "question", embedder)
-    known = passages if "embedding" in passages.columns else embed(passages, "content", embedder)
-    hits = knn_join(asked, known, k, corpus_id="passage_id")
+    if isinstance(passages, CellIndex):
+        hits, passages = search_cells(asked, passages, k, where=where), passages.rows
+    else:
+        passages = passages.filter(where) if where is not None else passages
+        known = passages if "embedding" in passages.columns else embed(passages, "content", embedder)
+        hits = knn_join(asked, known, k, corpus_id="passage_id")
+    kept = [c for c in ("passage_id", "content", "source", "metadata") if c in passages.columns]
     return (
-        passages.select("passage_id", "content", "source").join(hits, "passage_id")
+        passages.select(*kept).join(hits, "passage_id")
         .join(questions.select("query_id", "question"), "query_id")
         .withColumn("cand_idx", F.col("rank") - 1)
     )
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, embedder: EmbedFn = hashing_embedder,
-             k: int = DEFAULTS.retrieval_candidates, top_n: int = DEFAULTS.rerank_top_k) -> DataFrame:
+def retrieve(questions: DataFrame, passages: DataFrame | CellIndex, embedder: EmbedFn = hashing_embedder,
+             k: int = DEFAULTS.retrieval_candidates, top_n: int = DEFAULTS.rerank_top_k, where: Column | None = None) -> DataFrame:
     """Two stages: k candidates by vector, then the best ``top_n`` by word overlap."""
-    found = candidates(questions, passages, embedder, k)
+    found = candidates(questions, passages, embedder, k, where)
     score = lexical_score(F.lower("question"), F.col("content"), F.col("cand_idx"))
     return best_scored(found.withColumn("score", score), top_n)
 

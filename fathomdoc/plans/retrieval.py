@@ -1,15 +1,18 @@
 """Registered queries over embeddings, questions and passages."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fathomdoc.functions import scoring, text as X
 from fathomdoc.operators import answer as A, rerank as R
+from fathomdoc.operators.cells import build_cell_index, search_cells
 from fathomdoc.operators.chunking import fixed_windows
 from fathomdoc.operators.embedding import embed
 from fathomdoc.operators.search import knn_join, similarity_search
 from fathomdoc.operators.skew import union_all
 from fathomdoc.plans import sql_parts as S
-from fathomdoc.plans.answering import answer_questions, candidates, retrieve
+from fathomdoc.plans.answering import answer_questions, candidates, index_passages, retrieve
 from fathomdoc.plans.registry import query, table
 from fathomdoc.session import spread
 
@@ -69,6 +72,34 @@ def approximate_in_buckets(spark, folder):
     return long_rank(hits, "rank").withColumn("distance", F.round("distance", 6))
 
 
+@query("d3_cell_index_neighbours")
+def neighbours_by_cells(spark, folder):
+    """Approximate: the ten nearest by as many cells as the index measured for a recall of 0.95."""
+    queries, corpus = vectors(spark, folder)
+    hits = search_cells(queries, build_cell_index(corpus), 10)
+    return long_rank(hits, "rank").withColumn("distance", F.round("distance", 6))
+
+
+@query("d3_cell_index_every_cell_filtered", f"""WITH {S.nearest(10, 'b.label <> 3')}
+SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM hits""")
+def neighbours_by_every_cell(spark, folder):
+    """With every cell, and a filter, the search by cells is exact."""
+    queries, corpus = vectors(spark, folder)
+    index = build_cell_index(corpus, cells=16)
+    hits = search_cells(queries, index, 10, where=F.col("label") != 3, probes=16, cell_rows=50)
+    return long_rank(hits, "rank").withColumn("distance", F.round("distance", 6))
+
+
+@query("c6_g1_filtered_question_candidates",
+       f"WITH {S.candidates_where('lang <> ' + S.quoted('en'))} SELECT query_id, passage_id, cand_idx, round(distance, 6) AS distance FROM candidates")
+def filtered_question_candidates(spark, folder):
+    """The question path over an index of the passages, with a filter on them; every cell, so that it is exact."""
+    passages = windows(spark, folder)
+    index = replace(index_passages(passages, cells=24), probes=24)
+    return candidates(questions(spark, folder), index, where=F.col("lang") != "en").select(
+        "query_id", "passage_id", F.col("cand_idx").cast("bigint").alias("cand_idx"), F.round("distance", 6).alias("distance"))
+
+
 @query("i5_squared_distance",
        f"""WITH {S.VECTORS} SELECT a.vec_id, {S.DISTANCE.replace('b.e[i]', 'a.e[len(a.e) + 1 - i]')} AS distance
 FROM v a""")

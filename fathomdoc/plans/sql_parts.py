@@ -74,6 +74,13 @@ candidates AS (
          row_number() OVER (PARTITION BY query_id ORDER BY distance, passage_id) - 1 AS cand_idx
   FROM scored JOIN benchmark b ON b.item_id = query_id QUALIFY cand_idx < 50)"""
 
+
+
+def candidates_where(condition: str) -> str:
+    """``CANDIDATES`` among the windows that meet a condition."""
+    return CANDIDATES.replace("FROM documents WHERE length(text) > 0", f"FROM documents WHERE length(text) > 0 AND {condition}")
+
+
 RETRIEVED = f"""{CANDIDATES},
 rated AS (SELECT *, {lexical("question", "content", "cand_idx")} AS score FROM candidates),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_idx) AS retrieval_rank
