@@ -107,20 +107,25 @@ def decide(times: np.ndarray, rule: Rule, memory: list[int]) -> tuple[list, list
 
 
 def _pack(rule: Rule, schema: pa.Schema):
-    """Sorted rows (key, t, id) to blocks."""
+    """Sorted rows (key, t, id) to blocks. Chains are numbered from 1 in each partition; the blocks before the first
+    have 0 and go on with a chain of a partition before."""
 
-    def blocks_of(key, times: list, ids: list, starts_key: bool) -> list[dict]:
+    def blocks_of(key, times: list, ids: list, starts_key: bool, part: int, chain: int) -> list[dict]:
         t, i = np.concatenate(times), np.concatenate(ids)
-        return [
-            {"client": key, "first_t": int(t[start]), "first_id": i[start], "fresh": fresh,
-             "warm": t[max(0, start - rule.limit):start] if fresh else t[:0], "t": t[start:stop], "id": i[start:stop]}
-            for start, stop, fresh in cuts(t, rule, starts_key)]
+        blocks = []
+        for start, stop, fresh in cuts(t, rule, starts_key):
+            chain += fresh
+            blocks.append({
+                "client": key, "first_t": int(t[start]), "first_id": i[start], "part": part, "chain": chain,
+                "warm": t[max(0, start - rule.limit):start] if fresh else t[:0], "t": t[start:stop], "id": i[start:stop]})
+        return blocks
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chain = TaskContext.get().partitionId(), 0
         key, times, ids, size = None, [], [], 0
         ready, held = [], 0
         # The first key of a partition may have begun in the partition before.
-        starts_key = TaskContext.get().partitionId() == 0
+        starts_key = part == 0
         for batch in batches:
             keys = batch.column(0)
             if not len(keys):
@@ -131,7 +136,8 @@ def _pack(rule: Rule, schema: pa.Schema):
             for start, stop in zip(edges, edges[1:]):
                 here = keys[start].as_py()
                 if times and (here != key or size >= PART):
-                    ready += blocks_of(key, times, ids, starts_key)
+                    ready += blocks_of(key, times, ids, starts_key, part, chain)
+                    chain = ready[-1]["chain"]
                     held += size
                     starts_key = here != key
                     times, ids, size = [], [], 0
@@ -143,7 +149,7 @@ def _pack(rule: Rule, schema: pa.Schema):
                     yield pa.RecordBatch.from_pylist(ready, schema)
                     ready, held = [], 0
         if times:
-            ready += blocks_of(key, times, ids, starts_key)
+            ready += blocks_of(key, times, ids, starts_key, part, chain)
         yield pa.RecordBatch.from_pylist(ready, schema)
 
     return pack
@@ -208,8 +214,8 @@ def sliding_admission(events: DataFrame, key: str, ts: str, event_id: str, limit
 
     long_list, int_list = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
     packed_schema = schema(
-        ("client", client_type), ("first_t", T.LongType()), ("first_id", id_type), ("fresh", T.BooleanType()),
-        ("warm", long_list), ("t", long_list), ("id", T.ArrayType(id_type)))
+        ("client", client_type), ("first_t", T.LongType()), ("first_id", id_type), ("part", T.IntegerType()),
+        ("chain", T.LongType()), ("warm", long_list), ("t", long_list), ("id", T.ArrayType(id_type)))
     done_schema = schema(("first_id", id_type), ("starts", int_list), ("stops", int_list), ("oldest", long_list))
     out_schema = schema(("client", client_type), (event_id, id_type), ("t", T.LongType()),
                         ("admitted", T.BooleanType()), ("oldest", T.LongType()))
@@ -217,10 +223,18 @@ def sliding_admission(events: DataFrame, key: str, ts: str, event_id: str, limit
     # Block edges follow from the range boundaries, and three plans read the blocks: fix them once.
     packed = cut_lineage(
         rows.orderBy("client", "t", "id").mapInArrow(_pack(rule, to_arrow_schema(packed_schema)), packed_schema))
-    by_key = Window.partitionBy("client").orderBy("first_t", "first_id").rowsBetween(Window.unboundedPreceding, 0)
-    chains = packed.select("first_id", F.sum(F.col("fresh").cast("int")).over(by_key).alias("chain"))
+    # A prefix sum in two steps: each partition numbered its own chains, and one row of each says which chain the next
+    # partitions go on with. Only these rows, as many as partitions, pass through one window.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.col("chains") > 0, F.struct("part", F.col("chains").alias("chain")))
+    carried = (
+        packed.groupBy("part").agg(F.max("chain").alias("chains"))
+        .select("part", F.last(last, ignorenulls=True).over(before).alias("carried"))
+    )
+    own = F.when(F.col("chain") > 0, F.struct("part", "chain")).otherwise(F.col("carried"))
     decided = (
-        packed.select("client", "first_t", "first_id", "warm", "t").join(chains, "first_id")
+        packed.select("client", "first_t", "first_id", "warm", "t", "part", "chain").join(F.broadcast(carried), "part")
+        .select("client", F.to_json(own).alias("chain"), "first_t", "first_id", "warm", "t")
         .repartition("client", "chain")
         .sortWithinPartitions("client", "chain", "first_t", "first_id")
         .mapInArrow(_walk(rule, to_arrow_schema(done_schema)), done_schema)

@@ -51,12 +51,13 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, width:
 
 
 def last_items(df: DataFrame, keys: list[str], order: str, item: Column, n: int, width: int, name: str) -> DataFrame:
-    """``name`` = array of the last ``n`` items of the key up to and including this row.
+    """``name`` = array of the items of the last ``n`` rows of the key up to and including this one; null items are
+    rows too, and only left out of the array.
 
     Rows where the order is null are left out. Windowed per (key, stretch of ``width`` order values); the last items of earlier
     stretches are carried in, at most ``n`` per stretch.
     """
-    stretched = _stretched(df, keys, order, width).withColumn("_item", item)
+    stretched = _stretched(df, keys, order, width).withColumn("_item", F.struct(item.alias("item")))
     inside = Window.partitionBy(*keys, "_stretch").orderBy(order)
     local = (
         stretched.withColumn(name, F.collect_list("_item").over(inside.rowsBetween(1 - n, 0)))
@@ -69,9 +70,10 @@ def last_items(df: DataFrame, keys: list[str], order: str, item: Column, n: int,
         .drop("_tail")
     )
     joined = F.concat("_before", name)
+    cut = F.slice(joined, F.greatest(F.size(joined) - n + 1, F.lit(1)), n)
     return (
         null_safe_join(local, carried, keys + ["_stretch"])
-        .withColumn(name, F.slice(joined, F.greatest(F.size(joined) - n + 1, F.lit(1)), n))
+        .withColumn(name, F.array_compact(F.transform(cut, lambda row: row["item"])))
         .drop("_stretch", "_item", "_last", "_before")
     )
 

@@ -81,6 +81,29 @@ def client_admission_stream(spark, folder):
         ~F.col("admitted"), scoring.retry_after(F.col("oldest"), F.col("t"), DAY, True)).alias("retry_after"))
 
 
+def in_files(rows, order, files):
+    """The rows written as so many files of rising order, one after the other, as they would arrive; the folder."""
+    target = work_folder(rows.sparkSession, "arrivals")
+    at = F.unix_micros(F.col(order).cast("timestamp")) if "timestamp" in dict(rows.dtypes)[order] else F.col(order)
+    shares = [n / files for n in range(1, files)]
+    edges = rows.agg(F.percentile_approx(at, F.array(*map(F.lit, shares)), F.lit(10_000))).first()[0]
+    part = sum((F.when(at > edge, 1).otherwise(0) for edge in edges), F.lit(0))
+    for n in range(files):
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(target)
+    return target
+
+
+@query("j1_service_admission_stream", SERVICE_RULE)
+def service_admission_stream(spark, folder):
+    """The whole-service rule over four files, one batch each; with event time, so its state goes after a window."""
+    arrivals = in_files(events(spark, folder).select("event_id", "ts"), "ts", 4)
+    source = spark.readStream.schema("event_id bigint, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(arrivals)
+    decided = streamed(spark, jobs.admission_stream(source.withColumn("service", F.lit("all")), "service", "ts", "event_id", 10, HOUR,
+                                                    inclusive=True, lateness="1 hour"), "service-admission")
+    return decided.select("client", "event_id", "admitted", F.when(
+        ~F.col("admitted"), scoring.retry_after(F.col("oldest"), F.col("t"), HOUR, False)).alias("retry_after"))
+
+
 @query("f5_demand_inclusive", f"""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
   RANGE BETWEEN {DAY * 1_000_000} PRECEDING AND CURRENT ROW) AS demand FROM events""")
 def demand_inclusive(spark, folder):
@@ -125,11 +148,27 @@ def recent_context_in_stretches(spark, folder):
     return H.recent_context(conversations(spark, folder), stretch=2).select("conv_id", "turn", "context")
 
 
-@query("j5_history_stream", f"SELECT conv_id, turn, {CONTEXT} AS context FROM conversations")
+# Every fifth message has no text: it counts as one of the last four, but has no line.
+GAPS = "(SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 <> 0 THEN text END AS text FROM conversations)"
+GAPPED = f"SELECT conv_id, turn, coalesce({CONTEXT}, '') AS context FROM {GAPS}"
+
+
+def gapped(spark, folder):
+    text = F.when((F.col("conv_id") + F.col("turn")) % 5 != 0, F.col("text"))
+    return conversations(spark, folder).select("conv_id", "turn", "role", text.alias("text"))
+
+
+@query("f3_recent_context_without_texts", GAPPED)
+def recent_context_without_texts(spark, folder):
+    return H.recent_context(gapped(spark, folder), stretch=3).select("conv_id", "turn", "context")
+
+
+@query("j5_history_stream", GAPPED)
 def history_stream(spark, folder):
-    schema = "conv_id bigint, turn bigint, role string, text string"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").option(
-        "maxFilesPerTrigger", 1).parquet(folder)
+    """Over three files of rising turns, one batch each."""
+    arrivals = in_files(gapped(spark, folder), "turn", 3)
+    source = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option(
+        "maxFilesPerTrigger", 1).parquet(arrivals)
     return streamed(spark, jobs.history_stream(source), "history")
 
 

@@ -5,6 +5,7 @@ Each takes a checkpoint folder on shared storage. Late rows: with a watermark, r
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -80,79 +81,118 @@ def ingest_stream(spark: SparkSession, folder: str, collection: str, checkpoint:
     )
 
 
+# Rows that leave a stateful task at once.
+PIECE = 1 << 16
+
+
 class _Admit(StatefulProcessor):
-    """Per client: the times of admitted requests, at most N."""
+    """Per client: the times of admitted requests, at most N. With event time they go once they no longer count."""
 
-    def __init__(self, rule: Rule):
-        self.rule = rule
+    def __init__(self, rule: Rule, timed: bool):
+        self.rule, self.timed = rule, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.memory = handle.getValueState("admitted", T.StructType([T.StructField("times", T.ArrayType(T.LongType()))]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(rows, ignore_index=True).sort_values(["t", "id"], ignore_index=True)
-        memory = [int(t) for t in self.memory.get()[0]] if self.memory.exists() else []
-        starts, stops, oldest, memory = decide(frame["t"].to_numpy(), self.rule, memory)
+    def _keep(self, memory: list[int]) -> None:
+        """Remembers the times, until the last of them has expired."""
         self.memory.update((memory,))
-        frame["admitted"], frame["oldest"] = True, pd.array([None] * len(frame), dtype="Int64")
+        if self.timed:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((memory[-1] + self.rule.window) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Only times and ids are held while a client's rows of a batch are put in order.
+        pieces = [(r["t"].to_numpy(), r["id"].to_numpy()) for r in rows]
+        t, ids = (np.concatenate(c) for c in zip(*pieces))
+        order = np.lexsort((ids.astype("U") if ids.dtype == object else ids, t))
+        t, ids = t[order], ids[order]
+        memory = [int(x) for x in self.memory.get()[0]] if self.memory.exists() else []
+        starts, stops, oldest, memory = decide(t, self.rule, memory)
+        self._keep(memory)
+        held = pd.array([None] * len(t), dtype="Int64")
         for start, stop, then in zip(starts, stops, oldest):
-            frame.loc[start:stop - 1, "admitted"] = False
-            frame.loc[start:stop - 1, "oldest"] = then
-        yield frame.assign(client=key[0])[["client", "id", "t", "admitted", "oldest"]]
+            held[start:stop] = then
+        for at in range(0, len(t), PIECE):
+            part = slice(at, at + PIECE)
+            yield pd.DataFrame({"client": [key[0]] * len(t[part]), "id": ids[part], "t": t[part],
+                                "admitted": held[part].isna(), "oldest": held[part]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.memory.exists():
+            now = 1000 * expiredTimerInfo.getExpiryTimeInMs()
+            memory = [int(x) for x in self.memory.get()[0] if not self.rule.expired(int(x), now)]
+            self.memory.update((memory,)) if memory else self.memory.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
 
 
 def admission_stream(events: DataFrame, key: str, ts: str, event_id: str, limit: int, window_seconds: int,
-                     inclusive: bool = False) -> DataFrame:
+                     inclusive: bool = False, lateness: str | None = None) -> DataFrame:
     """Streaming form of ``sliding_admission``: client, event_id, t (microseconds), admitted, oldest.
 
-    Requests are decided batch by batch, in time order within a batch; what one task holds is one client's share
-    of one batch, so bound the batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger). Needs the RocksDB
-    state store provider. For the whole-service rule ``key`` is a constant: one counter, one task, by definition.
+    Requests are decided batch by batch, in time order within a batch; what one task holds is the times and ids of one
+    client's share of one batch, so bound the batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger). Needs
+    the RocksDB state store provider. With ``lateness`` ("10 minutes") requests older than the watermark are dropped,
+    and the state of a client goes when the watermark passes the end of its window; without it every client ever seen
+    keeps at most ``limit`` times. For the whole-service rule ``key`` is a constant: one counter, one task, by
+    definition.
     """
-    rows = events.select(F.col(key).alias("client"), epoch_micros(events, ts).alias("t"),
-                         F.col(event_id).alias("id"))
+    rows = events.select(F.col(key).alias("client"), epoch_micros(events, ts).alias("t"), F.col(event_id).alias("id"),
+                         F.col(ts).cast("timestamp").alias("at"))
+    rows = rows.withWatermark("at", lateness) if lateness else rows.drop("at")
     out = T.StructType([
         T.StructField("client", rows.schema["client"].dataType), T.StructField("id", rows.schema["id"].dataType),
         T.StructField("t", T.LongType()), T.StructField("admitted", T.BooleanType()),
         T.StructField("oldest", T.LongType())])
+    admit = _Admit(Rule(limit, window_seconds * 1_000_000, inclusive), lateness is not None)
     return (
-        rows.groupBy("client")
-        .transformWithStateInPandas(_Admit(Rule(limit, window_seconds * 1_000_000, inclusive)), out, "Append", "none")
+        rows.groupBy("client").transformWithStateInPandas(admit, out, "Append", "EventTime" if lateness else "none")
         .withColumnRenamed("id", event_id)
     )
 
 
 class _Recent(StatefulProcessor):
-    """Per conversation: the last n message lines."""
+    """Per conversation: the lines of the last n messages; a message without text has a place but no line."""
 
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, n: int, idle_ms: int | None):
+        self.n, self.idle_ms = n, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lines = handle.getListState("lines", T.StructType([T.StructField("line", T.StringType())]))
+        line = T.StructType([T.StructField("line", T.StringType())])
+        self.lines = handle.getListState("lines", line, self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(rows, ignore_index=True).sort_values("turn", ignore_index=True)
         lines = [r[0] for r in self.lines.get()] if self.lines.exists() else []
-        contexts = []
-        for role, text in zip(frame["role"], frame["text"]):
-            lines = [*lines, f"{role}: {text}"][-self.n:]
-            contexts.append("\n".join(lines))
+        for at in range(0, len(frame), PIECE):
+            part, contexts = frame.iloc[at:at + PIECE], []
+            for line in part["line"]:
+                lines = [*lines, None if pd.isna(line) else line][-self.n:]
+                contexts.append("\n".join(x for x in lines if x is not None))
+            yield part.assign(conv_id=key[0], context=contexts)[["conv_id", "turn", "context"]]
         self.lines.put([(line,) for line in lines])
-        yield frame.assign(conv_id=key[0], context=contexts)[["conv_id", "turn", "context"]]
 
     def close(self) -> None:
         pass
 
 
-def history_stream(messages: DataFrame, n: int = DEFAULTS.history_messages) -> DataFrame:
-    """Streaming form of ``recent_context``: conv_id, turn, context for messages that arrive in turn order."""
+def history_stream(messages: DataFrame, n: int = DEFAULTS.history_messages, idle_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``recent_context``: conv_id, turn, context for messages that arrive in turn order.
+
+    ``idle_ms`` lets go of the lines of a conversation that had no message for so long by the clock; its next message
+    then starts anew. It is for streams that run on: Spark does not end a stream with such a clock by itself, also not
+    with the trigger ``availableNow``.
+    """
+    line = X.chat_line(F.col("role"), F.col("text"))
     return (
-        messages.select("conv_id", "turn", "role", "text").groupBy("conv_id")
-        .transformWithStateInPandas(_Recent(n), "conv_id bigint, turn bigint, context string", "Append", "none")
+        messages.select("conv_id", "turn", line.alias("line")).groupBy("conv_id")
+        .transformWithStateInPandas(_Recent(n, idle_ms), "conv_id bigint, turn bigint, context string", "Append",
+                                    "ProcessingTime" if idle_ms else "none")
     )
 
 

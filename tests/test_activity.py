@@ -2,6 +2,7 @@ import datetime as dt
 
 from hypothesis import given, settings, strategies as st
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from fathomdoc.functions.scoring import retry_after
 from fathomdoc.operators import admission as AD, history as H, limits as L, skew, sqltool as Q, trace as TR
 from fathomdoc.operators.admission import Rule, cuts, decide, sliding_admission
 from fathomdoc.operators.sqltool import without_comments
+from fathomdoc.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
 
@@ -199,3 +201,60 @@ def test_history(spark):
     assert asked == "Context: user: m0\n\nQuestion: m0"
     assert H.contextual_questions(df, remember=False).orderBy("turn").head()["question"] == "m0"
     assert H.unpack_history(H.pack_history(df, 4)).count() == 6
+
+
+def test_service_rule_with_one_key_of_a_million_requests(spark):
+    """One key over all partitions: its chains are numbered across them without a window over its blocks."""
+    rng = np.random.default_rng(11)
+    steps = rng.integers(0, 3, 1_000_000)
+    steps[::40_000] += 100
+    df = spark.range(0, 1_000_000, 1, 16).select(F.lit("all").alias("client"), F.col("id"))
+    times = spark.createDataFrame(pd.DataFrame({"id": np.arange(1_000_000), "at": np.cumsum(steps)}))
+    df = df.join(times, "id").withColumn("ts", F.timestamp_micros(F.col("at") * 1_000_000).cast("timestamp_ntz"))
+    found = sliding_admission(df, "client", "ts", "id", 10, 20, inclusive=True)
+    plan = found._jdf.queryExecution().toString()
+    assert "windowspecdefinition(client" not in plan
+    rows = found.select("event_id" if "event_id" in found.columns else "id", "admitted").toPandas().sort_values("id")
+    rule = Rule(10, 20, True)
+    expected = [o is None for o in plain(np.cumsum(steps).tolist(), rule)]
+    assert rows["admitted"].tolist() == expected and 0 < sum(expected) < 1_000_000
+
+
+def batches(spark, folder, frames):
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_state_of_a_client_goes_after_its_window(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    schema = "client string, id long, ts timestamp"
+    start = dt.datetime(2024, 1, 1)
+    rows = lambda client, seconds, first: spark.createDataFrame(
+        [(client, first + i, start + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)], schema)
+    batches(spark, f"{tmp_path}/in", [rows("a", [0, 1, 2, 30], 0), rows("b", [10, 500], 10), rows("c", [900], 20), rows("c", [1500], 21)])
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = jobs.admission_stream(source, "client", "ts", "id", 2, 60, lateness="5 seconds")
+    jobs.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    decided = {r.id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert decided == {0: True, 1: True, 2: False, 3: False, 10: True, 11: True, 20: True, 21: True}
+    held = spark.read.format("statestore").option("stateVarName", "admitted").load(f"{tmp_path}/checkpoint")
+    assert [r.key.client for r in held.select("key").collect()] == ["c"]
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 4, 1024])
+def test_messages_without_text_have_a_place(spark, stretch):
+    texts = ["t0", None, "t2", "t3", "t4", None, None, "t7"]
+    df = spark.createDataFrame([(1, n, "u", t) for n, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    found = {r.turn: r.context for r in H.recent_context(df, stretch=stretch).collect()}
+    assert found[7] == "u: t4\nu: t7" and found[3] == "u: t0\nu: t2\nu: t3" and found[1] == "u: t0"
+
+
+def test_history_stream_equals_batch_form(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(c, n, "u", None if (c + n) % 3 == 0 else f"{c}.{n}") for n in range(9) for c in (1, 2)]
+    batches(spark, f"{tmp_path}/in", [spark.createDataFrame(rows[at:at + 6], schema) for at in range(0, 18, 6)])
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.run_to_table(jobs.history_stream(source), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    batch = H.recent_context(spark.createDataFrame(rows, schema)).select("conv_id", "turn", "context")
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(batch.collect())
