@@ -44,6 +44,15 @@ PROMPT_QUESTION = "\n\n質問: "
 PROMPT_TAIL = "\n\n回答:"
 NO_DOCUMENTS = "No relevant documents found in the knowledge base."
 
+# Answers to questions that are not answered, by status; the last one is for a failed model.
+REFUSALS = {
+    "rate_limited": "Rate limit exceeded. Please try again in %s seconds.",
+    "validation_failed": "Invalid question format. Please provide a text question.",
+    "question_too_long": "Question too long. Maximum 2000 characters allowed.",
+    "question_too_short": "Question too short. Please provide more details (minimum 3 characters).",
+    "internal_error": "Error processing query. Please try again later.",
+}
+
 # The translation prompts, before and after the input.
 TRANSLATE_JA_EN = (
     "# Role\nJapanese to English translator\n\n# Task\nTranslate {Input Text} into English.\n\n# Input Text\n"

@@ -2,9 +2,13 @@
 
 from collections.abc import Iterator
 import re
+import threading
 import unicodedata
+import uuid
 
 import pandas as pd
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, NumberFormatException, ParseException)
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathomdoc.config import DEFAULTS
@@ -98,11 +102,10 @@ def cap_rows(df: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return df.limit(n), summary
 
 
-def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
-    """One read-only statement; ``args`` fill named parameters such as ``:low``. A refused one raises ValueError.
+def normalised(spark: SparkSession, sql: str) -> str:
+    """The one read-only statement that a text holds, without comments and a last semicolon. Others raise ValueError.
 
-    Spark functions that call into the JVM are refused too, and so are files by their path: a SELECT could do more with
-    them than read the known tables.
+    Spark functions that call into the JVM are refused too: a SELECT could do more with them than read tables.
     """
     known = unicodedata.normalize("NFKC", sql)
     row = spark.sql("SELECT :sql AS sql, :known AS _n, :bare AS _c",
@@ -112,28 +115,87 @@ def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> Da
         raise ValueError(verdict["reason"])
     if JVM_CALL.search(verdict["normalised"]):
         raise ValueError(fixed.NOT_READ_ONLY)
+    return verdict["normalised"]
+
+
+def read_only_sql(spark: SparkSession, sql: str, args: dict | None = None) -> DataFrame:
+    """The rows of one read-only statement (see ``normalised``); ``args`` fill named parameters such as ``:low``. Files by
+    their path are refused."""
+    statement = normalised(spark, sql)
     # A path as a table name would read any file the job can.
     files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     spark.conf.set("spark.sql.runSQLOnFiles", "false")
     try:
-        return spark.sql(verdict["normalised"], args=args or {})
+        return spark.sql(statement, args=args or {})
     finally:
         spark.conf.set("spark.sql.runSQLOnFiles", files)
 
 
-def guarded_sql(spark: SparkSession, sql: str, args: dict | None = None,
-                max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def within(spark: SparkSession, timeout_ms: int | None, run):
+    """What ``run`` returns; its Spark jobs are interrupted, and TimeoutError raised, once it took longer."""
+    if timeout_ms is None:
+        return run()
+    context, tag, late = spark.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
+
+    def interrupt() -> None:
+        # Again until the statement gives up, as it may be between two jobs.
+        late.set()
+        while not done.wait(0.2):
+            context.cancelJobsWithTag(tag)
+
+    done = threading.Event()
+    timer = threading.Timer(timeout_ms / 1000, interrupt)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return run()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"statement took more than {timeout_ms} ms") from error
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
+def guarded_sql(spark: SparkSession, sql: str, args: dict | None = None, max_rows: int | None = None,
+                timeout_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Capped rows of one read-only statement, and one row with sql, columns, row_count, truncated and max_rows.
 
     The statement runs once: at most one row more than the cap is fetched, and both results come from these rows.
+    ``sql`` is the statement that ran, without comments. After ``timeout_ms`` it is interrupted (TimeoutError).
     """
     found, n = read_only_sql(spark, sql, args), row_limit(max_rows)
-    fetched = found.limit(n + 1).toArrow()
-    summary = [(sql, found.columns, min(fetched.num_rows, n), fetched.num_rows > n, n)]
+    fetched = within(spark, timeout_ms, found.limit(n + 1).toArrow)
+    summary = [(normalised(spark, sql), found.columns, min(fetched.num_rows, n), fetched.num_rows > n, n)]
     return (spark.createDataFrame(fetched.slice(0, n), found.schema),
             spark.createDataFrame(summary, "sql string, columns array<string>, row_count bigint, truncated boolean, max_rows bigint"))
 
 
+def error_of(error: Exception) -> str:
+    """What a caller is told of a failed statement: the guard's reason, or the label of the kind of error, never the
+    error's own text."""
+    if isinstance(error, ValueError):
+        return str(error)
+    kinds = {"QueryCanceled": TimeoutError, "ProgrammingError": (ParseException, AnalysisException), "DataError": (
+        ArithmeticException, NumberFormatException, DateTimeException, ArrayIndexOutOfBoundsException)}
+    known = [name for name, classes in kinds.items() if isinstance(error, classes)]
+    return fixed.ERROR_LABELS[known[0]] if known else fixed.DEFAULT_ERROR_LABEL
+
+
+def query_database(spark: SparkSession, sql: str, args: dict | None = None, max_rows: int | None = None,
+                   timeout_ms: int | None = DEFAULTS.sql_timeout_ms) -> tuple[DataFrame | None, DataFrame]:
+    """``guarded_sql`` that does not raise: the summary has ``error`` besides, null or what a caller is told; without
+    rows if there is one. The session goes on after a statement that failed or took too long."""
+    try:
+        rows, summary = guarded_sql(spark, sql, args, max_rows, timeout_ms)
+        return rows, summary.withColumn("error", F.lit(None).cast("string"))
+    except Exception as error:  # any statement
+        fields = "sql string, columns array<string>, row_count bigint, truncated boolean, max_rows bigint, error string"
+        return None, spark.createDataFrame([(sql, [], 0, False, row_limit(max_rows), error_of(error))], fields)
+
+
 def _as_text(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):

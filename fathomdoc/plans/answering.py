@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fathomdoc.config import DEFAULTS
 from fathomdoc.functions.scoring import lexical_score
 from fathomdoc.operators.answer import (
-    GenerateFn, build_prompts, classify_questions, context_of, extractive_answers, generate, sources_of)
+    GenerateFn, build_prompts, classify_questions, context_of, extractive_answers, generate, limit_questions, refusal, sources_of)
 from fathomdoc.operators.cells import CellIndex, build_cell_index, search_cells
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.rerank import best_scored
@@ -50,12 +50,21 @@ def retrieve(questions: DataFrame, passages: DataFrame | CellIndex, embedder: Em
 
 def answer_questions(questions: DataFrame, passages: DataFrame, embedder: EmbedFn = hashing_embedder,
                      generator: GenerateFn = extractive_answers) -> DataFrame:
-    """query_id, question, answer, sources, error: one row per question; only valid questions are searched."""
-    checked = classify_questions(questions)
+    """query_id, question, answer, sources, error: one row per question; only valid questions are searched.
+
+    Questions with a time (``asked_at``) first pass the limit of the whole service. A refused question has a fixed
+    answer, no sources and its status as error; a failing generator gives internal_error; without hits the answer
+    says so. Sources are never null, and have the passages' ``metadata`` if there is such a column.
+    """
+    checked = classify_questions(limit_questions(questions) if "asked_at" in questions.columns else questions)
     valid = checked.filter("status = 'ok'").select("query_id", F.col("clean_question").alias("question"))
     hits = retrieve(valid, passages, embedder)
-    found = hits.groupBy("query_id").agg(context_of().alias("context"), sources_of().alias("sources"))
-    answered = generate(build_prompts(valid, found), generator)
-    refused = checked.filter("status <> 'ok'").select("query_id", "question", F.col("status").alias("error"))
-    return answered.select("query_id", "question", "answer", "sources", F.lit(None).cast("string").alias("error")) \
-        .unionByName(refused, allowMissingColumns=True)
+    found = hits.groupBy("query_id").agg(
+        context_of().alias("context"), sources_of(metadata="metadata" in hits.columns).alias("sources"))
+    none = F.array().cast(found.schema["sources"].dataType)
+    answered = generate(build_prompts(valid, found), generator).withColumn(
+        "sources", F.when(F.col("error").isNull(), F.coalesce("sources", none)).otherwise(none))
+    wait = F.col("retry_after") if "retry_after" in checked.columns else None
+    refused = checked.filter("status <> 'ok'").select(
+        "query_id", "question", refusal(F.col("status"), wait).alias("answer"), none.alias("sources"), F.col("status").alias("error"))
+    return answered.select(*refused.columns).unionByName(refused)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fathomdoc.functions import payload as P, text as X
 from fathomdoc.operators import limits as L
 from fathomdoc.operators.chunking import fixed_windows, recursive_chunks
-from fathomdoc.operators.embedding import HASH_DIMENSIONS
+from fathomdoc.operators.embedding import HASH_DIMENSIONS, hashing_embedder
 from fathomdoc.operators.skew import union_all
 from fathomdoc.plans import sql_parts as S
 from fathomdoc.plans.registry import query, table
@@ -381,6 +381,39 @@ def keywords(spark, folder):
         "item_id", long(F.size(found)).alias("keywords"), long(F.size(F.array_distinct(found))).alias("different"))
 
 
+def mixed_files(spark, folder):
+    """The documents as files of several kinds: text, JSON objects, lists whose second item is no text, blank files,
+    lists of numbers and files that are no JSON."""
+    target = work_folder(spark, "mixed")
+    text = F.to_json(F.struct(F.col("text").alias("content")))
+    kind = F.col("doc_id") % 6
+    body = (F.when(kind == 0, F.col("text")).when(kind == 1, text).when(kind == 2, F.concat(F.lit("["), text, F.lit(', {"content": 5}, "behind"]')))
+            .when(kind == 3, " ").when(kind == 4, '{"chunks": [1, 2]}').otherwise(F.concat(F.lit("{"), "text")))
+    rows = documents(spark, folder).select("doc_id", body.alias("value"), kind.isin(0, 3).alias("plain"))
+    # One file for each document: a folder for each, named by its id.
+    for plain, ending in ((True, "txt"), (False, "json")):
+        some = rows.filter("plain" if plain else "NOT plain").select("doc_id", "value")
+        some.repartition(8, "doc_id").write.partitionBy("doc_id").option("lineSep", " ").format("text").save(f"{target}/{ending}")
+    return target
+
+
+@query("j4_ingest_of_mixed_files", """SELECT outcome, count(*) AS files, sum(doc_id)::BIGINT AS ids FROM (
+  SELECT doc_id, unnest(CASE doc_id % 6 WHEN 0 THEN ['passages'] WHEN 1 THEN ['passages'] WHEN 2 THEN ['passages', 'content of an item is no text']
+    WHEN 3 THEN ['no text'] WHEN 4 THEN ['no text'] ELSE ['invalid JSON'] END) AS outcome FROM documents) GROUP BY outcome""")
+def ingest_of_mixed_files(spark, folder):
+    """How each file ends: as passages, or as a reject, or both."""
+    mixed = mixed_files(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{mixed}/txt", f"{mixed}/json"])
+    # Spark names all text files .txt; the folder says what they are.
+    path = F.col("path")
+    files = files.withColumn("path", F.when(F.contains(path, F.lit("/json/doc_id")), F.regexp_replace(path, r"\.txt$", ".json")).otherwise(path))
+    passages, rejects = jobs.passages_of(files, hashing_embedder, 0)
+    ended = passages.select(F.col("source").alias("path"), F.lit("passages").alias("outcome")).distinct().unionByName(
+        rejects.withColumnRenamed("reason", "outcome"))
+    doc_id = F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint")
+    return ended.groupBy("outcome").agg(F.count("*").alias("files"), F.sum(doc_id).alias("ids"))
+
+
 @query("j4_ingest_stream", """SELECT source, true AS within_size, true AS embedded, true AS different_ids
 FROM documents GROUP BY source""")
 def ingest_stream(spark, folder):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomdoc.functions import fixed
 from fathomdoc.operators import sqltool as Q
+from fathomdoc.plans import sql_parts as S
 from fathomdoc.plans.registry import query, table
 from fathomdoc.session import spread
 
@@ -128,10 +129,11 @@ def capped_rows(spark, folder):
 
 
 @query("e7_g7_cap_summary", f"""SELECT least(count(*), 200) AS row_count, count(*) > 200 AS truncated,
-  CAST(200 AS BIGINT) AS max_rows FROM ({CAPPED.format(low=1000)})""")
+  CAST(200 AS BIGINT) AS max_rows, {S.quoted(CAPPED.format(low=":low"))} AS sql, ['o_custkey', 'n'] AS columns
+FROM ({CAPPED.format(low=1000)})""")
 def cap_summary(spark, folder):
     views(spark, folder, CAPPED)
-    return Q.guarded_sql(spark, CAPPED.format(low=":low"), {"low": 1000}, max_rows=500)[1].drop("sql", "columns")
+    return Q.guarded_sql(spark, CAPPED.format(low=":low") + "; -- all", {"low": 1000}, max_rows=500)[1]
 
 
 @query("b4_json_safe_rows", """SELECT '{"o_orderkey":' || o_orderkey || ',"price":"' || CAST(o_totalprice AS DECIMAL(12,2)) ||

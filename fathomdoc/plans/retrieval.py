@@ -4,7 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from fathomdoc.functions import scoring, text as X
+from fathomdoc.functions import fixed, scoring, text as X
 from fathomdoc.operators import answer as A, rerank as R
 from fathomdoc.operators.cells import build_cell_index, search_cells
 from fathomdoc.operators.chunking import fixed_windows
@@ -12,6 +12,7 @@ from fathomdoc.operators.embedding import embed
 from fathomdoc.operators.search import knn_join, similarity_search
 from fathomdoc.operators.skew import union_all
 from fathomdoc.plans import sql_parts as S
+from fathomdoc.plans.activity import admission_sql
 from fathomdoc.plans.answering import answer_questions, candidates, index_passages, retrieve
 from fathomdoc.plans.registry import query, table
 from fathomdoc.session import spread
@@ -173,6 +174,29 @@ def answers_with_sources(spark, folder):
         "s.rerank_score", "s.content")
 
 
+# Two questions for each benchmark item, two seconds apart, of which every third is too short.
+ASKED = """(SELECT 2 * item_id + k AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (2 * (2 * item_id + k)) SECOND AS ts,
+  CASE WHEN (2 * item_id + k) % 3 = 0 THEN ' ? ' ELSE text END AS text FROM benchmark, (SELECT unnest([0, 1]) AS k))"""
+LIMITED = admission_sql("'all'", 10, 60, True).replace("FROM events", f"FROM {ASKED}")
+
+
+@query("c7_k3_e11_refused_questions", f"""WITH decided AS ({LIMITED})
+SELECT event_id AS query_id, CASE WHEN NOT admitted THEN 'rate_limited' WHEN event_id % 3 = 0 THEN 'question_too_short' END AS error,
+  CASE WHEN NOT admitted THEN 'Rate limit exceeded. Please try again in ' || retry_after || ' seconds.'
+    WHEN event_id % 3 = 0 THEN {S.quoted(fixed.REFUSALS['question_too_short'])} END AS refusal,
+  CASE WHEN admitted AND event_id % 3 <> 0 THEN 5 ELSE 0 END AS n_sources FROM decided""")
+def refused_questions(spark, folder):
+    """Questions behind the limit of the whole service, and what those that are refused are told."""
+    asked = table(spark, folder, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    number = 2 * F.col("item_id") + F.col("k")
+    asked = asked.select(
+        number.alias("query_id"), F.when(number % 3 == 0, " ? ").otherwise(F.col("text")).alias("question"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + 2 * number).cast("timestamp_ntz").alias("asked_at"))
+    answered = answer_questions(asked, windows(spark, folder))
+    return answered.select("query_id", "error", F.when(F.col("error").isNotNull(), F.col("answer")).alias("refusal"),
+                           F.size("sources").cast("bigint").alias("n_sources"))
+
+
 @query("i10_i11_g5_display_results", f"""WITH {S.CANDIDATES}, shown AS (
   SELECT *, greatest(0.0, least(100.0, (1 - distance / 2) * 100)) - 60 AS similarity FROM candidates),
 rated AS (SELECT *, CASE WHEN similarity > 0 THEN round(similarity, 1)

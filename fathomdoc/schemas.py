@@ -28,6 +28,17 @@ EXTRACTED = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+READ = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("ending", T.StringType()),
+    T.StructField("length", T.LongType()),
+    T.StructField("body", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("page", T.IntegerType()),
+    T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("reason", T.StringType()),
+])
+
 HISTORY = T.ArrayType(T.StructType([
     T.StructField("turn", T.LongType()),
     T.StructField("role", T.StringType()),

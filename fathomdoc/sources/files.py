@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathomdoc.functions import fixed, text as X
-from fathomdoc.schemas import EXTRACTED
+from fathomdoc.schemas import EXTRACTED, READ
 
 # bytes of one file -> list of (text, page or None, extra metadata)
 Extractor = Callable[[bytes], list[tuple[str, int | None, dict[str, str]]]]
@@ -72,6 +72,39 @@ def docx_text(content: bytes) -> list[tuple[str, int | None, dict[str, str]]]:
     return [("\n\n".join(paragraphs), None, {})]
 
 
+def read_files(files: DataFrame, extractors: dict[str, Extractor], max_json_bytes: int) -> DataFrame:
+    """What is in files (path, length, content), in one pass: a row with ``body`` for each text and JSON file, a row
+    with text, page and extra for each document that an extractor finds, and a row with ``reason`` for each file that
+    cannot be read. Every file gives a row at least."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, ending, length, content in batch.itertuples(index=False):
+                body = reason = None
+                rows: list[tuple] = []
+                if ending in extractors:
+                    try:
+                        rows = [(path, ending, length, None, text, page, {k: str(v) for k, v in extra.items()}, None)
+                                for text, page, extra in extractors[ending](bytes(content))]
+                        reason = None if rows else "no text"
+                    except Exception as error:  # any reader, any file
+                        reason = f"{type(error).__name__}: {error}"
+                elif ending not in (".txt", ".json"):
+                    reason = "no extractor"
+                elif ending == ".json" and length > max_json_bytes:
+                    reason = "too large"
+                else:
+                    try:
+                        body = bytes(content).decode()
+                    except UnicodeDecodeError:
+                        reason = "not UTF-8"
+                out = pd.DataFrame(rows or [(path, ending, length, body, None, None, None, reason)], columns=READ.names)
+                out["page"] = out["page"].astype("Int32")
+                yield out
+
+    return files.select("path", X.suffix(F.col("path")).alias("ending"), "length", "content").mapInPandas(run, READ)
+
+
 def extract_documents(files: DataFrame, extractors: dict[str, Extractor]) -> tuple[DataFrame, DataFrame]:
     """Documents and failures of files (path, content), by ending: ``{".docx": docx_text, ".pdf": ...}``.
 

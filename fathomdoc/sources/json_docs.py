@@ -54,12 +54,19 @@ def _entry(text: Column, chunk_index=None, item_index=None, structure=None, extr
 
 
 def json_documents(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -> tuple[DataFrame, DataFrame]:
-    """Documents (see schemas.DOCUMENTS) and rejects (path, reason) of JSON files (path, length, body).
+    """``documents_by_path`` without the path."""
+    documents, rejects = documents_by_path(files, max_bytes)
+    return documents.drop("path"), rejects
+
+
+def documents_by_path(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -> tuple[DataFrame, DataFrame]:
+    """Documents with their file's path (see schemas.DOCUMENTS) and rejects (path, reason) of JSON files (path, length, body).
 
     - object with ``content``: one document; its ``metadata`` fields, then its other scalar fields, are metadata
     - object with a ``chunks`` list: one document per string in it
     - any other object, or a scalar: the indented JSON
-    - array: one document per item, with its position; an item whose ``content`` is no string ends the file
+    - array: one document per item, with its position; an item whose ``content`` is no string ends the file, which
+      then is among the rejects too
 
     Metadata may replace source, file_type and file_name. Numbers keep their JSON form. With duplicate keys the
     last one wins if spark.sql.variant.allowDuplicateKeys is set, else the file is rejected.
@@ -115,6 +122,7 @@ def json_documents(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -
     ready = once(ready, _each=F.transform("_items", from_item))
     first_bad = F.array_position(F.transform("_each", lambda e: e["text"].isNull()), True)
     from_items = F.when(first_bad > 0, F.slice("_each", F.lit(1), first_bad.cast("int") - 1)).otherwise(c("_each"))
+    cut = ready.filter(first_bad > 0).select("path", F.lit("content of an item is no text").alias("reason"))
     entries = (
         F.when(listed, from_items).when(c("_content"), from_content).when(is_chunks, from_chunks).otherwise(from_whole)
     )
@@ -122,10 +130,10 @@ def json_documents(files: DataFrame, max_bytes: int = DEFAULTS.max_json_bytes) -
     base = {"source": c("path"), "file_type": F.lit("json"), "file_name": X.base_name(c("path"))}
     rows = ready.select("path", F.explode(entries.cast(ENTRY)).alias("e")).select("path", "e.*")
     documents = rows.select(
-        "text", *[F.coalesce(F.element_at("extra", k), base[k]).alias(k) for k in BASE_KEYS],
+        "path", "text", *[F.coalesce(F.element_at("extra", k), base[k]).alias(k) for k in BASE_KEYS],
         F.lit(None).cast("int").alias("page"), "chunk_index", "item_index", "json_structure",
         F.map_filter("extra", lambda k, v: ~k.isin(*BASE_KEYS)).alias("extra"))
-    return documents.select(*DOCUMENTS.names), rejects
+    return documents.select("path", *DOCUMENTS.names), rejects.unionByName(cut)
 
 
 def read_json_documents(spark, path: str, max_bytes: int = DEFAULTS.max_json_bytes) -> tuple[DataFrame, DataFrame]:

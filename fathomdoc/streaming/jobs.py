@@ -18,9 +18,10 @@ from fathomdoc.operators.admission import Rule, decide
 from fathomdoc.operators.chunking import recursive_chunks
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.skew import union_all
+from fathomdoc.session import cut_lineage
 from fathomdoc.sources.collection import append_collection, assign_ids
-from fathomdoc.sources.files import Extractor, decoded_files, docx_text, extract_documents, plain_path, text_documents
-from fathomdoc.sources.json_docs import json_documents
+from fathomdoc.sources.files import Extractor, docx_text, plain_path, read_files
+from fathomdoc.sources.json_docs import documents_by_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EXTRACTORS = {".docx": docx_text}
@@ -29,24 +30,26 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def passages_of(files: DataFrame, fn: EmbedFn, batch_ms: int,
                 extractors: dict[str, Extractor] = EXTRACTORS) -> tuple[DataFrame, DataFrame]:
-    """Binary files to passages with ids and embeddings, and the files that gave none: (path, reason)."""
-    ending, small = X.suffix(F.col("path")), F.col("length") <= DEFAULTS.max_json_bytes
-    decoded = decoded_files(files.filter(ending == ".txt"))
-    texts = text_documents(decoded)
-    jsons, bad_json = json_documents(decoded_files(files.filter((ending == ".json") & small)))
-    extracted, failed = extract_documents(files, extractors)
-
-    def refused(rows: DataFrame, reason: str) -> DataFrame:
-        return rows.select("path", F.lit(reason).alias("reason"))
-
-    rejects = union_all([
-        refused(decoded.filter("body IS NULL"), "not UTF-8"), refused(files.filter((ending == ".json") & ~small), "too large"), bad_json,
-        failed, refused(files.filter(~ending.isin(".txt", ".json", *extractors)), "no extractor")])
+    """Binary files to passages with ids and embeddings, and the files that gave none or not all: (path, reason).
+
+    Files are read and extracted once, into a checkpoint that passages and rejects are both made of, so a file cannot
+    end as both or as neither if an extractor answers differently when asked again.
+    """
+    read = cut_lineage(read_files(files, extractors, DEFAULTS.max_json_bytes))
+    path = F.col("path")
+    known = {"source": path, "file_type": F.ltrim(F.col("ending"), F.lit(".")), "file_name": X.base_name(path)}
+    texts = read.filter("ending = '.txt' AND body IS NOT NULL").select("path", F.col("body").alias("text"), *[c.alias(n) for n, c in known.items()])
+    extracted = read.filter("text IS NOT NULL").select("path", "text", *[c.alias(n) for n, c in known.items()], "page", "extra")
+    jsons, bad_json = documents_by_path(read.filter("ending = '.json' AND body IS NOT NULL").select("path", "length", "body"))
     documents = union_all([jsons, texts, extracted])
+    rejects = read.filter("reason IS NOT NULL").select("path", "reason").unionByName(bad_json)
+    # A file without any text, such as an empty one or a list of numbers, gives no passage.
+    told = documents.filter(~X.is_blank(F.col("text"))).select("path").union(rejects.select("path"))
+    silent = read.select("path").distinct().join(told, "path", "left_anti").withColumn("reason", F.lit("no text"))
     # Position of a passage: file, place in the file, number in the document.
     place = F.coalesce("chunk_index", "item_index", "page", F.lit(0)).cast("string")
-    chunks = recursive_chunks(documents, "text").withColumn("doc_key", F.concat_ws("_", F.sha2("source", 256), place))
-    return embed(assign_ids(chunks.drop("text"), batch_ms, ["doc_key", "chunk_no"]), "chunk_text", fn), rejects
+    chunks = recursive_chunks(documents.drop("path"), "text").withColumn("doc_key", F.concat_ws("_", F.sha2("source", 256), place))
+    return embed(assign_ids(chunks.drop("text"), batch_ms, ["doc_key", "chunk_no"]), "chunk_text", fn), rejects.unionByName(silent)
 
 
 def read_rejects(spark: SparkSession, collection: str) -> DataFrame:
@@ -58,7 +61,8 @@ def ingest_stream(spark: SparkSession, folder: str, collection: str, checkpoint:
                   fn: EmbedFn = hashing_embedder, files_per_batch: int = 1000) -> StreamingQuery:
     """Adds new files below ``folder`` to the collection and stops when there are no more.
 
-    Every file ends as passages of the collection or as a row of ``read_rejects``. A batch that is run again replaces its
+    Every file ends as passages of the collection or as a row of ``read_rejects``, or as both if only a part of it could
+    be used. A batch that is run again replaces its
     own load of both.
     """
     found = (

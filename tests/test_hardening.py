@@ -108,8 +108,9 @@ def test_unknown_tasks_and_failing_functions(spark):
             raise RuntimeError("no answer")
         return [p.upper() for p in prompts]
 
-    found = {r.prompt: r.answer for r in A.generate(prompts, model).collect()}
-    assert found["Fix: good!"] == "FIX: GOOD!" and found["Fix: bad!"].startswith("Error: RuntimeError") and found[None]
+    found = {r.prompt: (r.answer, r.error, r.failure) for r in A.generate(prompts, model).collect()}
+    assert found["Fix: good!"] == ("FIX: GOOD!", None, None) and found[None][0] and found[None][1] is None
+    assert found["Fix: bad!"] == ("Error processing query. Please try again later.", "internal_error", "RuntimeError: no answer")
 
     def scorer(queries, contents):
         if "bad" in queries:
