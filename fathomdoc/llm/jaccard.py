@@ -34,7 +34,7 @@ BLOCK = 1024
 LISTED, _NONE = 8, np.iinfo(np.int64).max
 #: A set of ids is sent to all executors only if it was counted and is not larger.
 SENT_IDS = 500_000
-SETS = ("doc_id long, n long, f1 long, f2 long, anchors array<long>, cells binary")
+SETS = ("doc_id long, n long, f1 long, f2 long, anchors array<long>, cells binary, text_id long")
 
 
 def _order_counts(width: int):
@@ -136,8 +136,8 @@ def _sets(order, percent: int):
                 cells = np.bincount(rows * CELLS + (keys % np.uint64(CELLS)).astype(np.int64), minlength=n_rows * CELLS)
                 cells = np.minimum(cells, 255).astype(np.uint8).reshape(n_rows, CELLS)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(f1), pa.array(f2), anchors, pa.array([c.tobytes() for c in cells])],
-                    ["doc_id", "n", "f1", "f2", "anchors", "cells"])
+                    [part.column(0), pa.array(n), pa.array(f1), pa.array(f2), anchors, pa.array([c.tobytes() for c in cells]), part.column(2)],
+                    ["doc_id", "n", "f1", "f2", "anchors", "cells", "text_id"])
 
     return describe
 
@@ -268,7 +268,7 @@ class _Join:
         self.docs = columns_of(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         self.spark = documents.sparkSession
         self.order = Sent(self.spark, fit_order(self.docs, width))
-        self.sets = written(self.docs.mapInArrow(_sets(self.order, percent), SETS), "sets")
+        self.sets = written(self.docs.withColumn("text_id", F.xxhash64("text")).mapInArrow(_sets(self.order, percent), SETS), "sets")
         # Equal sets are one node; grouping keeps one row for each set and task before the shuffle.
         self.nodes = written(self.sets.filter("n > 0").groupBy("f1", "f2", "n").agg(
             F.min("doc_id").alias("doc_id"), F.first("anchors").alias("anchors"), F.first("cells").alias("cells"))
@@ -362,29 +362,35 @@ def similar_documents(documents: DataFrame, width: int = 4, percent: int = 85) -
     of their own; rows with a null id join the component of an equal set that has an id, and else have none.
     ``percent`` lies above 50. Sets are told apart by 64-bit hashes; equal hashes of different sets are not expected.
     """
+    return _similar(documents, width, percent).drop("text_id")
+
+
+def _similar(documents: DataFrame, width: int, percent: int) -> DataFrame:
     join = _Join(documents, width, percent)
     labels = join.run()
     named = join.nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "label").select(F.col("node").alias("f1"), "component_id")
-    own = join.sets.select("doc_id", "n", "f1")
+    own = join.sets.select("doc_id", "n", "f1", "text_id")
     with_words = own.filter("n > 0").join(of_node, "f1", "left")
     without = own.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    return with_words.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(
-        without.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    return with_words.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_id").union(
+        without.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_id"))
 
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``documents``, with all their columns, with one document of each group of linked ones: the smallest doc_id.
 
-    Rows that repeat both id and text are one document. A row without an id goes if its set is that of a document with
-    one, and else stays. Documents without words stay.
+    Rows that repeat both id and text are one document; of different texts under one id each goes or stays by itself. A
+    row without an id goes if its text is that of a document with one, and else stays. Documents without words stay.
     """
-    labels = written(similar_documents(documents, width, percent), "components")
-    removed = labels.filter("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("removed_id")).distinct()
+    labels = written(_similar(documents, width, percent), "components")
+    removed = labels.filter("component_id IS NOT NULL AND doc_id <> component_id").select(
+        F.col("doc_id").alias("removed_id"), F.col("text_id").alias("removed_text")).distinct()
     removed = F.broadcast(removed) if removed.count() <= SENT_IDS else removed
     rows = documents.select(F.struct(*documents.columns).alias("row"))
-    kept = rows.join(removed, F.col("row.doc_id") == F.col("removed_id"), "left_anti")
+    kept = rows.join(removed, (F.col("row.doc_id") == F.col("removed_id"))
+                     & (F.xxhash64(F.col("row.text").cast("string")) == F.col("removed_text")), "left_anti")
     if not labels.filter("doc_id IS NULL AND component_id IS NOT NULL").isEmpty():
         # Of the rows without an id, those equal to a document with one: few, and found by their text.
         named = kept.filter("row.doc_id IS NOT NULL").select(F.xxhash64("row.text").alias("named_text")).distinct()

@@ -64,9 +64,8 @@ def op8(spark, folder):
 
 
 QUALITY_SQL = r"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, row_number() OVER () AS rid FROM documents),
-    big AS (SELECT lang FROM d GROUP BY lang HAVING count(*) >= 0.005 * (SELECT count(*) FROM d)),
-    r AS (SELECT rid, doc_id, t, CASE WHEN lang IN (SELECT lang FROM big) THEN lang ELSE '' END AS ref,
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, nullif(lang, '') AS ref, row_number() OVER () AS rid FROM documents),
+    r AS (SELECT rid, doc_id, t, ref,
       list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
       list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS low,
       list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -80,8 +79,8 @@ QUALITY_SQL = r"""
       WINDOW s AS (PARTITION BY rid ORDER BY i)),
     again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, three) AS n FROM g WHERE three IS NOT NULL) WHERE n > 1),
     covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
-    lw AS (SELECT rid, ref, unnest(low) AS word FROM r),
-    tot AS (SELECT ref, count(*) AS total FROM lw GROUP BY ref),
+    lw AS (SELECT rid, ref, unnest(low) AS word FROM r WHERE ref IS NOT NULL),
+    tot AS (SELECT ref, count(*) AS total FROM lw GROUP BY ref HAVING count(*) >= 1000),
     q AS (SELECT ref, word, count(*) / any_value(total) AS q FROM lw JOIN tot USING (ref) GROUP BY ref, word
       HAVING count(*) >= 0.005 * any_value(total)),
     rest AS (SELECT ref, 1 - coalesce(sum(q), 0) AS q FROM tot LEFT JOIN q USING (ref) GROUP BY ref),
@@ -93,12 +92,12 @@ QUALITY_SQL = r"""
       FROM pq GROUP BY rid),
     c AS (SELECT rid, ref, unnest([greatest(ascii - least(upper, ascii), 0), least(upper, ascii), letters - ascii, digit,
       chars - coalesce(wc, 0), n_symbols, chars - letters - digit - (chars - coalesce(wc, 0)) - n_symbols]) AS n, unnest(range(7)) AS k, chars FROM f),
-    e AS (SELECT ref, k, sum(n) / sum(chars) AS q FROM c GROUP BY ref, k),
+    e AS (SELECT ref, k, sum(n) / sum(chars) AS q FROM c WHERE ref IS NOT NULL GROUP BY ref, k HAVING sum(chars) >= 4000),
     cd AS (SELECT rid, sum(CASE WHEN n > 0 THEN n / chars * log2(2 * n / chars / (n / chars + q)) ELSE 0 END
       + CASE WHEN q > 0 THEN q * log2(2 * q / (n / chars + q)) ELSE 0 END) AS twice FROM c JOIN e USING (ref, k) WHERE chars > 0 GROUP BY rid),
     z AS (SELECT doc_id, n_words, coalesce(wc, 0) AS word_chars, n_symbols, n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
-      CASE WHEN chars >= 400 THEN round(sqrt(greatest(0, cd.twice / 2)), 6) END AS char_distance,
-      CASE WHEN n_words >= 100 THEN round(sqrt(greatest(0, wd.twice / 2)), 6) END AS word_distance
+      CASE WHEN chars >= 400 AND cd.twice IS NOT NULL THEN round(sqrt(greatest(0, cd.twice / 2)), 6) END AS char_distance,
+      CASE WHEN n_words >= 100 AND wd.twice IS NOT NULL THEN round(sqrt(greatest(0, wd.twice / 2)), 6) END AS word_distance
       FROM f LEFT JOIN covered USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
     SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(char_distance <= 0.28, true)

@@ -100,3 +100,15 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 130)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3), (9, 8), (8, 9)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 100 for i in range(100, 131)} | {i: 500 for i in range(500, 560)} | {8: 8, 9: 8}
+
+
+def test_one_of_each_of_repeated_ids_null_ids_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text.replace("w59", "x"), "quite another text of seven words here"
+    rows = [(1, text, "a", 1), (2, near, "b", 2), (2, other, "c", 3), (3, other + " too", "d", 4), (3, other + " too", "e", 5),
+            (None, text, "f", 6), (None, "alone and without a number at all", "g", 7), (None, None, "h", 8), (4, "", "i", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed_id string, component_id int")
+    kept = jaccard.one_of_each(docs).collect()
+    assert docs.columns == jaccard.one_of_each(docs).columns
+    found = sorted(((r.doc_id, r.text) for r in kept), key=str)
+    assert found == sorted([(1, text), (2, other), (3, other + " too"), (None, "alone and without a number at all"), (None, None), (4, "")], key=str)

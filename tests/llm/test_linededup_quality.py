@@ -161,3 +161,27 @@ def test_distance_is_jensen_shannons(spark):
     frame = spark.createDataFrame([(p.tolist(), q.tolist())], "p array<double>, q array<double>")
     twice = F.aggregate(F.zip_with("p", "q", quality._divergence), F.lit(0.0), lambda a, b: a + b)
     assert frame.select(quality._distance(twice)).first()[0] == pytest.approx(expected, abs=1e-6)
+
+
+def test_quality_sql_with_rare_and_missing_languages(spark, tmp_path):
+    import duckdb
+
+    from fathomdoc.llm import queries
+
+    random = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "en", "oro", "ist")]
+    hindi = ["\u0915\u0932", "\u0918\u0930", "\u092e\u0928", "\u091c\u0932", "\u0926\u093f\u0928"]
+    text = lambda some, n: " ".join(random.choice(some, n))
+    rows = [(i, text(words, int(random.integers(20, 200))), "en") for i in range(600)]
+    rows += [(1000 + i, text(hindi, 400), "hi") for i in range(2)] + [(1010, text(hindi, 300), "xx"), (1011, text(hindi, 300), None),
+             (1012, text(words, 150), ""), (1013, None, "en"), (1014, text(hindi, 1200), "yy")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op1_divergence_quality"](spark, str(tmp_path))
+    names = found.columns
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = own.execute(f"SELECT {', '.join(names)} FROM ({queries.SQL['op1_divergence_quality']})").fetchall()
+    as_text = lambda r: tuple(round(x, 5) if isinstance(x, float) else x for x in r)
+    assert sorted(map(as_text, map(tuple, found.collect())), key=str) == sorted(map(as_text, expected), key=str)
+    by_id = {r.doc_id: r for r in found.collect()}
+    assert by_id[1010].char_distance is None and by_id[1011].word_distance is None and by_id[1014].word_distance is not None
