@@ -208,6 +208,19 @@ def rewrite_without_content(spark, folder):
         "doc_id", long(F.col("chunk_no")).alias("chunk_no"), F.lit(deleted).cast("bigint").alias("deleted_count"))
 
 
+@query("b3_d6_markers_and_compaction", f"""WITH {S.WINDOWS} SELECT source, count(*) AS passages FROM windows
+WHERE NOT contains(lower(content), lower('{NEEDLE}')) AND doc_id % 7 <> 0 GROUP BY source""")
+def markers_and_compaction(spark, folder):
+    """Two loads, passages deleted by content and by id, and one more delete after a compaction."""
+    target, found = work_folder(spark, "collection"), passages(spark, folder)
+    for number in (0, 1):
+        C.append_collection(found.filter(F.col("doc_id") % 2 == number), target, f"half-{number}")
+    C.delete_by_content(spark, target, NEEDLE)
+    C.compact_collection(spark, target)
+    C.delete_ids(spark, target, C.read_collection(spark, target).filter("doc_id % 7 = 0").select("id"))
+    return C.read_collection(spark, target).groupBy("source").agg(F.count("*").alias("passages"))
+
+
 @query("b3_e8_delete_by_content", f"SELECT count(*) AS deleted_count FROM documents WHERE contains(lower(text), lower('{NEEDLE}'))")
 def delete_by_content(spark, folder):
     return C.split_by_content(documents(spark, folder), NEEDLE, "text")[1]
