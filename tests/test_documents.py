@@ -75,6 +75,11 @@ def test_json_shapes(spark, tmp_path):
     assert len(found.pop("exact")) == 1
     assert found == {k: v for k, (_, v) in JSON_CASES.items() if v}
     reasons = {r.path.rsplit("/", 1)[1]: r.reason for r in rejects.collect()}
+    # A list that ends early at an item whose content is no text is told of, beside the items before it.
+    cut = {name for name, (body, _) in JSON_CASES.items() if body.startswith("[") and any(
+        isinstance(i, dict) and not isinstance(i.get("content", ""), str) for i in json.loads(body))}
+    assert {n.removesuffix(".json") for n, r in reasons.items() if r == "content of an item is no text"} == cut and cut
+    reasons = {n: r for n, r in reasons.items() if n.removesuffix(".json") not in cut}
     assert reasons == {"bad.JSON": "invalid JSON", "more.json": "invalid JSON", "big.json": "too large",
                        "latin.json": "invalid JSON"}
 

@@ -28,7 +28,11 @@ def rows(table):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("name", list(QUERIES))
+#: Approximate by measure, so SQL gives other rows; tests/test_cells.py holds them against the exact search.
+APPROXIMATE = {"d3_cell_index_neighbours"}
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in APPROXIMATE])
 def test_query_matches_sql(spark, database, name):
     found = QUERIES[name](spark, FOLDER).toArrow()
     expected = database.sql(SQL[name]).to_arrow_table()
@@ -37,7 +41,7 @@ def test_query_matches_sql(spark, database, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - APPROXIMATE == set(SQL)
 
 
 def test_entry_registers_them():

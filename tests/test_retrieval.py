@@ -113,7 +113,7 @@ def test_answers(spark):
     assert [(s.source, len(s.content)) for s in rows[1].sources] == [("Unknown", 22), ("f.txt", 203)]
     assert rows[2].error == "question_too_short" and rows[3].error == "validation_failed"
     nothing = answer_questions(questions, passages.filter("false")).filter("query_id = 1").head()
-    assert nothing.answer.startswith("No relevant documents") and nothing.sources is None
+    assert nothing.answer.startswith("No relevant documents") and nothing.sources == [] and rows[2].sources == []
 
 
 def test_prompts_without_context_are_not_sent(spark):
