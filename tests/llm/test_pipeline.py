@@ -54,6 +54,6 @@ def test_stages_of_an_empty_table(spark):
 
 def test_registration():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "packing"]
     assert np.all([callable(f) for _, f in pipeline.STAGES])
