@@ -11,7 +11,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute_lines(rows):
-    """All pairs of distinct lines, by the edit distance over words."""
+    """All pairs of distinct lines, by the edit distance over words, or characters if both have under five words."""
     def one_edit(x, y):
         if abs(len(x) - len(y)) > 1:
             return False
@@ -29,8 +29,14 @@ def brute_lines(rows):
     first = {}
     for place, words in lines:
         first[words] = min(place, first.get(words, place))
-    near = {w: min((p for v, p in first.items() if p < first[w] and len(v) >= 10 and one_edit(w, v)), default=None) if len(w) >= 10 else None
-            for w in first}
+
+    def close(v, w):
+        if (len(v) < 5) != (len(w) < 5):
+            return False
+        v, w = (" ".join(v), " ".join(w)) if len(v) < 5 else (v, w)
+        return min(len(v), len(w)) >= 5 and one_edit(v, w)
+
+    near = {w: min((p for v, p in first.items() if p < first[w] and close(w, v)), default=None) for w in first}
     out = []
     for place, words in lines:
         if place > first[words] or near[words]:
@@ -47,7 +53,8 @@ def found_lines(frame):
 
 def line_rows(seed):
     random = np.random.default_rng(seed)
-    base = [[f"v{x}" for x in random.integers(0, 9 if k % 3 == 0 else 60, n)] for k, n in enumerate([3, 9, 10, 11, 12, 14, 30, 60, 60])]
+    base = [[f"v{x}" for x in random.integers(0, 9 if k % 3 == 0 else 60, n)] for k, n in enumerate([1, 3, 4, 5, 6, 9, 10, 11, 12, 14, 30, 60])]
+    base.append(["".join(chr(0x4E00 + x) for x in random.integers(0, 40, 70))])
     rows = []
     for doc in range(40):
         lines = []
@@ -69,6 +76,20 @@ def line_rows(seed):
                    (103, "For " * 40), (104, "For " * 41), (105, "For " * 39), (106, "w " * 200_000 + "\n" + "w " * 200_001)]
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    nine = "the cat sat on a mat in the sun"
+    han = "".join(chr(0x4E00 + i * 7 % 300) for i in range(63))
+    emoji = "\U0001F600\U0001F601\U0001F602\U0001F603\U0001F604"
+    texts = [nine, nine.replace("mat", "rug"), nine + " today", nine + " today now", "a b c d", "a b c e", "one two three four five", "one two three four",
+             han, han[:20] + "x" + han[21:], han[:30] + han[31:], han + "yz", han + "y", emoji, emoji[:2] + "z" + emoji[3:], "abcd", "abce", "abcde",
+             "a b c d e", "\U0001F605" * 300_000, "\U0001F605" * 299_999 + "q"]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = found_lines(frame)
+    assert [r for r in found if r[0] < 19] == brute_lines(rows[:19]) and [r for r in found if r[0] >= 19] == [(20, 0, 19, 0, 1)]
+    assert {r[0] for r in found} == {1, 2, 3, 5, 9, 10, 12, 14, 20}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_lines_against_all_pairs(spark, seed):
     rows = line_rows(seed)
