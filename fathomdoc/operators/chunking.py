@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomdoc.config import DEFAULTS
 from fathomdoc.session import once
@@ -80,3 +80,22 @@ def recursive_chunks(df: DataFrame, text: str, size: int = DEFAULTS.chunk_size,
             yield batch.map(lambda t: split_text(t, size, overlap, separators) if t else [])
 
     return df.select("*", F.posexplode(split(text)).alias("chunk_no", "chunk_text"))
+
+
+class _Passages:
+    """Table function: the passages of one text."""
+
+    def eval(self, text: str, size: int = DEFAULTS.chunk_size, overlap: int = DEFAULTS.chunk_overlap):
+        if size is None or overlap is None or not 0 <= overlap < size:
+            raise ValueError("an overlap from 0 to less than the size is needed")
+        yield from enumerate(split_text(text, size, overlap) if text else [])
+
+
+def register_splitter(spark: SparkSession, name: str = "split_passages") -> str:
+    """Makes the splitter of ``recursive_chunks`` a table function for statements, and gives its name.
+
+    ``SELECT d.id, p.* FROM docs d, LATERAL split_passages(d.text, 1000, 200) p`` gives chunk_no and chunk_text of each
+    passage; size and overlap may be left out. Null and empty texts have no passages. Rows travel as Arrow batches.
+    """
+    spark.udtf.register(name, F.udtf(_Passages, returnType="chunk_no int, chunk_text string", useArrow=True))
+    return name

@@ -8,6 +8,7 @@ from fathomdoc.operators.answer import (
     GenerateFn, build_prompts, classify_questions, context_of, extractive_answers, generate, limit_questions, refusal, sources_of)
 from fathomdoc.operators.cells import CellIndex, build_cell_index, search_cells
 from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
+from fathomdoc.operators.late import late_join
 from fathomdoc.operators.rerank import best_scored
 from fathomdoc.operators.search import knn_join
 
@@ -23,7 +24,8 @@ def candidates(questions: DataFrame, passages: DataFrame | CellIndex, embedder:
     """The k nearest passages of every question with both texts; cand_idx is the 0-based rank.
 
     questions: query_id, question. passages: passage_id, content, source, and embedding if they have one; or an index
-    of them, which is searched approximately. ``where`` filters the passages, by any column, before the search.
+    of them, which is searched approximately. ``where`` filters the passages, by any column, before the search. The hits
+    are found on ids and vectors and written; texts are then fetched for them, and the other texts are not shuffled.
     """
     asked = embed(questions, "question", embedder)
     if isinstance(passages, CellIndex):
@@ -34,7 +36,7 @@ def candidates(questions: DataFrame, passages: DataFrame | CellIndex, embedder:
         hits = knn_join(asked, known, k, corpus_id="passage_id")
     kept = [c for c in ("passage_id", "content", "source", "metadata") if c in passages.columns]
     return (
-        passages.select(*kept).join(hits, "passage_id")
+        late_join(passages.select(*kept), hits, "passage_id")
         .join(questions.select("query_id", "question"), "query_id")
         .withColumn("cand_idx", F.col("rank") - 1)
     )

@@ -15,7 +15,7 @@ from fathomdoc.plans import sql_parts as S
 from fathomdoc.plans.activity import admission_sql
 from fathomdoc.plans.answering import answer_questions, candidates, index_passages, retrieve
 from fathomdoc.plans.registry import query, table
-from fathomdoc.session import spread
+from fathomdoc.session import spread, written
 
 LSH = (8, 4)
 
@@ -231,7 +231,7 @@ FROM joined WHERE CASE WHEN scored THEN rerank_position IS NOT NULL ELSE cand_id
 
 @query("d4_d5_f2_g3_i21_rerank_response", RERANKED)
 def rerank_response(spark, folder):
-    hits = knn_join(*vectors(spark, folder), 8)
+    hits = written(knn_join(*vectors(spark, folder), 8), "hits")
     score = F.round(1 / (1 + F.col("distance")), 6)
     item = F.to_json(F.struct(
         F.when(F.col("query_id") % 7 == 0, 100 + F.col("rank")).otherwise(10 - F.col("rank")).alias("index"),

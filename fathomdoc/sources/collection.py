@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from fathomdoc.functions import fixed, text as X
-from fathomdoc.operators.skew import salted_join
+from fathomdoc.operators.late import late_join
 
 FIRST, MARKER = "v000001", "_load string, id string"
 
@@ -40,15 +40,16 @@ def current_version(spark: SparkSession, folder: str) -> str | None:
 def assign_ids(chunks: DataFrame, batch_ms: int, key: list[str], text: str = "chunk_text") -> DataFrame:
     """Adds id = doc_<hash>_<ms>. The same text in a later batch is a new row.
 
-    Within the batch, copies of a text after the first (by ``key``, which is unique) get the key as a suffix. Only
-    hashes that occur twice are joined back, spread over tasks, so a text copied a million times is no hot spot.
+    Within the batch, copies of a text after the first (by ``key``, which is unique) get the key as a suffix. Copies are
+    counted on hashes and keys alone. The hashes that occur twice are sent to the texts, or, if there are too many, met
+    by a shuffle of the texts that may be copies, spread over tasks; a text without a copy is never shuffled.
     """
     hashed = chunks.withColumn("_hash", X.content_hash(F.col(text)))
     copied = (
         hashed.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(F.struct(*key)).alias("_first"))
         .filter("_n > 1").drop("_n")
     )
-    marked = salted_join(hashed, copied, ["_hash"], "left", F.struct(*key))
+    marked = late_join(hashed, copied, "_hash", "left", F.struct(*key))
     suffix = F.when(F.col("_first").isNotNull() & (F.col("_first") != F.struct(*key)),
                     F.concat(F.lit("_"), F.concat_ws("_", *[F.col(k).cast("string") for k in key])))
     plain = F.concat(F.lit("doc_"), F.col("_hash"), F.lit(f"_{batch_ms}"))
