@@ -1,11 +1,12 @@
 """Format-preserving pseudonyms: personal numbers, dates and addresses are permuted within their format by a key.
 
 A value is a list of places, each with its own number of possible symbols: ten for a digit, twenty-six for a letter,
-256 for a byte of an address, 270 for either half of a day number. A Feistel network works on it: in each round the
-places of one parity are moved by amounts that a keyed hash draws from the places of the other parity. Every round can
-be undone, so different values stay different, and equal values are equal in every document, whatever their separators
-or case. What is checked stays valid: check digits are computed anew, and dates, addresses and number ranges are
-numbered first. Values that fail their check are no personal data and stay as they are. Columns only: no Python runs
+256 for a byte of an address. A Feistel network works on it: in each round the places of one parity are moved by
+amounts that a keyed hash draws from the places of the other parity. Every round can be undone, so different values
+stay different, and equal values are equal in every document, whatever their separators or case. What is checked stays
+valid: check digits are computed anew, and dates, addresses and number ranges are numbered first. A date keeps the
+number of digits of day and month, stays within or without the years 1900 to 2099, and a day above 12 stays above, so
+that no form of it can be read as another date; days that a month lacks are moved on until there is one. Values that fail their check are no personal data and stay as they are. Columns only: no Python runs
 on the executors.
 """
 
@@ -16,7 +17,7 @@ from fathomdoc.session import once
 ROUNDS = 8
 #: The formats, as regular expressions; bounded runs keep the search linear in the text.
 FORMATS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,24}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})",
@@ -25,8 +26,8 @@ FORMATS = {
     "card": r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})",
 }
 _ANY = r"(?<![\w+@])(?<![0-9][.-])(?:" + "|".join(FORMATS.values()) + r")(?![\w@]|[.-][0-9])"
-#: Days are counted from here; their number stays below 270 * 270, the last day being 2099-08-04.
-FIRST_DAY, HALF_DAYS = "1900-01-01", 270
+#: A permuted date that no calendar has is permuted again, so often at most. One in thirty is none, so none is left.
+WALKS = 16
 
 
 def _draw(key: Column, kind: str, round_: Column, place: Column, others: Column) -> Column:
@@ -60,7 +61,7 @@ def _permute_text(text: Column, key: Column, kind: str, tweak: Column | None = N
     symbols = F.zip_with(moved, sizes, lambda v, s: F.when(s == 10, F.char(v + 48)).otherwise(F.char(v + 97)))
     return F.aggregate(_characters(text), F.struct(F.lit("").alias("out"), symbols.alias("left")), lambda a, c: F.when(
         c.rlike("[A-Za-z0-9]"), F.struct(F.concat(a["out"], F.when(c.rlike("[A-Z]"), F.upper(F.get(a["left"], F.lit(0)))).otherwise(
-            F.get(a["left"], F.lit(0)))).alias("out"), F.slice(a["left"], 2, 256).alias("left"))).otherwise(
+            F.get(a["left"], F.lit(0)))).alias("out"), F.slice(a["left"], F.lit(2), F.size(a["left"])).alias("left"))).otherwise(
                 F.struct(F.concat(a["out"], c).alias("out"), a["left"].alias("left"))), lambda a: a["out"])
 
 
@@ -112,25 +113,50 @@ def _ip(m: Column, key: Column) -> Column:
     return F.when(F.forall(parts, lambda p: p < 256), F.array_join(moved.cast("array<string>"), "."))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _is_date(year: Column, month: Column, day: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= days)
+
+
 def _date(m: Column, key: Column) -> Column:
     """Days first unless written with slashes, where the first number is the month if it can be one."""
-    numbers = F.transform(F.split(m, "[-/.]"), lambda p: p.cast("int"))
-    a, b, c = (F.get(numbers, F.lit(i)) for i in range(3))
-    kinds = [(m.contains("-"), a, b, c, "yyyy-MM-dd"), (m.contains("."), c, b, a, "dd.MM.yyyy"), (a <= 12, c, a, b, "MM/dd/yyyy"),
-             (F.lit(True), c, b, a, "dd/MM/yyyy")]
-
-    def moved(year: Column, month: Column, day: Column, form: str) -> Column:
-        written = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-        number = F.datediff(F.try_to_date(written, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
-        halves = F.array(number.cast("long") - F.lit(HALF_DAYS) * F.floor(number / HALF_DAYS), F.floor(number / HALF_DAYS))
-        state = _permute(halves, F.array(*[F.lit(HALF_DAYS).cast("long")] * 2), key, "date")
-        day_of = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(state, F.lit(0)) + F.lit(HALF_DAYS) * F.get(state, F.lit(1))).cast("int"))
-        return F.when(number.between(0, HALF_DAYS**2 - 1), F.date_format(day_of, form))
-
-    out = F.lit(None).cast("string")
-    for condition, *rest in reversed(kinds):
-        out = F.when(condition, moved(*rest)).otherwise(out)
-    return out
+    def moved(parts: Column, v: Column) -> Column:
+        year, month, day = v["year"], v["month"], v["day"]
+        near = year.between(1900, 2099)
+        least_month, least_day = F.when(month <= 9, 1).otherwise(10), F.when(day <= 9, 1).when(day <= 12, 10).otherwise(13)
+        sizes = F.array(F.when(near, 200).otherwise(9799), F.when(month <= 9, 9).otherwise(3),
+                        F.when(day <= 9, 9).when(day <= 12, 3).otherwise(19)).cast("array<long>")
+        state = F.array(F.when(near, year - 1900).otherwise(F.when(year < 1900, year - 1).otherwise(year - 201)),
+                        month - least_month, day - least_day)
+
+        def read(state: Column) -> list[Column]:
+            first = F.get(state, F.lit(0))
+            years = F.when(near, first + 1900).otherwise(F.when(first < 1899, first + 1).otherwise(first + 201))
+            return [years, F.get(state, F.lit(1)) + least_month, F.get(state, F.lit(2)) + least_day]
+
+        def step(state: Column) -> Column:
+            return _permute(state, sizes, key, "date", F.array_join(sizes.cast("array<string>"), ","))
+
+        last = F.aggregate(F.sequence(F.lit(2), F.lit(WALKS)), step(state), lambda s, _: F.when(_is_date(*read(s)), s).otherwise(step(s)))
+        out = _let(last, lambda s: F.call_function("array_join", F.transform(parts, lambda p, i: F.lpad(F.when(
+            i == v["year_at"], read(s)[0]).when(i == v["month_at"], read(s)[1]).otherwise(read(s)[2]).cast("string"), F.length(p), F.lit("0"))),
+            F.regexp_extract(m, "[-/.]", 0)))
+        return F.when(_is_date(year, month, day), out)
+
+    def places(parts: Column) -> Column:
+        year_at = F.when(m.contains("-"), 0).otherwise(2)
+        month_at = F.when(m.contains("/") & (F.get(parts, F.lit(0)).cast("int") <= 12), 0).otherwise(1)
+        number = lambda i: F.get(parts, i).cast("long")
+        return F.struct(year_at.alias("year_at"), month_at.alias("month_at"), number(year_at).alias("year"),
+                        number(month_at).alias("month"), number(3 - year_at - month_at).alias("day"))
+
+    return _let(F.split(m, "[-/.]"), lambda parts: _let(places(parts), lambda v: moved(parts, v)))
 
 
 def _phone(m: Column, key: Column) -> Column:

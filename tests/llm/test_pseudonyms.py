@@ -23,6 +23,20 @@ def luhn(digits):
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
 
 
+def plain_date(y, m, d):
+    """The date that this one becomes; the network is applied until there is one."""
+    months, days = (range(1, 10), range(10, 13)), (range(1, 10), range(10, 13), range(13, 32))
+    years = list(range(1900, 2100)) if 1900 <= y < 2100 else [*range(1, 1900), *range(2100, 10_000)]
+    classes = [years, next(r for r in months if m in r), next(r for r in days if d in r)]
+    sizes, state = [len(c) for c in classes], [list(c).index(v) for c, v in zip(classes, (y, m, d))]
+    while True:
+        state = plain_permute(state, sizes, "date", ",".join(map(str, sizes)))
+        try:
+            return date(*[c[i] for c, i in zip(classes, state)])
+        except ValueError:
+            pass
+
+
 def changed(spark, *texts):
     frame = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, found string")
     return [r for r in sorted(pseudonyms.pseudonymise(frame, KEY).collect(), key=lambda r: r.doc_id)]
@@ -35,9 +49,7 @@ def test_against_a_plain_network(spark):
     card = "".join(map(str, [*body, check]))
     assert rows[0].text == "pay " + " ".join(card[i : i + 4] for i in range(0, 16, 4)) + "."
     assert rows[1].text == "host " + ".".join(map(str, plain_permute([97, 51, 17, 173], [256] * 4, "ip"))) + ","
-    number = (date(2024, 2, 29) - date(1900, 1, 1)).days
-    low, high = plain_permute([number % 270, number // 270], [270, 270], "date")
-    assert rows[2].text == f"on {date(1900, 1, 1) + timedelta(days=low + 270 * high)};"
+    assert rows[2].text == f"on {plain_date(2024, 2, 29)};"
     phone = "".join(map(str, plain_permute([0, 1, 7, 5, 5, 5, 7, 7, 1, 3], [10] * 10, "phone", "")))
     assert rows[3].text == f"call +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}%%%"
     area, group, serial = plain_permute([122, 44, 6788], [898, 99, 9999], "ssn")
@@ -66,13 +78,38 @@ def test_different_values_stay_different(spark):
     row = changed(spark, text)[0]
     ips, dates = ([v.pseudonym for v in row["values"] if v.kind == kind] for kind in ("ip", "date"))
     assert len(set(ips)) == len(set(dates)) == 2000 and all(max(map(int, x.split("."))) < 256 for x in ips)
-    assert all(date(1900, 1, 1) <= date.fromisoformat(x) <= date(2099, 8, 4) for x in dates)
+    assert all(1900 <= date.fromisoformat(x).year < 2100 for x in dates)
+
+
+def test_dates_of_all_forms_and_years(spark):
+    days = [date(y, m, d) for y in (1, 1582, 1899, 1900, 2000, 2024, 2099, 2100, 9999) for m, d in
+            ((1, 1), (2, 28), (3, 9), (4, 30), (9, 10), (10, 12), (10, 13), (11, 30), (12, 31))] + [date(2024, 2, 29), date(1600, 2, 29)]
+    days += [date(2000, 1, 1) + timedelta(days=i) for i in range(1500)]
+    text = " ".join(f"{x.isoformat()} {x.day}.{x.month}.{x.year:04} {x.month}/{x.day}/{x.year:04}" for x in days)
+    words, row = text.split(" "), changed(spark, text)[0]
+    out = row.text.split(" ")
+    expected = [plain_date(x.year, x.month, x.day) for x in days]
+    assert len(row["values"]) == len(words) and out[::3] == [x.isoformat() for x in expected]
+    assert out[1::3] == [f"{x.day}.{x.month}.{x.year:04}" for x in expected]
+    assert out[2::3] == [f"{x.month}/{x.day}/{x.year:04}" for x in expected]
+    assert all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(words, out))
+    # A day above 12 stays above, so a date with the day in front is still read as one.
+    assert all((a.day > 12) == (b.day > 12) for a, b in zip(days, expected)) and len(set(expected)) == len(set(days))
+
+
+def test_long_addresses(spark):
+    rest = [".".join(["b" * 60] * n) for n in (1, 5, 9, 30)]
+    rows = changed(spark, *[f"to {'a' * 60}@{r}.example.org, or" for r in rest])
+    for r, row in zip(rest, rows):
+        value = row["values"][0].pseudonym
+        assert row.text == f"to {value}, or" and len(value) == 60 + 1 + len(r) + 12 and value.endswith(".org")
+        assert "a" * 8 not in value and "b" * 8 not in value and "example" not in value
 
 
 def test_what_is_no_value_stays(spark):
     texts = [None, "", "no numbers", "9807915762804490 300.1.1.1 2023-02-29 31.02.2000 13/13/2000 666-12-1234 000-12-1234",
              'token = "e51a5499e3950eabef3742d6cf40b27b4e61a74a" v1.2.3.4.5 x4111111111111111 0000000000000000', "w" * 300_000,
-             "1" * 50_000, "DE00370400440532013000 a@b 1850-01-01 2100-01-01"]
+             "1" * 50_000, "DE00370400440532013000 a@b 0000-01-01 1900-02-29"]
     rows = changed(spark, *texts)
     assert [r.text for r in rows] == texts and all(list(r["values"]) == [] for r in rows)
 
