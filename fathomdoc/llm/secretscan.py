@@ -1,7 +1,8 @@
 """Secrets in documents: candidates by shape, false positives removed by a random forest.
 
-A candidate is a run of 16 to 256 characters of the alphabets that keys are written in, with a digit or mixed case. Its
-features are its length, classes and transitions of characters, how likely its letter pairs are in the corpus, the
+A candidate is a run of 16 or more characters of the alphabets that keys are written in, or a shorter or freer value
+right after the name of a secret (``password = "..."``), with a digit or mixed case. A run that holds ``name=`` is parted
+there. Its features are its length, classes and transitions of characters, how likely its letter pairs are in the corpus, the
 share that words of the corpus cover, whether it is part of a path or address, and the words around it. The dictionary
 is counted over all documents. The forest is trained by Spark on labelled findings, of which a bounded sample is drawn.
 """
@@ -17,7 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomdoc.llm.common import columns_of, share_below, written
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,256}(?![A-Za-z0-9+/=_-])")
+#: Whole runs of at least this many characters, their parts between equals signs (those at the end are padding), and
+#: values of at least so many characters after a name, which may be quoted.
+LEAST_RUN, LEAST_VALUE = 16, 6
+RUN = re.compile(rf"[A-Za-z0-9+/=_-]{{{LEAST_RUN},}}+")
+PART = re.compile(r"[^=]+(?:=+$)?")
+ASSIGNED = re.compile(rf"(?<![A-Za-z0-9_-])([A-Za-z][A-Za-z0-9_-]*+)['\"]?[ \t]*+(?::=?|=>?)[ \t]*+['\"]?([^\s'\"]{{{LEAST_VALUE},}}+)")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+CLOSING = ".,;:!?)]}>"
 #: A word of at least this share of all words is in the dictionary, so it has at most 50,000.
 DICTIONARY_SHARE, LEAST_LETTERS = 2e-5, 4
 #: Labelled findings of each class that the forest is trained on, and its shape.
@@ -90,6 +98,23 @@ class Features:
                 float(sum(w in SECRET_WORDS for w in near)), float(sum(w in OTHER_WORDS for w in near)), *hashed]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all candidates of a text in order, each once."""
+    out = set()
+    for run in RUN.finditer(text):
+        out.update((run.start() + part.start(), run.start() + part.end()) for part in PART.finditer(run[0]) if len(part[0]) >= LEAST_RUN)
+    for pair in ASSIGNED.finditer(text):
+        value = pair[2].rstrip(CLOSING)
+        if len(value) >= LEAST_VALUE and names_secret(pair[1]):
+            out.add((pair.start(2), pair.start(2) + len(value)))
+    return sorted(span for span in out if is_candidate(text[span[0] : span[1]]))
+
+
+def names_secret(name: str) -> bool:
+    """Whether a part of a name in any of the usual spellings is a word for secrets."""
+    return any(p.lower() in SECRET_WORDS for p in NAME_PART.findall(name))
+
+
 def is_candidate(c: str) -> bool:
     return any(x.isdigit() for x in c) or not (c.islower() or c.isupper() or c[1:].islower() and c.isalpha())
 
@@ -108,7 +133,7 @@ def findings(documents: DataFrame, words: dict[str, float]) -> DataFrame:
     """(doc_id, start, length, fingerprint, label, features): every candidate of every whole text.
 
     ``start`` counts characters, ``fingerprint`` is a hash that does not give the value away, ``label`` is the one of
-    the rules. Null and empty texts have no candidates; repeated rows have theirs each; other columns are ignored.
+    the rules. Candidates have any length and may lie in one another; null and empty texts have none; repeated rows have theirs each; other columns are ignored.
     """
     import hashlib
 
@@ -123,11 +148,10 @@ def findings(documents: DataFrame, words: dict[str, float]) -> DataFrame:
             for first in range(0, batch.num_rows, TEXTS):
                 part, rows = batch.slice(first, TEXTS), []
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    for match in CANDIDATE.finditer(text or ""):
-                        if is_candidate(match[0]):
-                            values = features.of(text, match.start(), match.end())
-                            rows.append((i, match.start(), match.end() - match.start(), hashlib.sha256(match[0].encode()).hexdigest()[:16],
-                                         rule_label(dict(zip(FEATURES, values))), *values[1:]))
+                    for start, end in spans(text or ""):
+                        values = features.of(text, start, end)
+                        rows.append((i, start, end - start, hashlib.sha256(text[start:end].encode()).hexdigest()[:16],
+                                     rule_label(dict(zip(FEATURES, values))), *values[1:]))
                 if rows:
                     i, start, length, fingerprint, label, *values = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
