@@ -50,14 +50,24 @@ def text_documents(files: DataFrame) -> DataFrame:
         X.base_name(path).alias("file_name"))
 
 
-def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every .txt file below ``path``, whatever the case of its ending, as one document."""
+def _read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path and body of every .txt file below ``path``, whatever the case of its ending; body is null where the bytes
+    are not UTF-8."""
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]")
         .text(path, wholetext=True)
     )
-    return text_documents(lines.select(plain_path(F.col("_metadata.file_path")).alias("path"),
-                                       F.col("value").alias("body")))
+    return lines.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.try_validate_utf8("value").alias("body"))
+
+
+def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every .txt file below ``path`` as one document; files that are not UTF-8 are in ``text_rejects``."""
+    return text_documents(_read_texts(spark, path))
+
+
+def text_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the .txt files below ``path`` that ``read_text_documents`` leaves out."""
+    return _read_texts(spark, path).filter("body IS NULL").select("path", F.lit("not UTF-8").alias("reason"))
 
 
 def docx_text(content: bytes) -> list[tuple[str, int | None, dict[str, str]]]:
