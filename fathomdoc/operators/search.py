@@ -2,11 +2,12 @@
 
 from collections.abc import Iterator
 from functools import reduce
+import math
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from fathomdoc.functions.scoring import similarity_percent
@@ -17,15 +18,17 @@ from fathomdoc.session import cut_lineage
 DECIMALS = 9
 # Query side up to this many bytes of vectors is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Rows of either side in one cell of the grid join.
+# Rows of either side in one cell of the grid join, unless larger cells already keep all cores busy.
 CELL_ROWS = 16384
+# Bytes of vectors, as doubles, of either side in one cell at most, and cells for each core where cells grow.
+CELL_BYTES, CELLS_PER_CORE = 32 * 1024 * 1024, 4
 TILE = 1024
 # Queries whose distances bound those of others.
 PIVOTS = 16
 # With more partitions than these, a sample of so many rows in a thousand first bounds what each of them sends.
 FEW_PARTITIONS, SAMPLED = 200, 10
-# Pairs whose distance is computed at once.
-EXACT_PAIRS = 32768
+# Bytes of vectors of pairs whose distance is computed at once.
+EXACT_BYTES = 16 * 1024 * 1024
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -101,7 +104,10 @@ class _Nearest:
 
     def _candidates(self, asked: np.ndarray, corpus: np.ndarray, norms: np.ndarray, codes) -> tuple:
         """Positions (query, corpus row) that can still be among the k nearest."""
-        rough = self.norms[asked, None] + norms[None, :] - 2.0 * (self.vectors[asked] @ corpus.T)
+        rough = self.vectors[asked] @ corpus.T
+        rough *= -2.0
+        rough += self.norms[asked, None]
+        rough += norms
         self.compared += rough.size
         if codes is not None:
             shared = np.zeros(rough.shape, dtype=bool)
@@ -109,10 +115,15 @@ class _Nearest:
                 shared |= self.codes[asked, t, None] == codes[None, :, t]
             rough[~shared] = np.inf
         limit = self._limit(asked)
-        if rough.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + 1e-7 * (1.0 + self.norms[asked]))
-        q, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-        return asked[q], c
+        near = rough <= limit[:, None]
+        # Only where many rows are within the limit are the k nearest of them sought.
+        many = np.flatnonzero(near.sum(axis=1) > 4 * self.k)
+        if len(many):
+            kth = np.partition(rough[many], self.k - 1, axis=1)[:, self.k - 1] + 1e-7 * (1.0 + self.norms[asked[many]])
+            near[many] = rough[many] <= np.minimum(limit[many], kth)[:, None]
+        q, c = np.nonzero(near)
+        known = np.isfinite(rough[q, c])
+        return asked[q[known]], c[known]
 
     def _merge(self, q: np.ndarray, distance: np.ndarray, ids: np.ndarray) -> None:
         hit = np.unique(q)
@@ -127,7 +138,8 @@ class _Nearest:
         self.distance[q[top], rank[top]] = distance[top]
         self.found[q[top], rank[top]] = ids[top]
 
-    def add(self, ids: np.ndarray, corpus: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, corpus: np.ndarray, among: np.ndarray | None = None) -> None:
+        """Compares rows of the corpus with all queries, or with those at the positions ``among``."""
         if self.found is None:
             self.found = np.zeros((len(self.ids), self.k), dtype=ids.dtype)
         if corpus.shape[1] != self.vectors.shape[1]:
@@ -138,18 +150,21 @@ class _Nearest:
         ids, corpus, to_pivots = ids[order], corpus[order], to_pivots[order]
         norms = sum_of_squares(corpus)
         codes = sign_codes(corpus, *self.lsh) if self.lsh else None
+        among = np.arange(len(self.ids)) if among is None else among
+        at_once = max(1, EXACT_BYTES // (8 * max(1, corpus.shape[1])))
         for start in range(0, len(ids), TILE):
             part = slice(start, start + TILE)
             low, high = to_pivots[part].min(axis=0), to_pivots[part].max(axis=0)
-            for lo in range(0, len(self.ids), TILE):
-                own = self.to_pivots[lo:lo + TILE]
+            for lo in range(0, len(among), TILE):
+                some = among[lo:lo + TILE]
+                own = self.to_pivots[some]
                 apart = np.maximum(np.maximum(own - high, low - own).max(axis=1) - 1e-6, 0.0)
-                asked = lo + np.flatnonzero(apart * apart <= self._limit(np.arange(lo, lo + len(own))))
+                asked = some[apart * apart <= self._limit(some)]
                 if not len(asked):
                     continue
                 q, c = self._candidates(asked, corpus[part], norms[part], codes[part] if codes is not None else None)
-                for at in range(0, len(q), EXACT_PAIRS):
-                    pairs = slice(at, at + EXACT_PAIRS)
+                for at in range(0, len(q), at_once):
+                    pairs = slice(at, at + at_once)
                     exact = np.round(sum_of_squares(self.vectors[q[pairs]] - corpus[part][c[pairs]]), DECIMALS)
                     near = exact <= self.bounds[q[pairs]]
                     self._merge(q[pairs][near], exact[near], ids[part][c[pairs]][near])
@@ -214,6 +229,18 @@ def _sides(queries: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]
     return queries.toDF("_q_id", "_q_vector"), corpus.toDF("_c_id", "_c_vector")
 
 
+def rows_of_cells(spark: SparkSession, pairs: int, width: int | None, cell_rows: int) -> int:
+    """Rows of either side in one cell: ``cell_rows``, or as many more as leave ``CELLS_PER_CORE`` cells for each core,
+    and at most ``CELL_BYTES`` of vectors of ``width`` numbers.
+
+    Every row is sent once for each slice of the other side, so cells of a fixed size would send rows that grow with
+    the square of the tables. With a number of cells that depends on the cores alone, what is sent grows with the
+    tables, until vectors of more than ``CELL_BYTES`` would have to be in one cell.
+    """
+    share = math.isqrt(pairs // (CELLS_PER_CORE * spark.sparkContext.defaultParallelism)) + 1
+    return max(1, min(max(cell_rows, share), CELL_BYTES // (8 * max(1, width or 1))))
+
+
 def sliced(df: DataFrame, row_id: str, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
     """Rows of one side dealt to ``own_n`` slices by a hash of the id, repeated for every slice of the other side."""
     return (
@@ -238,10 +265,11 @@ def join_cells(left: DataFrame, right: DataFrame, cell: list[str], k: int, schem
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(nearest_in, schema)
 
 
-def _grid_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, cell_rows: int) -> DataFrame:
-    """Exact: every slice of the queries meets every slice of the corpus, about ``cell_rows`` rows each."""
-    across = F.lit(max(1, -(-queries.count() // cell_rows)))
-    down = F.lit(max(1, -(-corpus.count() // cell_rows)))
+def _grid_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, cell_rows: int, width: int | None) -> DataFrame:
+    """Exact: every slice of the queries meets every slice of the corpus, of as many rows as ``rows_of_cells`` says."""
+    asked, held = queries.count(), corpus.count()
+    cell_rows = rows_of_cells(queries.sparkSession, asked * held, width, cell_rows)
+    across, down = F.lit(max(1, -(-asked // cell_rows))), F.lit(max(1, -(-held // cell_rows)))
     left, right = _sides(queries, corpus)
     return join_cells(sliced(left, "_q_id", "_col", across, "_row", down),
                        sliced(right, "_c_id", "_row", down, "_col", across), ["_col", "_row"], k, schema, None)
@@ -258,8 +286,9 @@ def _code(vector: str, table: int, bits: int) -> Column:
 
 
 def _bucket_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.StructType, lsh: tuple[int, int],
-                 cell_rows: int) -> DataFrame:
-    """Approximate: only rows with the same code in a table meet. Large buckets are cut into cells by their size.
+                 cell_rows: int, width: int | None) -> DataFrame:
+    """Approximate: only rows with the same code in a table meet. Large buckets are cut into cells by their size, of as
+    many rows as ``rows_of_cells`` says for all buckets.
 
     There are at most tables * 2^bits buckets, so their sizes are broadcast.
     """
@@ -273,10 +302,14 @@ def _bucket_join(queries: DataFrame, corpus: DataFrame, k: int, schema: T.Struct
 
     left, right = (coded(side, v) for side, v in zip(_sides(queries, corpus), ("_q_vector", "_c_vector")))
 
-    def slices(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(*bucket).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(*bucket).agg(F.count("*").alias(name))
 
-    sizes = F.broadcast(slices(left, "_across").join(slices(right, "_down"), bucket))
+    counts = cut_lineage(counted(left, "_asked").join(counted(right, "_held"), bucket))
+    pairs = counts.agg(F.sum(F.col("_asked").cast("decimal(38)") * F.col("_held"))).first()[0]
+    cell_rows = rows_of_cells(queries.sparkSession, int(pairs or 0), width, cell_rows)
+    sizes = F.broadcast(counts.select(
+        *bucket, F.ceil(F.col("_asked") / cell_rows).cast("int").alias("_across"), F.ceil(F.col("_held") / cell_rows).cast("int").alias("_down")))
     across, down = F.col("_across"), F.col("_down")
     cells = join_cells(
         sliced(left.join(sizes, bucket), "_q_id", "_col", across, "_row", down).drop("_across", "_down"),
@@ -305,7 +338,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
 
     Query vectors that, with k results each, are counted to be within ``broadcast_bytes`` are sent to the scan of the corpus, which is then not shuffled;
     of many partitions each sends only rows within a bound that a sample gave first;
-    more queries are joined in bounded cells: all slices with all slices, or with ``lsh`` bucket by bucket. Both
+    more queries are joined in bounded cells (``rows_of_cells``): all slices with all slices, or with ``lsh`` bucket by bucket. Both
     ways give the same rows; they are exact without ``lsh``. Rows without a vector
     are skipped in the tasks: a filter on a vector made by a UDF would be pushed down and make it twice.
     """
@@ -316,11 +349,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "
     names = schema.names
     # Fixed once, so that an embedding function runs once, and measured before anything is fetched.
     queries = cut_lineage(queries)
-    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()
+    n, numbers, width = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(vector)), F.lit(0)), F.max(F.size(vector))).first()
     small = queries.toArrow() if 8 * numbers + n * (16 + 16 * k) <= broadcast_bytes else None
     if small is None:
-        partial = (_bucket_join(queries, corpus, k, schema, lsh, cell_rows) if lsh
-                   else _grid_join(queries, corpus, k, schema, cell_rows))
+        partial = (_bucket_join(queries, corpus, k, schema, lsh, cell_rows, width) if lsh
+                   else _grid_join(queries, corpus, k, schema, cell_rows, width))
     else:
         many = lsh is None and corpus.rdd.getNumPartitions() > FEW_PARTITIONS
         partial = _scan_join(small, corpus, k, schema, lsh, upper_bounds(small, corpus, k, schema) if many else None)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomdoc.functions.scoring import lexical_score, similarity_percent
-from fathomdoc.operators import answer as A, rerank as R
+from fathomdoc.operators import answer as A, rerank as R, search
 from fathomdoc.operators.search import knn_join
 from fathomdoc.plans.answering import answer_questions
 
@@ -120,3 +120,19 @@ def test_prompts_without_context_are_not_sent(spark):
     df = spark.createDataFrame([(1, "p"), (2, None)], "id int, prompt string")
     rows = A.generate(df, lambda prompts: [p + " done " for p in prompts]).orderBy("id").collect()
     assert rows[0].answer == "p done" and rows[1].answer.startswith("No relevant")
+
+
+@pytest.mark.parametrize("lsh", [None, (2, 1)])
+def test_rows_sent_to_cells_grow_with_the_table(spark, monkeypatch, lsh):
+    """Twice the rows are twice the rows sent, also with small cells; each row was sent once for each slice before."""
+    sent, plain = [], search.join_cells
+
+    def counted(left, right, *rest):
+        sent.append(left.count() + right.count())
+        return plain(left, right, *rest)
+
+    monkeypatch.setattr(search, "join_cells", counted)
+    for n in (3000, 6000):
+        vectors = spark.range(n).select(F.col("id").alias("query_id"), F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding"))
+        knn_join(vectors, vectors.withColumnRenamed("query_id", "chunk_id"), 2, lsh=lsh, broadcast_bytes=0, cell_rows=16)
+    assert sent[1] <= 2.2 * sent[0] and sent[1] <= 6000 * 2 * 8 * (lsh or (1,))[0]
