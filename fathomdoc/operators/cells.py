@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from fathomdoc.operators.search import CELL_ROWS, hit_schema, ids_of, join_cells, matrix, sliced, sum_of_squares
+from fathomdoc.operators.search import (
+    CELL_ROWS, PIVOTS, _Nearest, far_apart, hit_schema, ids_of, matrix, rows_of_cells, sum_of_squares)
 from fathomdoc.operators.skew import top_per_group
 from fathomdoc.session import cut_lineage, work_folder
 
@@ -23,6 +25,8 @@ PER_CELL, SAMPLE_BYTES = 32, 64 * 1024 * 1024
 # Cells at most; their centroids go to all executors.
 MOST_CELLS = 8192
 ROUNDS, ASKED = 12, 400
+# Distances from queries to cells that are held at once.
+PROBED = 1 << 19
 
 
 def nearest_cells(vectors: np.ndarray, centroids: np.ndarray, count: int = 1) -> np.ndarray:
@@ -127,24 +131,78 @@ def build_cell_index(corpus: DataFrame, path: str | None = None, *, corpus_id: s
                      least_probes(sample, asked, centroids, k, recall) if len(asked) else len(centroids))
 
 
-def _probe(cells, probes: int, k: int, schema: T.StructType):
-    """Queries with each of their cells: the nearest that hold rows, ``probes`` of them and as many as give k rows."""
+def _parts_of_cells(centroids: np.ndarray, sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit of each cell, and of each unit the number of parts it is cut into, of about ``rows`` rows: small cells that
+    lie near the same pivot share a unit, a larger cell is one by itself."""
+    pivots = far_apart(centroids, PIVOTS)
+    far = sum_of_squares(centroids)[:, None] + sum_of_squares(pivots) - 2.0 * (centroids @ pivots.T)
+    unit, parts, held = np.zeros(len(sizes), np.int64), [], 0
+    for cell in np.lexsort((far.min(axis=1), far.argmin(axis=1))):
+        if not parts or held + sizes[cell] > rows:
+            parts.append(-(-int(sizes[cell]) // rows))
+            held = 0
+        unit[cell] = len(parts) - 1
+        held += sizes[cell]
+    return unit, np.array(parts, np.int64)
+
+
+def _probe(cells, probes: int, k: int, names: list[str]):
+    """Queries with the parts they meet and how far their farthest cell is: a query meets the nearest cells that hold
+    rows, ``probes`` of them and as many as give k rows, and all parts of the units of these."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, numbers, sizes = cells.value
+        centroids, sizes, unit, parts = cells.value
+        if not len(sizes):
+            return
+        own, by_unit = sum_of_squares(centroids), np.argsort(unit, kind="stable")
+        marks, first = np.searchsorted(unit[by_unit], np.arange(len(parts))), np.cumsum(parts) - parts
+        step = max(1, PROBED // len(sizes))
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(1)))
-            if not batch.num_rows or not len(numbers):
-                continue
-            order = nearest_cells(matrix(batch.column(1)), centroids, len(numbers))
-            before = np.cumsum(sizes[order], axis=1) - sizes[order]
-            row, at = np.nonzero((np.arange(len(numbers)) < probes) | (before < k))
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers[order[row, at]], pa.int64())], schema.names)
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                far = own - 2.0 * (matrix(some.column(1)) @ centroids.T)
+                order = np.argsort(far, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                last = ((np.arange(len(sizes)) < probes) | (before < k)).sum(axis=1) - 1
+                row = np.arange(len(far))
+                reach = far[row, order[row, last]]
+                # A distance may come out a little different where the cell is met.
+                reach += 1e-9 * (1.0 + np.abs(reach))
+                met = np.maximum.reduceat((far <= reach[:, None])[:, by_unit], marks, axis=1)
+                row, which = np.nonzero(met)
+                count = parts[which]
+                part = np.repeat(first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, count, len(far)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(reach), pa.ListArray.from_arrays(pa.array(ends), pa.array(part))], names)
 
     return probe
 
 
+def _join_parts(left: DataFrame, right: DataFrame, cells, numbers: np.ndarray, k: int, schema: T.StructType) -> DataFrame:
+    """The k nearest per query in each part, among the rows of the cells that the query meets."""
+    arrow_schema = to_arrow_schema(schema)
+
+    def nearest_in(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        if not queries.num_rows or not corpus.num_rows:
+            return arrow_schema.empty_table()
+        centroids = cells.value[0]
+        nearest = _Nearest(ids_of(queries["_q_id"]), matrix(queries["_q_vector"].combine_chunks()), k, None)
+        reach, cell = queries["_reach"].to_numpy(), np.searchsorted(numbers, corpus["_cell"].to_numpy())
+        ids, vectors = ids_of(corpus["_c_id"]), matrix(corpus["_c_vector"].combine_chunks())
+        order = np.argsort(cell, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            centroid = centroids[cell[rows[0]]]
+            among = np.flatnonzero(centroid @ centroid - 2.0 * (nearest.vectors @ centroid) <= reach)
+            if len(among):
+                nearest.add(ids[rows], vectors[rows], among)
+        return pa.Table.from_batches([nearest.rows(arrow_schema.names, arrow_schema)])
+
+    keys = ["_part", "_col"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest_in, schema)
+
+
 def search_cells(queries: DataFrame, index: CellIndex, k: int, *, query_id: str = "query_id", vector: str = "embedding",
                  where: Column | None = None, probes: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """About the k nearest rows of an index for every query by squared L2: query_id, the index's id, distance, rank.
@@ -152,25 +210,35 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, *, query_id: str
     Distances are exact and ties go to the smaller id; only rows of cells that a query does not meet can be missing.
     ``where`` filters rows before the search, and the cells that a query meets are counted among what is left, so
     every query gets k rows if so many are left. ``probes`` replaces the measured number of cells; with all of them
-    the result is exact. Cells of more than ``cell_rows`` rows on a side are cut into slices.
+    the result is exact.
+
+    Rows are sent by parts: several small cells, or a slice of a large one, of as many rows as ``rows_of_cells`` says for
+    ``cell_rows``. A query is sent once to each part that has a cell it meets, not to each cell, and gets k rows there; the
+    queries of a part are cut into slices of as many rows.
     """
     spark = queries.sparkSession
     rows = index.rows.filter(where) if where is not None else index.rows
     sizes = rows.groupBy("_cell").agg(F.count("*").alias("n")).orderBy("_cell").toArrow()
     numbers, counts = sizes.column("_cell").to_numpy(), sizes.column("n").to_numpy()
-    known = spark.sparkContext.broadcast((index.centroids[numbers], numbers, counts))
+    centroids, probes = index.centroids[numbers], probes or index.probes
+    met = int(queries.count() * counts.sum() * min(1.0, probes / max(1, len(numbers))))
+    cell_rows = rows_of_cells(spark, met, centroids.shape[1], cell_rows)
+    unit, parts = _parts_of_cells(centroids, counts, cell_rows) if len(numbers) else (numbers, counts)
+    known = spark.sparkContext.broadcast((centroids, counts, unit, parts))
     asked = queries.select(F.col(query_id).alias("_q_id"), F.col(vector).alias("_q_vector"))
-    schema = T.StructType([*asked.schema.fields, T.StructField("_cell", T.LongType())])
-    # Fixed once: the cells of the queries are counted and joined.
-    left = cut_lineage(asked.mapInArrow(_probe(known, probes or index.probes, k, schema), schema))
-    per_cell = left.groupBy("_cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_across"))
-    down = spark.createDataFrame([(int(c), -(-int(n) // cell_rows)) for c, n in zip(numbers, counts)], "_cell long, _down int")
-    cut = F.broadcast(per_cell.join(F.broadcast(down), "_cell"))
-    right = rows.select("_cell", F.col(index.corpus_id).alias("_c_id"), F.col(index.vector).alias("_c_vector"))
+    schema = T.StructType([*asked.schema.fields, T.StructField("_reach", T.DoubleType()), T.StructField("_parts", T.ArrayType(T.LongType()))])
+    # Fixed once: the queries of each part are counted and joined.
+    probed = cut_lineage(asked.mapInArrow(_probe(known, probes, k, schema.names), schema))
+    left = probed.select("_q_id", "_q_vector", "_reach", F.explode("_parts").alias("_part"))
+    across = F.broadcast(left.groupBy("_part").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_across")))
+    first = np.cumsum(parts) - parts
+    places = F.broadcast(spark.createDataFrame(
+        [(int(c), int(first[u]), int(parts[u])) for c, u in zip(numbers, unit)], "_cell long, _first long, _n long"))
+    right = (
+        rows.select("_cell", F.col(index.corpus_id).alias("_c_id"), F.col(index.vector).alias("_c_vector"))
+        .join(places, "_cell").withColumn("_part", F.col("_first") + F.pmod(F.xxhash64("_c_id"), F.col("_n"))).drop("_first", "_n")
+        .join(across, "_part").withColumn("_col", F.explode(F.sequence(F.lit(0), F.col("_across") - 1))).drop("_across"))
+    left = left.join(across, "_part").withColumn("_col", F.pmod(F.xxhash64("_q_id"), F.col("_across")).cast("int")).drop("_across")
     out = hit_schema(queries, query_id, index.rows, index.corpus_id)
-    across, down_ = F.col("_across"), F.col("_down")
-    found = join_cells(
-        sliced(left.join(cut, "_cell"), "_q_id", "_col", across, "_row", down_).drop("_across", "_down"),
-        sliced(right.join(cut, "_cell"), "_c_id", "_row", down_, "_col", across).drop("_across", "_down"),
-        ["_cell", "_col", "_row"], k, out, None)
+    found = _join_parts(left, right, known, numbers, k, out)
     return top_per_group(found, [out.names[0]], [F.col("distance"), F.col(out.names[1])], k, "rank", F.col(out.names[1]))

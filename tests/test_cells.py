@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomdoc.operators import search
+from fathomdoc.operators import cells, search
 from fathomdoc.operators.cells import build_cell_index, nearest_cells, search_cells
 from fathomdoc.operators.embedding import hashing_embedder
 from fathomdoc.operators.search import knn_join
@@ -131,3 +132,25 @@ def test_pivots_spare_comparisons():
     for q in (0, 17, 59):
         far = np.round(((vectors - vectors[q]) ** 2).sum(1), search.DECIMALS)
         assert nearest.found[q].tolist() == np.lexsort((np.arange(len(far)), far))[:5].tolist()
+
+
+def test_queries_are_sent_to_parts_not_to_cells(spark, monkeypatch, corpus):
+    """A query that meets every cell is sent once to each part, and small slices do not multiply rows."""
+    sent, plain = [], cells._join_parts
+
+    def counted(left, right, *rest):
+        sent.append((left.count(), right.count()))
+        return plain(left, right, *rest)
+
+    monkeypatch.setattr(cells, "_join_parts", counted)
+    asked = corpus.select(F.col("chunk_id").alias("query_id"), "embedding")
+    search_cells(asked, build_cell_index(corpus, cells=200), 3, probes=200, cell_rows=20)
+    assert max(sent[0]) <= 3000 * 8
+
+
+def test_probing_gives_one_row_for_each_query(spark):
+    vectors = np.random.default_rng(2).normal(size=(500, 8))
+    known = spark.sparkContext.broadcast((vectors[:100], np.full(100, 5), np.arange(100) // 10, np.full(10, 2)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(vectors.tolist())], ["i", "v"])
+    out = pa.Table.from_batches(cells._probe(known, 100, 3, ["i", "v", "r", "p"])(iter([batch])))
+    assert out.num_rows == 500 and all(p == list(range(20)) for p in out["p"].to_pylist())
