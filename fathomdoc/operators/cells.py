@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from fathomdoc.operators.search import (
     CELL_ROWS, PIVOTS, _Nearest, far_apart, hit_schema, ids_of, matrix, rows_of_cells, sum_of_squares)
 from fathomdoc.operators.skew import top_per_group
-from fathomdoc.session import cut_lineage, work_folder
+from fathomdoc.session import cut_lineage, work_folder, written
 
 # Vectors that centroids are trained on: so many for each cell, and bytes of them in all.
 PER_CELL, SAMPLE_BYTES = 32, 64 * 1024 * 1024
@@ -106,6 +106,8 @@ def build_cell_index(corpus: DataFrame, path: str | None = None, *, corpus_id: s
     how many cells give ``recall`` of the ``k`` nearest. All columns are kept, so that a search can filter on them.
     """
     spark = corpus.sparkSession
+    # Read several times below: without this every reading would make the vectors again.
+    corpus = written(corpus, "indexed")
     n, width = corpus.filter(F.col(vector).isNotNull()).agg(F.count("*"), F.max(F.size(vector))).first()
     if not n:
         empty = corpus.withColumn("_cell", F.lit(0).cast("long")).limit(0)

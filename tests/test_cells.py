@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -154,3 +156,14 @@ def test_probing_gives_one_row_for_each_query(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(vectors.tolist())], ["i", "v"])
     out = pa.Table.from_batches(cells._probe(known, 100, 3, ["i", "v", "r", "p"])(iter([batch])))
     assert out.num_rows == 500 and all(p == list(range(20)) for p in out["p"].to_pylist())
+
+
+def test_index_makes_each_vector_once(spark, tmp_path):
+    def embedder(texts):
+        with open(f"{tmp_path}/{uuid.uuid4().hex}", "w") as log:
+            log.write("\n".join(texts))
+        return hashing_embedder(texts)
+
+    passages = spark.createDataFrame([(f"p{i}", f"red fox {i}", "s") for i in range(300)], "passage_id string, content string, source string")
+    assert index_passages(passages, embedder=embedder, cells=4).rows.count() == 300
+    assert sum(len(f.read_text().split("\n")) for f in tmp_path.iterdir()) == 300
