@@ -11,11 +11,13 @@ from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.late import late_join
 from fathomdoc.operators.rerank import best_scored
 from fathomdoc.operators.search import knn_join
+from fathomdoc.session import written
 
 
 def index_passages(passages: DataFrame, path: str | None = None, embedder: EmbedFn = hashing_embedder, **options) -> CellIndex:
     """The passages with their embeddings, stored by cell; see ``build_cell_index`` for the options."""
-    known = passages if "embedding" in passages.columns else embed(passages, "content", embedder)
+    # Written, as the index reads its rows several times and would make the vectors again each time.
+    known = passages if "embedding" in passages.columns else written(embed(passages, "content", embedder), "embedded")
     return build_cell_index(known, path, corpus_id="passage_id", **options)
 
 
