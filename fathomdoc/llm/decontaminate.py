@@ -15,14 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm.common import NOT_ALPHANUMERIC, Sent, columns_of, mix, share_below, slices, word_hashes, word_spans, written
+from fathomdoc.llm.common import NOT_ALPHANUMERIC, Sent, columns_of, mix, slices, word_hashes, word_spans, written
 
 #: Items that are compared at a time; more are taken in blocks.
 BLOCK_ITEMS = 2048
 BUCKETS = 1 << 15
-#: Documents whose windows the decomposition is fitted on (all documents are searched), directions kept, and spare ones.
-SAMPLE_DOCUMENTS, RANK, SPARE, ROUNDS, PARTS = 4000, 96, 16, 2, 8
+#: Directions kept of the decomposition, and spare ones; its rounds, and the tasks of a product, each of which returns one
+#: array of the size of the directions.
+RANK, SPARE, ROUNDS, PARTS = 96, 16, 2, 32
 FIT_WINDOW = 32
+#: Up to this many terms their products are summed pair by pair in one pass, in an array of 4 * terms^2 bytes.
+PAIRED_TERMS = 4096
 LEAST_COSINE, LEAST_WORDS = 0.5, 5
 #: A window's projection on the direction of an item is at least this share of the item's own length there.
 LEAST_HELD = 0.5
@@ -112,7 +115,7 @@ def document_frequencies(documents: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _fit_windows(terms: np.ndarray, idf: np.ndarray):
-    """Sparse unit rows of the sampled texts' windows: (window sizes, terms, values) for each batch slice."""
+    """Sparse unit rows of the texts' windows: (window sizes, terms, values) for each batch slice."""
 
     def cut(batches):
         space = Space(terms, np.zeros((0, 0)), idf)
@@ -154,7 +157,7 @@ def _gram(window: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np.nda
     return out
 
 
-def _distributed_gram(sample: DataFrame, basis: np.ndarray) -> np.ndarray:
+def _distributed_gram(windows: DataFrame, basis: np.ndarray) -> np.ndarray:
     def multiply(batches):
         total = np.zeros_like(basis)
         for batch in batches:
@@ -163,13 +166,38 @@ def _distributed_gram(sample: DataFrame, basis: np.ndarray) -> np.ndarray:
                 total += _gram(window, term, value, basis)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
 
-    parts = sample.coalesce(PARTS).mapInArrow(multiply, "part binary").toArrow().column("part").to_pylist()
+    parts = windows.coalesce(PARTS).mapInArrow(multiply, "part binary").toArrow().column("part").to_pylist()
     return sum((np.frombuffer(p, np.float32).reshape(basis.shape) for p in parts), np.zeros_like(basis))
 
 
+def _paired_gram(documents: DataFrame, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """X'X of the windows of all documents, and the number of entries of X; only sums of pairs of terms leave the tasks."""
+    n, fit = len(terms), _fit_windows(terms, idf)
+
+    def pairs(batches):
+        total, entries = np.zeros(n * n, np.float32), 0
+        for batch in fit(batches):
+            window, term, value = (np.frombuffer(batch.column(c)[0].as_py(), k) for c, k in enumerate(("<i4", "<i4", "<f4")))
+            term, entries = term.astype(np.int64), entries + len(term)
+            np.add.at(total, term * (n + 1), value * value / 2)
+            for apart in range(1, FIT_WINDOW):
+                first = np.flatnonzero(window[apart:] == window[:-apart])
+                low, high = term[first], term[first + apart]
+                np.add.at(total, np.minimum(low, high) * n + np.maximum(low, high), value[first] * value[first + apart])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[entries, total[used]].astype(np.float64))], ["pair", "n"])
+
+    table = (documents.select("text").mapInArrow(pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow())
+    pair, summed = table.column("pair").to_numpy(), table.column("n").to_numpy()
+    half = np.zeros(n * n, np.float32)
+    half[pair[pair >= 0]] = summed[pair >= 0]
+    half = half.reshape(n, n)
+    return half + half.T, int(summed[pair < 0].sum())
+
+
 def fit_space(documents: DataFrame, items: list[np.ndarray], n_docs: int, frequency: np.ndarray) -> Space:
-    """The strongest directions of TF-IDF passages: windows of a bounded sample of documents, and the items, which
-    weigh as much as all of these windows together."""
+    """The strongest directions of TF-IDF passages: the windows of all documents, and the items, which weigh as much as
+    all of these windows together."""
     terms = np.unique(np.concatenate(items))
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1e-3
     weight = idf[(terms % np.uint64(BUCKETS)).astype(np.int64)]
@@ -177,16 +205,17 @@ def fit_space(documents: DataFrame, items: list[np.ndarray], n_docs: int, freque
     own = [space.term_of(i) for i in items]
     item_rows = (np.repeat(np.arange(len(own)), [len(t) for t in own]), np.concatenate(own),
                  np.concatenate([weight[t] / np.sqrt((weight[t] ** 2).sum()) for t in own]).astype(np.float32))
-    share = SAMPLE_DOCUMENTS / max(1, n_docs)
-    sample = written(documents.filter(F.col("doc_id").isNotNull() & share_below(F.col("doc_id"), share, 5)).select("text")
-                     .mapInArrow(_fit_windows(terms, idf), "window binary, term binary, value binary"), "windows")
-    windows = sample.agg(F.sum(F.octet_length("window"))).first()[0] or 0
-    boost = np.float32(max(1.0, windows / 4 / FIT_WINDOW / max(1, len(items))))
+    if len(terms) <= PAIRED_TERMS:
+        gram, entries = _paired_gram(documents, terms, idf)
+    else:
+        sparse = written(documents.select("text").mapInArrow(_fit_windows(terms, idf), "window binary, term binary, value binary"), "windows")
+        entries = (sparse.agg(F.sum(F.octet_length("window"))).first()[0] or 0) // 4
+    boost = np.float32(max(1.0, entries / FIT_WINDOW / max(1, len(items))))
     rank = min(RANK + SPARE, len(terms))
     basis = np.random.default_rng(3).normal(size=(len(terms), rank)).astype(np.float32)
 
     def product(b: np.ndarray) -> np.ndarray:
-        return _distributed_gram(sample, b) + boost * _gram(*item_rows, b)
+        return (gram @ b if len(terms) <= PAIRED_TERMS else _distributed_gram(sparse, b)) + boost * _gram(*item_rows, b)
 
     for _ in range(ROUNDS):
         basis = np.linalg.qr(product(basis))[0].astype(np.float32)

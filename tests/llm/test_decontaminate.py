@@ -134,3 +134,25 @@ def test_places_of_verbatim_items(spark):
     found = {(r.doc_id, r.item_id, r.start, r.lcs) for r in dec.contaminated(docs, bench).collect()}
     place = len(dec._of_text(FILLER))
     assert found == {(1, 70, place, 1.0), (1, 72, place, 1.0), (2, 71, 0, 1.0)}
+
+
+def test_directions_come_from_every_document(spark, monkeypatch):
+    """The sums of pairs, and the products for more terms, are those of the windows of all documents, without an id too."""
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in random.integers(0, 12, 70)) for _ in range(5000)]
+    docs = spark.createDataFrame([(None if i == 7 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    n, frequency = dec.document_frequencies(docs)
+    idf = np.log((1 + n) / (1 + frequency)) + 1e-3
+    terms = np.unique(dec._of_text("w1 w2 w3 w4 w5"))
+    plain, entries = np.zeros((5, 5)), 0
+    for words in map(dec._of_text, texts):
+        for at in range(0, len(words), dec.FIT_WINDOW):
+            window = words[at : at + dec.FIT_WINDOW]
+            weight = idf[(window % np.uint64(dec.BUCKETS)).astype(int)]
+            row = np.array([(weight * (window == t)).sum() for t in terms]) / np.sqrt((weight**2).sum())
+            plain, entries = plain + np.outer(row, row), entries + int(np.isin(window, terms).sum())
+    gram, seen = dec._paired_gram(docs, terms, idf)
+    assert seen == entries and np.allclose(gram, plain, rtol=1e-3)
+    fitted = dec.fit_space(docs, [terms], n, frequency).basis
+    monkeypatch.setattr(dec, "PAIRED_TERMS", 0)
+    assert np.allclose(np.abs(dec.fit_space(docs, [terms], n, frequency).basis[:, 0]), np.abs(fitted[:, 0]), atol=1e-2)
