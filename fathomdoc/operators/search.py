@@ -23,6 +23,8 @@ CELL_ROWS = 16384
 # Bytes of vectors, as doubles, of either side in one cell at most, and cells for each core where cells grow.
 CELL_BYTES, CELLS_PER_CORE = 32 * 1024 * 1024, 4
 TILE = 1024
+# Rows of the corpus that a scan turns into doubles at once.
+SCAN_ROWS = 4 * TILE
 # Queries whose distances bound those of others.
 PIVOTS = 16
 # With more partitions than these, a sample of so many rows in a thousand first bounds what each of them sends.
@@ -199,10 +201,11 @@ def _scan_join(queries: pa.Table, corpus: DataFrame, k: int, schema: T.StructTyp
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, limits = shared.value
         nearest = _Nearest(ids, vectors, k, lsh, limits)
-        for batch in batches:
-            batch = _with_vector(batch)
-            if batch.num_rows and len(nearest.ids):
-                nearest.add(ids_of(batch.column(0)), matrix(batch.column(1)))
+        for whole in batches:
+            for first in range(0, whole.num_rows, SCAN_ROWS):
+                batch = _with_vector(whole.slice(first, SCAN_ROWS))
+                if batch.num_rows and len(nearest.ids):
+                    nearest.add(ids_of(batch.column(0)), matrix(batch.column(1)))
         yield nearest.rows(arrow_schema.names, arrow_schema)
 
     return corpus.mapInArrow(scan, schema)

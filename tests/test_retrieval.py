@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathomdoc.functions.scoring import lexical_score, similarity_percent
 from fathomdoc.operators import answer as A, rerank as R, search
+from fathomdoc.operators.embedding import HashingEmbedder, embed
 from fathomdoc.operators.search import knn_join
 from fathomdoc.plans.answering import answer_questions
 
@@ -136,3 +137,20 @@ def test_rows_sent_to_cells_grow_with_the_table(spark, monkeypatch, lsh):
         vectors = spark.range(n).select(F.col("id").alias("query_id"), F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding"))
         knn_join(vectors, vectors.withColumnRenamed("query_id", "chunk_id"), 2, lsh=lsh, broadcast_bytes=0, cell_rows=16)
     assert sent[1] <= 2.2 * sent[0] and sent[1] <= 6000 * 2 * 8 * (lsh or (1,))[0]
+
+
+def test_an_embedder_remembers_a_bounded_number_of_words():
+    embedder, plain = HashingEmbedder(), HashingEmbedder(remembered=0)
+    for start in range(0, 200_000, 20_000):
+        texts = [" ".join(f"w{i}" for i in range(at, at + 100)) + " again" for at in range(start, start + 20_000, 100)]
+        assert np.array_equal(embedder(texts), plain(texts))
+    assert len(embedder.known) <= 100_000
+
+
+def test_vectors_leave_in_parts_in_order(spark):
+    texts = [None if i % 7 == 3 or 20 <= i < 60 else f"word{i} common" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    found = {r.id: r.embedding for r in embed(df, "text", batch_size=2).collect()}
+    assert len(found) == 100
+    for i, text in enumerate(texts):
+        assert found[i] is None if text is None else np.array_equal(np.float32(found[i]), HashingEmbedder()([text])[0])
