@@ -12,6 +12,8 @@ from fathomdoc.llm import decontaminate, jaccard, langid, linededup, packing
 from fathomdoc.llm.common import scan_table, written
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words whose ids a worker of the last stage keeps, some 150 bytes each: executors are full of the stages before.
+REMEMBERED = 250_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of binary lengths, each a sequence of its own."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomdoc.llm.common import NOT_ALPHANUMERIC, Sent, columns_of, mix, slices, word_hashes, word_spans, written
+from fathomdoc.llm.common import NOT_ALPHANUMERIC, SMALL_SLICE_BYTES, Sent, columns_of, mix, slices, word_hashes, word_spans, written
 
 #: Items that are compared at a time; more are taken in blocks.
 BLOCK_ITEMS = 2048
@@ -24,8 +24,9 @@ BUCKETS = 1 << 15
 #: array of the size of the directions.
 RANK, SPARE, ROUNDS, PARTS = 96, 16, 2, 32
 FIT_WINDOW = 32
-#: Up to this many terms their products are summed pair by pair in one pass, in an array of 4 * terms^2 bytes.
-PAIRED_TERMS = 4096
+#: Up to this many terms their products are summed pair by pair in one pass, in an array of 2 * terms^2 bytes; and the sums
+#: that leave a task at a time.
+PAIRED_TERMS, PAIRS_AT_ONCE = 4096, 1 << 16
 LEAST_COSINE, LEAST_WORDS = 0.5, 5
 #: A window's projection on the direction of an item is at least this share of the item's own length there.
 LEAST_HELD = 0.5
@@ -99,7 +100,7 @@ def document_frequencies(documents: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         seen, total = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for part, data, offsets in slices(batch, lower=True):
+            for part, data, offsets in slices(batch, lower=True, size=SMALL_SLICE_BYTES):
                 row, h = _words(data, offsets)
                 pairs = np.unique(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
                 seen += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
@@ -120,7 +121,7 @@ def _fit_windows(terms: np.ndarray, idf: np.ndarray):
     def cut(batches):
         space = Space(terms, np.zeros((0, 0)), idf)
         for batch in batches:
-            for _, data, offsets in slices(batch, lower=True):
+            for _, data, offsets in slices(batch, lower=True, size=SMALL_SLICE_BYTES):
                 row, h = _words(data, offsets)
                 if not len(h):
                     continue
@@ -173,26 +174,32 @@ def _distributed_gram(windows: DataFrame, basis: np.ndarray) -> np.ndarray:
 def _paired_gram(documents: DataFrame, terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, int]:
     """X'X of the windows of all documents, and the number of entries of X; only sums of pairs of terms leave the tasks."""
     n, fit = len(terms), _fit_windows(terms, idf)
+    # Where the row of each term begins among the pairs (low, high) with low <= high, less its own number.
+    begin = np.arange(n, dtype=np.int64) * (2 * n - 1 - np.arange(n, dtype=np.int64)) // 2
 
     def pairs(batches):
-        total, entries = np.zeros(n * n, np.float32), 0
+        total, entries = np.zeros(n * (n + 1) // 2, np.float32), 0
         for batch in fit(batches):
             window, term, value = (np.frombuffer(batch.column(c)[0].as_py(), k) for c, k in enumerate(("<i4", "<i4", "<f4")))
             term, entries = term.astype(np.int64), entries + len(term)
-            np.add.at(total, term * (n + 1), value * value / 2)
+            np.add.at(total, begin[term] + term, value * value / 2)
             for apart in range(1, FIT_WINDOW):
                 first = np.flatnonzero(window[apart:] == window[:-apart])
                 low, high = term[first], term[first + apart]
-                np.add.at(total, np.minimum(low, high) * n + np.maximum(low, high), value[first] * value[first + apart])
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[entries, total[used]].astype(np.float64))], ["pair", "n"])
+                np.add.at(total, begin[np.minimum(low, high)] + np.maximum(low, high), value[first] * value[first + apart])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([float(entries)])], ["pair", "n"])
+        for at in range(0, len(total), PAIRS_AT_ONCE):
+            part = total[at : at + PAIRS_AT_ONCE]
+            used = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array(used + at), pa.array(part[used].astype(np.float64))], ["pair", "n"])
 
     table = (documents.select("text").mapInArrow(pairs, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow())
     pair, summed = table.column("pair").to_numpy(), table.column("n").to_numpy()
-    half = np.zeros(n * n, np.float32)
-    half[pair[pair >= 0]] = summed[pair >= 0]
-    half = half.reshape(n, n)
-    return half + half.T, int(summed[pair < 0].sum())
+    known = pair >= 0
+    low = np.searchsorted(begin + np.arange(n), pair[known], "right") - 1
+    half = np.zeros((n, n), np.float32)
+    half[low, pair[known] - begin[low]] = summed[known]
+    return half + half.T, int(summed[~known].sum())
 
 
 def fit_space(documents: DataFrame, items: list[np.ndarray], n_docs: int, frequency: np.ndarray) -> Space:
@@ -384,7 +391,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches, sent=sent):
             searcher = sent.get()
             for batch in batches:
-                for part, data, offsets in slices(batch, lower=True):
+                for part, data, offsets in slices(batch, lower=True, size=SMALL_SLICE_BYTES):
                     if found := searcher.find(data, offsets):
                         rows, *rest = zip(*found)
                         kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -405,7 +412,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         def keep(batches, sent=sent):
             searcher = sent.get()
             for batch in batches:
-                for part, data, offsets in slices(batch, lower=True):
+                for part, data, offsets in slices(batch, lower=True, size=SMALL_SLICE_BYTES):
                     clean_rows = np.ones(part.num_rows, bool)
                     clean_rows[[f[0] for f in searcher.find(data, offsets)]] = False
                     yield part.filter(pa.array(clean_rows))

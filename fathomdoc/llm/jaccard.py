@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fathomdoc.llm.common import Sent, columns_of, mix, share_below, shingles, slices, word_hashes, word_spans, written
+from fathomdoc.llm.common import SMALL_SLICE_BYTES, Sent, columns_of, mix, share_below, shingles, slices, word_hashes, word_spans, written
 from fathomdoc.llm.components import components
 
 CELLS = 256
@@ -123,7 +123,7 @@ def _sets(order, percent: int):
     def describe(batches):
         known = order.get()
         for batch in batches:
-            for part, data, offsets in slices(batch):
+            for part, data, offsets in slices(batch, size=SMALL_SLICE_BYTES):
                 n_rows = part.num_rows
                 rows, keys = known.sets(data, offsets)
                 n = np.bincount(rows, minlength=n_rows)
@@ -172,7 +172,7 @@ def _keys(order):
     def make(batches):
         known = order.get()
         for batch in batches:
-            for part, data, offsets in slices(batch):
+            for part, data, offsets in slices(batch, size=SMALL_SLICE_BYTES):
                 rows, keys = known.sets(data, offsets)
                 edge = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(keys.view(np.int64)))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fathomdoc.llm.common import remainder, share_below, slices
+from fathomdoc.llm.common import SMALL_SLICE_BYTES, remainder, share_below, slices
 
 #: Hashed subwords, numbers in an embedding, texts learned from for each language and for all, languages at most.
 BUCKETS, WIDTH, PER_LANGUAGE, MOST_TEXTS, MOST_LANGUAGES = 1 << 13, 16, 1000, 16_000, 256
@@ -209,7 +209,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     def predict(batches):
         for batch in batches:
-            for part, data, offsets in slices(batch):
+            for part, data, offsets in slices(batch, size=SMALL_SLICE_BYTES):
                 n = part.num_rows
                 texts = part.column(part.schema.get_field_index("text"))
                 ascii_letters = np.r_[0, np.cumsum((_FOLD[data] > 0) & (data < 128))]

@@ -31,12 +31,12 @@ class WordIds:
     Plain lower-case words go straight to the merges; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
         import re
 
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered or REMEMBERED
         self.ids: dict[str, bytes] = {"": b""}
         self.plain = re.compile(r"([a-zß-öø-ÿ]+)([.,]?)")
         hidden = iter(range(256, 512))
@@ -47,7 +47,7 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > REMEMBERED:
+        if len(self.ids) + len(words) > self.remembered:
             self.ids.clear()
             self.ids[""] = b""
         others, merge = [], self.tokenizer.model.tokenize
@@ -73,17 +73,18 @@ class WordIds:
         return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
 
 
-def _tokenizer(path: str) -> WordIds:
+def _tokenizer(path: str, remembered: int | None) -> WordIds:
     """One per worker process, kept between tasks."""
     kept = sys.modules.setdefault("fathomdoc_worker_tokenizers", types.ModuleType("fathomdoc_worker_tokenizers"))
-    if path not in kept.__dict__:
-        kept.__dict__[path] = WordIds(path)
-    return kept.__dict__[path]
+    key = f"{remembered} {path}"
+    if key not in kept.__dict__:
+        kept.__dict__[key] = WordIds(path, remembered)
+    return kept.__dict__[key]
 
 
-def _pieces(path: str, most: int):
+def _pieces(path: str, most: int, remembered: int | None):
     def cut(batches):
-        ids_of, end = _tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        ids_of, end = _tokenizer(path, remembered), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
@@ -103,17 +104,17 @@ def _pieces(path: str, most: int):
     return cut
 
 
-def pack(documents: DataFrame, tokenizer_path: str, most: int = MOST) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, most: int = MOST, remembered: int | None = None) -> DataFrame:
     """Pieces of all documents (doc_id, text): each has a power of two of tokens, fills a sequence alone and needs no
     padding, so no sequence crosses documents.
 
     A document is the ids of its text and then id 2; null and empty texts are that one id. ``bucket`` is the binary
     logarithm of the length; sequences of one bucket can be stacked into batches. Sequence ids are unique and do not
     depend on ids, so repeated rows and null ids are packed like others. Nothing is shuffled. ``most`` is a power of
-    two. Other columns are ignored.
+    two. ``remembered`` bounds the words whose ids a worker keeps. Other columns are ignored.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
     docs = columns_of(documents, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = docs.mapInArrow(_pieces(tokenizer_path, most), PIECES)
+    pieces = docs.mapInArrow(_pieces(tokenizer_path, most, remembered), PIECES)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
