@@ -1,5 +1,7 @@
 """Registered queries over documents, pages and files derived from them."""
 
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from fathomdoc.functions import payload as P, text as X
@@ -408,6 +410,36 @@ def keywords(spark, folder):
         "item_id", long(F.size(found)).alias("keywords"), long(F.size(F.array_distinct(found))).alias("different"))
 
 
+# Parts for each core in which many small files are written and read.
+PARTS_PER_CORE = 4
+
+
+def one_file_each(rows, folder):
+    """Writes the ``value`` of each row and a blank after it to a file of its own, named by ``doc_id`` and ``ending``;
+    rows that share both share the file. A task that runs again writes the same files. Spark's writer would make a folder
+    and several renames for each file."""
+    def write(part):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        made, name, out = set(), None, None
+        for doc_id, ending, value in part:
+            if name != (doc_id, ending):
+                if out:
+                    out.close()
+                name, at = (doc_id, ending), f"{root}/{ending}/{TaskContext.get().partitionId()}"
+                if at not in made:
+                    fs.create_dir(at, recursive=True)
+                    made.add(at)
+                out = fs.open_output_stream(f"{at}/doc_id={doc_id}.{ending}")
+            out.write(((value or "") + " ").encode())
+        if out:
+            out.close()
+
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    parts = PARTS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    rows.select("doc_id", "ending", "value").repartition(parts, "doc_id").sortWithinPartitions("ending", "doc_id").foreachPartition(write)
+
+
 def mixed_files(spark, folder):
     """The documents as files of several kinds: text, JSON objects, lists whose second item is no text, blank files,
     lists of numbers and files that are no JSON."""
@@ -416,11 +448,8 @@ def mixed_files(spark, folder):
     kind = F.col("doc_id") % 6
     body = (F.when(kind == 0, F.col("text")).when(kind == 1, text).when(kind == 2, F.concat(F.lit("["), text, F.lit(', {"content": 5}, "behind"]')))
             .when(kind == 3, " ").when(kind == 4, '{"chunks": [1, 2]}').otherwise(F.concat(F.lit("{"), "text")))
-    rows = documents(spark, folder).select("doc_id", body.alias("value"), kind.isin(0, 3).alias("plain"))
-    # One file for each document: a folder for each, named by its id.
-    for plain, ending in ((True, "txt"), (False, "json")):
-        some = rows.filter("plain" if plain else "NOT plain").select("doc_id", "value")
-        some.repartition(8, "doc_id").write.partitionBy("doc_id").option("lineSep", " ").format("text").save(f"{target}/{ending}")
+    ending = F.when(kind.isin(0, 3), "txt").otherwise("json")
+    one_file_each(documents(spark, folder).filter("doc_id IS NOT NULL").select("doc_id", ending.alias("ending"), body.alias("value")), target)
     return target
 
 
@@ -430,10 +459,9 @@ def mixed_files(spark, folder):
 def ingest_of_mixed_files(spark, folder):
     """How each file ends: as passages, or as a reject, or both."""
     mixed = mixed_files(spark, folder)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{mixed}/txt", f"{mixed}/json"])
-    # Spark names all text files .txt; the folder says what they are.
-    path = F.col("path")
-    files = files.withColumn("path", F.when(F.contains(path, F.lit("/json/doc_id")), F.regexp_replace(path, r"\.txt$", ".json")).otherwise(path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(mixed)
+    # Spark opens few small files in a task; the steps after would have a task for each of these.
+    files = files.coalesce(PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
     passages, rejects = jobs.passages_of(files, hashing_embedder, 0)
     ended = passages.select(F.col("source").alias("path"), F.lit("passages").alias("outcome")).distinct().unionByName(
         rejects.withColumnRenamed("reason", "outcome"))
