@@ -8,6 +8,8 @@ from fathomdoc.functions import fixed
 from fathomdoc.operators import sqltool as Q
 from fathomdoc.operators.embedding import hashing_embedder
 from fathomdoc.plans.answering import answer_questions
+from fathomdoc.plans import documents  # noqa: F401
+from fathomdoc.plans.registry import QUERIES
 from fathomdoc.sources.json_docs import json_documents
 from fathomdoc.streaming import jobs
 
@@ -94,3 +96,25 @@ def test_every_file_ends_and_is_extracted_once(spark, tmp_path):
                            ("/h.json", "content of an item is no text"), ("/i.odt", "no extractor"), ("/j.json", "not UTF-8"), ("/k.json", "no text")])
     # The checkpoint is made of one pass over the files, and both results of the checkpoint.
     assert counted.value <= 4
+
+
+def test_many_files_are_read_in_few_parts(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(1500)] + [(7, "again"), (6, None), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    parts = []
+
+    def passages_of(files, *rest):
+        parts.append(files.rdd.getNumPartitions())
+        return known(files, *rest)
+
+    known = jobs.passages_of
+    monkeypatch.setattr(jobs, "passages_of", passages_of)
+    found = {r.outcome: (r.files, r.ids) for r in QUERIES["j4_ingest_of_mixed_files"](spark, str(tmp_path)).collect()}
+    assert parts[0] <= 4 * spark.sparkContext.defaultParallelism
+
+    def of(*kinds):
+        ids = [i for i in range(1500) if i % 6 in kinds and i != 7]
+        return len(ids), sum(ids)
+
+    # Two rows share a file: a second value after the JSON of document 7 makes it no JSON.
+    assert found == {"passages": of(0, 1, 2), "content of an item is no text": of(2), "no text": of(3, 4), "invalid JSON": (of(5)[0] + 1, of(5)[1] + 7)}
