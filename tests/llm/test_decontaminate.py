@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathomdoc.llm import decontaminate as dec
@@ -156,3 +157,30 @@ def test_directions_come_from_every_document(spark, monkeypatch):
     fitted = dec.fit_space(docs, [terms], n, frequency).basis
     monkeypatch.setattr(dec, "PAIRED_TERMS", 0)
     assert np.allclose(np.abs(dec.fit_space(docs, [terms], n, frequency).basis[:, 0]), np.abs(fitted[:, 0]), atol=1e-2)
+
+
+def test_sums_of_pairs_leave_a_task_in_parts():
+    """Of 600 terms there are 180,300 pairs; no batch has more than a part of them, and together they are X'X."""
+    class Taken:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, fn, _):
+            self.fn = fn
+            raise StopIteration
+
+    words = [f"w{i}" for i in range(600)]
+    terms, taken = np.unique(dec._of_text(" ".join(words))), Taken()
+    with pytest.raises(StopIteration):
+        dec._paired_gram(taken, terms, np.ones(dec.BUCKETS))
+    random = np.random.default_rng(4)
+    texts = [" ".join(random.choice(words, 32)) for _ in range(3000)]
+    batches = list(taken.fn(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert max(b.num_rows for b in batches) <= 1 << 16
+    space = dec.Space(terms, np.zeros((0, 0)), np.ones(dec.BUCKETS))
+    x = np.zeros((len(texts), len(terms)))
+    for row, text in enumerate(texts):
+        np.add.at(x[row], space.term_of(dec._of_text(text)), 1 / np.sqrt(32))
+    half = np.triu(x.T @ x, 1) + np.diag(np.diag(x.T @ x)) / 2
+    same = np.concatenate([b.column(1).to_numpy() for b in batches])[1:].sum()
+    assert abs(same - half.sum()) < 1e-3 * half.sum()
