@@ -9,7 +9,7 @@ decide, by the item's answer. Verbatim items need no space: the heaviest five wo
 """
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ FIT_WINDOW = 32
 #: that leave a task at a time.
 PAIRED_TERMS, PAIRS_AT_ONCE = 4096, 1 << 16
 LEAST_COSINE, LEAST_WORDS = 0.5, 5
+#: Leading bits of a hash by which terms and seeds are looked up; windows that are projected at a time.
+FIRST_BITS, WINDOWS_AT_ONCE = 16, 2048
 #: A window's projection on the direction of an item is at least this share of the item's own length there.
 LEAST_HELD = 0.5
 #: Share of an item's words found in order: enough alone, or enough with this share of its answer.
@@ -73,6 +75,10 @@ def window_of(length: int) -> int:
     return power * 3 // 4 if power > 8 and length <= power * 3 // 4 else power
 
 
+def _first_bits(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - FIRST_BITS)).astype(np.int64)
+
+
 def runs_of(h: np.ndarray, width: int = LEAST_WORDS) -> np.ndarray:
     """A hash of the ``width`` words from each word on, where there are as many."""
     whole = np.zeros(max(0, len(h) - width + 1), np.uint64)
@@ -90,8 +96,17 @@ class Space:
     idf: np.ndarray
 
     def term_of(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[at] == h, at, -1)
+        """Number of the term of each hash, -1 without one: compared with the terms that begin with the same bits."""
+        count = np.bincount(_first_bits(self.terms), minlength=1 << FIRST_BITS)
+        bits, begin = _first_bits(h), np.cumsum(count) - count
+        at = np.minimum(begin[bits], len(self.terms) - 1)
+        out = np.where(self.terms[at] == h, at, -1)
+        for more in range(1, int(count.max())):
+            rest = np.flatnonzero(count[bits] > more)
+            at = begin[bits[rest]] + more
+            met = self.terms[at] == h[rest]
+            out[rest[met]] = at[met]
+        return out
 
 
 def document_frequencies(documents: DataFrame) -> tuple[int, np.ndarray]:
@@ -102,8 +117,11 @@ def document_frequencies(documents: DataFrame) -> tuple[int, np.ndarray]:
         for batch in batches:
             for part, data, offsets in slices(batch, lower=True, size=SMALL_SLICE_BYTES):
                 row, h = _words(data, offsets)
-                pairs = np.unique(row * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64))
-                seen += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+                # 32 bits hold the pairs of a slice, unless it has very many short texts.
+                kind = np.uint32 if part.num_rows * BUCKETS <= 1 << 32 else np.int64
+                pairs = np.sort(row.astype(kind) * kind(BUCKETS) + (h % np.uint64(BUCKETS)).astype(kind))
+                pairs = np.r_[pairs[:1], pairs[1:][pairs[1:] != pairs[:-1]]]
+                seen += np.bincount(pairs % kind(BUCKETS), minlength=BUCKETS)
                 total += part.num_rows
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used]), pa.array(np.r_[total, seen[used]])], ["bucket", "n"])
@@ -242,6 +260,9 @@ class Searcher:
         self.by_size = [(int(s), np.flatnonzero(sizes == s), vectors[sizes == s], norms[sizes == s]) for s in np.unique(sizes)]
         self.rare = [[self._rarest(items, share) for share in RAREST] for _, items, *_ in self.by_size]
         self._seed()
+        # Tasks need the directions with the weights of the terms only, and a row of zeros for other words.
+        self.weighted = np.r_[space.basis * self._weight(space.terms)[:, None], np.zeros((1, space.basis.shape[1]))].astype(np.float32)
+        self.space = replace(space, basis=space.basis[:0])
 
     def _rarest(self, items: np.ndarray, share: float) -> tuple[np.ndarray, int]:
         """Marks of terms (the last one for other words), of which a window must hold the returned number, else it holds
@@ -270,12 +291,13 @@ class Searcher:
     def _verbatim(self, h: np.ndarray, first: np.ndarray, stop: np.ndarray):
         """(first word, item) of every place where the words are those of an item."""
         runs = runs_of(h)
-        low = np.searchsorted(self.seeds, runs)
-        met = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == runs)
-        high = np.searchsorted(self.seeds, runs[met], "right")
-        count = high - low[met]
+        begun = np.zeros(1 << FIRST_BITS, bool)
+        begun[_first_bits(self.seeds)] = True
+        met = np.flatnonzero(begun[_first_bits(runs)])
+        low, high = (np.searchsorted(self.seeds, runs[met], side) for side in ("left", "right"))
+        count = high - low
         at = np.repeat(met, count)
-        seed = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[met], count)
+        seed = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         item, start = self.seeded[seed], at - self.seed_place[seed]
         end = start + self.lengths[item]
         inside = (start >= first[at]) & (end <= stop[at])
@@ -289,22 +311,22 @@ class Searcher:
         weight = self._weight(h)
         return (self.space.basis[self.space.term_of(h)] * weight[:, None]).sum(0)
 
-    def _windows(self, block, begin, end, step, term, weight) -> tuple[np.ndarray, np.ndarray]:
+    def _windows(self, block, begin, end, step, term) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors and lengths of windows that are runs of blocks; each block is projected once."""
         used = np.zeros(len(block), np.int64)
         np.add.at(used, begin, 1)
         np.add.at(used, end, -1)
         used = np.flatnonzero(np.cumsum(used) > 0)
-        word = block[used][:, None] + np.arange(step)
-        inside = word < block[used + 1][:, None]
-        word = np.where(inside, word, 0)
-        value = np.where(inside & (term[word] >= 0), weight[word], 0)
-        vectors = np.matmul(value[:, None, :], self.space.basis[term[word]])[:, 0]
+        # One row more than there are blocks: of zeros, for windows with fewer blocks. So is the last row of the terms.
+        vectors = np.zeros((len(used) + 1, self.weighted.shape[1]), np.float32)
+        first, length = block[used], block[used + 1] - block[used]
+        for k in range(step):
+            word = np.where(length > k, term[np.minimum(first + k, len(term) - 1)], -1)
+            vectors[:-1] += self.weighted[word]
         place, length = np.searchsorted(used, begin), end - begin
         out = vectors[place]
         for k in range(1, int(length.max())):
-            more = length > k
-            out[more] += vectors[place[more] + k]
+            out += vectors[np.where(length > k, place + k, -1)]
         norm = np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
         return out / norm, norm
 
@@ -313,30 +335,34 @@ class Searcher:
         row, h = _words(data, offsets)
         if not len(h):
             return []
-        weight = self._weight(h).astype(np.float32)
         term = self.space.term_of(h)
         n_words = np.bincount(row, minlength=len(offsets) - 1)
-        first = (np.cumsum(n_words) - n_words)[row]
-        stop, place = first + n_words[row], np.arange(len(h)) - first
+        begins = np.cumsum(n_words) - n_words
+        first = begins[row]
+        stop = first + n_words[row]
         best: dict[tuple[int, int], tuple] = {}
         for start, item in self._verbatim(h, first, stop):
             pair = (1.0, 1.0, 1.0, -int(start - first[start]))
             best[int(row[start]), item] = max(best.get((int(row[start]), item), pair), pair)
+        held = np.zeros(len(h) + 1, np.int32)
         for (size, items, vectors, norms), rare in zip(self.by_size, self.rare):
             step = max(1, size // 8)
             # Blocks of `step` words; a window is a run of blocks of one document, and starts at each of them.
-            block = np.append(np.flatnonzero(place % step == 0), len(h))
-            last = np.searchsorted(block, stop[block[:-1]])
-            begin = np.flatnonzero(place[block[:-1]] < np.maximum(n_words[row[block[:-1]]] - size + step, 1))
-            end = np.minimum(begin + -(-size // step), last[begin])
+            blocks = -(-n_words // step)
+            after, text = np.cumsum(blocks), np.repeat(np.arange(len(blocks)), blocks)
+            place = (np.arange(len(text)) - (after - blocks)[text]) * step
+            block = np.append(begins[text] + place, len(h))
+            begin = np.flatnonzero(place < np.maximum(n_words - size + step, 1)[text])
+            end = np.minimum(begin + -(-size // step), after[text[begin]])
             for marks, least in rare:
-                held, start = np.r_[0, np.cumsum(marks[term], dtype=np.int32)], block[begin]
+                np.cumsum(marks.astype(np.int32)[term], out=held[1:])
+                start = block[begin]
                 low, high = np.maximum(first[start], start - step), np.minimum(stop[start], block[end] + step)
                 kept = held[high] - held[low] >= least
                 begin, end = begin[kept], end[kept]
-            for at in range(0, len(begin), 8192):
-                b, e = begin[at : at + 8192], end[at : at + 8192]
-                units, long = self._windows(block, b, e, step, term, weight)
+            for at in range(0, len(begin), WINDOWS_AT_ONCE):
+                b, e = begin[at : at + WINDOWS_AT_ONCE], end[at : at + WINDOWS_AT_ONCE]
+                units, long = self._windows(block, b, e, step, term)
                 near = units @ vectors.T
                 for i, j in zip(*np.nonzero((near >= LEAST_COSINE) & (near * long >= LEAST_HELD * norms))):
                     start, item = int(block[b[i]]), int(items[j])
@@ -344,11 +370,11 @@ class Searcher:
                     if best.get((r, item), (0,))[0] == 1:
                         continue
                     low, high = max(int(first[start]), start - step), min(int(stop[start]), int(block[e[i]]) + step)
-                    text, pattern, answer = h[low:high], self.words[item], self.answers[item]
-                    lcs = lcs_length(pattern, text) / len(pattern)
+                    words, pattern, answer = h[low:high], self.words[item], self.answers[item]
+                    lcs = lcs_length(pattern, words) / len(pattern)
                     if lcs < LEAST_LCS:
                         continue
-                    found = lcs_length(answer, text) / len(answer)
+                    found = lcs_length(answer, words) / len(answer)
                     if lcs >= SURE_LCS or found >= LEAST_ANSWER:
                         pair = (lcs, round(float(near[i, j]), 4), found, -int(start - first[start]))
                         best[r, item] = max(best.get((r, item), pair), pair)

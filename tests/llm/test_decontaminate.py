@@ -1,10 +1,11 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from fathomdoc.llm import decontaminate as dec
+from fathomdoc.llm import common, decontaminate as dec
 
 FOLDER = "/root/testdata/sf0.01"
 ITEM = "Which river flows past the old harbour town before it meets the northern sea? The silver Ambra"
@@ -184,3 +185,47 @@ def test_sums_of_pairs_leave_a_task_in_parts():
     half = np.triu(x.T @ x, 1) + np.diag(np.diag(x.T @ x)) / 2
     same = np.concatenate([b.column(1).to_numpy() for b in batches])[1:].sum()
     assert abs(same - half.sum()) < 1e-3 * half.sum()
+
+
+def test_words_are_hashed_in_stretches(monkeypatch):
+    """Hashes are those of the plain polynomial wherever a stretch ends, and cost no arrays of many numbers for each byte."""
+    random = np.random.default_rng(8)
+    text = " ".join(random.choice(["A", "bc", "Déf", "x" * 100, "word"], 3000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    _, start, end = common.word_spans(data, np.array([0, len(data)]))
+    power = np.cumprod(np.full(100, common._BASE))
+    plain = common.mix(np.array([(common._FOLDED[data[a:b]] * power[: b - a]).sum() for a, b in zip(start, end)], np.uint64))
+    for stretch in (16, 100, 101, 1 << 15):
+        monkeypatch.setattr(common, "HASHED_BYTES", stretch)
+        assert (common.word_hashes(data, start, end) == plain).all()
+    data = np.tile(data, 40)
+    _, start, end = common.word_spans(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    common.word_hashes(data, start, end)
+    assert tracemalloc.get_traced_memory()[1] < 16 * len(data)
+    tracemalloc.stop()
+
+
+def test_windows_are_sums_of_weighted_directions():
+    """A slice of many windows is projected without a copy of the directions for each word of each window."""
+    random = np.random.default_rng(9)
+    names = np.array([f"w{i}" for i in range(300)])
+    items = [dec._of_text(" ".join(random.choice(names, 48))) for _ in range(20)]
+    terms = np.unique(np.concatenate(items))
+    space = dec.Space(terms, random.normal(size=(len(terms), 96)).astype(np.float32), random.random(dec.BUCKETS) + 0.5)
+    searcher = dec.Searcher(space, list(range(20)), items, [w[-5:] for w in items])
+    h = dec._of_text(" ".join(np.where(random.random(20_000) < 0.7, random.choice(names, 20_000), "unknown")))
+    term = searcher.space.term_of(h)
+    assert (np.where(term >= 0, terms[term], h) == h).all() and ((term >= 0) == np.isin(h, terms)).all()
+    block = np.append(np.arange(0, len(h), 6), len(h))
+    begin = np.arange(0, len(block) - 1, 3)
+    end = np.minimum(begin + 8, len(block) - 1)
+    tracemalloc.start()
+    units, long = searcher._windows(block, begin, end, 6, term)
+    assert tracemalloc.get_traced_memory()[1] < 4 * 96 * 4 * len(block)
+    tracemalloc.stop()
+    for i in (0, 7, 500, len(begin) - 1):
+        words = h[block[begin[i]] : block[end[i]]]
+        known = words[np.isin(words, terms)]
+        plain = (space.basis[np.searchsorted(terms, known)] * space.idf[(known % np.uint64(dec.BUCKETS)).astype(int)][:, None]).sum(0)
+        assert np.allclose(units[i] * long[i], plain, atol=1e-3)
