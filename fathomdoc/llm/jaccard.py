@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomdoc.llm.common import SMALL_SLICE_BYTES, Sent, columns_of, mix, share_below, shingles, slices, word_hashes, word_spans, written
 from fathomdoc.llm.components import components
+from fathomdoc.operators.late import late_join
 
 CELLS = 256
 #: Documents from which the order of the shingles is taken, and words and frequent shingles that it knows. The order
@@ -317,6 +318,9 @@ class _Join:
 
     def run(self) -> DataFrame:
         member = self.nodes.select("node", "doc_id", "n", F.explode("anchors").alias("region"))
+        # Nearly all regions have one document and end here: of these, eight bytes are shuffled to count them.
+        several = member.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1").select("region")
+        member = written(late_join(member, several, "region"), "members")
         rows = written(member.join(self._pivots(member), "region"), "regions")
         for round_ in range(ROUNDS):
             pairs = rows.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()

@@ -5,6 +5,7 @@ import pytest
 
 from fathomdoc.llm import jaccard
 from fathomdoc.llm.components import components
+from fathomdoc.operators import late
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -112,3 +113,16 @@ def test_one_of_each_of_repeated_ids_null_ids_and_clashing_names(spark):
     assert docs.columns == jaccard.one_of_each(docs).columns
     found = sorted(((r.doc_id, r.text) for r in kept), key=str)
     assert found == sorted([(1, text), (2, other), (3, other + " too"), (None, "alone and without a number at all"), (None, None), (4, "")], key=str)
+
+
+@pytest.mark.parametrize("sent", [400_000, 0])
+def test_regions_of_one_document_get_no_pivot(spark, monkeypatch, sent):
+    """Only rows of regions with several documents are dealt out with their ids, whether the regions are sent or a bitmap."""
+    monkeypatch.setattr(late, "SENT_ROWS", sent)
+    seen, pivots = [], jaccard._Join._pivots
+    monkeypatch.setattr(jaccard._Join, "_pivots", staticmethod(lambda member: seen.append(member) or pivots(member)))
+    rows = rows_of(5) + [(1000 + i, " ".join(f"own{i}x{j}" for j in range(50))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = jaccard.similar_documents(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows)
+    assert seen[0].groupBy("region").count().filter("count = 1").isEmpty() and not seen[0].isEmpty()
