@@ -410,8 +410,8 @@ def keywords(spark, folder):
         "item_id", long(F.size(found)).alias("keywords"), long(F.size(F.array_distinct(found))).alias("different"))
 
 
-# Parts for each core in which many small files are written and read.
-PARTS_PER_CORE = 4
+# Files in a folder, which a task that lists it holds.
+FILES_PER_FOLDER = 1000
 
 
 def one_file_each(rows, folder):
@@ -420,15 +420,16 @@ def one_file_each(rows, folder):
     and several renames for each file."""
     def write(part):
         fs, root = pafs.FileSystem.from_uri(folder)
-        made, name, out = set(), None, None
+        made, name, out, number = None, None, None, 0
         for doc_id, ending, value in part:
             if name != (doc_id, ending):
                 if out:
                     out.close()
-                name, at = (doc_id, ending), f"{root}/{ending}/{TaskContext.get().partitionId()}"
-                if at not in made:
+                name, at = (doc_id, ending), f"{root}/{ending}/{TaskContext.get().partitionId()}/{number // FILES_PER_FOLDER}"
+                number += 1
+                if at != made:
                     fs.create_dir(at, recursive=True)
-                    made.add(at)
+                    made = at
                 out = fs.open_output_stream(f"{at}/doc_id={doc_id}.{ending}")
             out.write(((value or "") + " ").encode())
         if out:
@@ -436,7 +437,7 @@ def one_file_each(rows, folder):
 
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    parts = PARTS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    parts = FS.PARTS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
     rows.select("doc_id", "ending", "value").repartition(parts, "doc_id").sortWithinPartitions("ending", "doc_id").foreachPartition(write)
 
 
@@ -458,11 +459,8 @@ def mixed_files(spark, folder):
     WHEN 3 THEN ['no text'] WHEN 4 THEN ['no text'] ELSE ['invalid JSON'] END) AS outcome FROM documents) GROUP BY outcome""")
 def ingest_of_mixed_files(spark, folder):
     """How each file ends: as passages, or as a reject, or both."""
-    mixed = mixed_files(spark, folder)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(mixed)
-    # Spark opens few small files in a task; the steps after would have a task for each of these.
-    files = files.coalesce(PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
-    passages, rejects = jobs.passages_of(files, hashing_embedder, 0)
+    files, opened = FS.list_files(spark, mixed_files(spark, folder))
+    passages, rejects = jobs.passages_of(files, hashing_embedder, 0, jobs.EXTRACTORS, opened)
     ended = passages.select(F.col("source").alias("path"), F.lit("passages").alias("outcome")).distinct().unionByName(
         rejects.withColumnRenamed("reason", "outcome"))
     doc_id = F.regexp_extract("path", r"doc_id=(-?\d+)", 1).cast("bigint")

@@ -10,13 +10,23 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathomdoc.functions import fixed, text as X
+from fathomdoc.operators.skew import union_all
 from fathomdoc.schemas import EXTRACTED, READ
+from fathomdoc.session import written
 
 # bytes of one file -> list of (text, page or None, extra metadata)
 Extractor = Callable[[bytes], list[tuple[str, int | None, dict[str, str]]]]
+# path of a file -> its bytes
+Opener = Callable[[str], bytes]
+# Parts for each core in which many small files are listed, read or written.
+PARTS_PER_CORE = 4
+# What leaves a worker together: names of a listing, and rows and characters of files that were read.
+NAMES_AT_ONCE, ROWS_AT_ONCE, CHARACTERS_AT_ONCE = 10_000, 1000, 1 << 22
 
 
 def plain_path(uri: Column) -> Column:
@@ -37,6 +47,59 @@ def scan_files(spark: SparkSession, path: str, extensions: list[str] | None = No
     )
 
 
+class Folder:
+    """A folder that tasks list and read by Arrow's file systems; each process opens it for itself. Paths are as those of
+    ``plain_path``."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
+        self.system, root = pafs.FileSystem.from_uri(uri)
+        self.root = root.rstrip("/")
+        self.shown = self.root if isinstance(self.system, pafs.LocalFileSystem) else uri.rstrip("/")
+
+    def __reduce__(self):
+        return Folder, (self.uri,)
+
+    def children(self, name: str) -> list[tuple[str, int | None, bool]]:
+        """(name, length, whether it is a folder) of what is in the folder ``name`` below this one; names as Spark's readers
+        take them."""
+        found = self.system.get_file_info(pafs.FileSelector(f"{self.root}/{name}".rstrip("/")))
+        return [(f"{name}/{f.base_name}".lstrip("/"), f.size, f.type == pafs.FileType.Directory) for f in found
+                if f.type in (pafs.FileType.Directory, pafs.FileType.File)
+                and not f.base_name.startswith(".") and (not f.base_name.startswith("_") or "=" in f.base_name)]
+
+    def read(self, path: str) -> bytes:
+        with self.system.open_input_stream(self.root + path.removeprefix(self.shown)) as file:
+            return file.read()
+
+
+def list_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Opener]:
+    """path and length of every file below ``folder``, in parts for each core, and what reads one of them in a task.
+
+    For more files than the driver can hold, as Spark's own readers list all of them there and send their names with the
+    tasks. Here each round lists the folders that the round before found, in tasks, and writes what it finds; a task
+    holds the names of one folder at a time. A missing folder is an error at once.
+    """
+    below, parts = Folder(folder), PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                found = below.children(name)
+                for at in range(0, len(found), NAMES_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*found[at:at + NAMES_AT_ONCE]), (pa.string(), pa.int64(), pa.bool_()))],
+                        ["name", "length", "is_folder"])
+
+    folders, files = spark.createDataFrame([("",)], "name string"), []
+    while not files or not folders.isEmpty():
+        found = written(folders.mapInArrow(run, "name string, length long, is_folder boolean"), "listed")
+        files.append(found.filter("NOT is_folder"))
+        folders = found.filter("is_folder").select("name").repartition(parts)
+    path = F.concat(F.lit(f"{below.shown}/"), "name")
+    return union_all(files).select(path.alias("path"), "length").repartition(parts), below.read
+
+
 def decoded_files(files: DataFrame) -> DataFrame:
     """Binary files as path, length, body; body is null where the bytes are not UTF-8."""
     return files.select("path", "length", F.try_validate_utf8(F.col("content").cast("string")).alias("body"))
@@ -82,37 +145,58 @@ def docx_text(content: bytes) -> list[tuple[str, int | None, dict[str, str]]]:
     return [("\n\n".join(paragraphs), None, {})]
 
 
-def read_files(files: DataFrame, extractors: dict[str, Extractor], max_json_bytes: int) -> DataFrame:
+def read_files(files: DataFrame, extractors: dict[str, Extractor], max_json_bytes: int, opened: Opener | None = None) -> DataFrame:
     """What is in files (path, length, content), in one pass: a row with ``body`` for each text and JSON file, a row
     with text, page and extra for each document that an extractor finds, and a row with ``reason`` for each file that
-    cannot be read. Every file gives a row at least."""
+    cannot be read. Every file gives a row at least.
+
+    With ``opened`` the files need no content: it gives the bytes of a path, one file at a time, if they are wanted.
+    """
+
+    def rows_of(path: str, ending: str, length: int, content: bytes | None) -> list[tuple]:
+        body = reason = None
+        if ending not in extractors and ending not in (".txt", ".json"):
+            reason = "no extractor"
+        elif ending not in extractors and ending == ".json" and length > max_json_bytes:
+            reason = "too large"
+        else:
+            content = bytes(content) if opened is None else opened(path)
+            if ending in extractors:
+                try:
+                    rows = [(path, ending, length, None, text, page, {k: str(v) for k, v in extra.items()}, None)
+                            for text, page, extra in extractors[ending](content)]
+                    if rows:
+                        return rows
+                    reason = "no text"
+                except Exception as error:  # any reader, any file
+                    reason = f"{type(error).__name__}: {error}"
+            else:
+                try:
+                    body = content.decode()
+                except UnicodeDecodeError:
+                    reason = "not UTF-8"
+        return [(path, ending, length, body, None, None, None, reason)]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=READ.names)
+        out["page"] = out["page"].astype("Int32")
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for path, ending, length, content in batch.itertuples(index=False):
-                body = reason = None
-                rows: list[tuple] = []
-                if ending in extractors:
-                    try:
-                        rows = [(path, ending, length, None, text, page, {k: str(v) for k, v in extra.items()}, None)
-                                for text, page, extra in extractors[ending](bytes(content))]
-                        reason = None if rows else "no text"
-                    except Exception as error:  # any reader, any file
-                        reason = f"{type(error).__name__}: {error}"
-                elif ending not in (".txt", ".json"):
-                    reason = "no extractor"
-                elif ending == ".json" and length > max_json_bytes:
-                    reason = "too large"
-                else:
-                    try:
-                        body = bytes(content).decode()
-                    except UnicodeDecodeError:
-                        reason = "not UTF-8"
-                out = pd.DataFrame(rows or [(path, ending, length, body, None, None, None, reason)], columns=READ.names)
-                out["page"] = out["page"].astype("Int32")
-                yield out
-
-    return files.select("path", X.suffix(F.col("path")).alias("ending"), "length", "content").mapInPandas(run, READ)
+                rows = rows_of(path, ending, length, content)
+                held += rows
+                size += sum(len(r[3] or r[4] or "") for r in rows)
+                if len(held) >= ROWS_AT_ONCE or size >= CHARACTERS_AT_ONCE:
+                    yield frame(held)
+                    held, size = [], 0
+        if held:
+            yield frame(held)
+
+    content = F.col("content") if opened is None else F.lit(None).cast("binary").alias("content")
+    return files.select("path", X.suffix(F.col("path")).alias("ending"), "length", content).mapInPandas(run, READ)
 
 
 def extract_documents(files: DataFrame, extractors: dict[str, Extractor]) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ from fathomdoc.operators.embedding import EmbedFn, embed, hashing_embedder
 from fathomdoc.operators.skew import union_all
 from fathomdoc.session import cut_lineage
 from fathomdoc.sources.collection import append_collection, assign_ids
-from fathomdoc.sources.files import Extractor, docx_text, plain_path, read_files
+from fathomdoc.sources.files import Extractor, Opener, docx_text, plain_path, read_files
 from fathomdoc.sources.json_docs import documents_by_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,13 +29,14 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def passages_of(files: DataFrame, fn: EmbedFn, batch_ms: int,
-                extractors: dict[str, Extractor] = EXTRACTORS) -> tuple[DataFrame, DataFrame]:
-    """Binary files to passages with ids and embeddings, and the files that gave none or not all: (path, reason).
+                extractors: dict[str, Extractor] = EXTRACTORS, opened: Opener | None = None) -> tuple[DataFrame, DataFrame]:
+    """Binary files to passages with ids and embeddings, and the files that gave none or not all: (path, reason). With
+    ``opened``, as ``list_files`` gives it, the files have no content yet.
 
     Files are read and extracted once, into a checkpoint that passages and rejects are both made of, so a file cannot
     end as both or as neither if an extractor answers differently when asked again.
     """
-    read = cut_lineage(read_files(files, extractors, DEFAULTS.max_json_bytes))
+    read = cut_lineage(read_files(files, extractors, DEFAULTS.max_json_bytes, opened))
     path = F.col("path")
     known = {"source": path, "file_type": F.ltrim(F.col("ending"), F.lit(".")), "file_name": X.base_name(path)}
     texts = read.filter("ending = '.txt' AND body IS NOT NULL").select("path", F.col("body").alias("text"), *[c.alias(n) for n, c in known.items()])

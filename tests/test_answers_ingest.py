@@ -10,6 +10,7 @@ from fathomdoc.operators.embedding import hashing_embedder
 from fathomdoc.plans.answering import answer_questions
 from fathomdoc.plans import documents  # noqa: F401
 from fathomdoc.plans.registry import QUERIES
+from fathomdoc.sources.files import list_files, read_files
 from fathomdoc.sources.json_docs import json_documents
 from fathomdoc.streaming import jobs
 
@@ -118,3 +119,51 @@ def test_many_files_are_read_in_few_parts(spark, tmp_path, monkeypatch):
 
     # Two rows share a file: a second value after the JSON of document 7 makes it no JSON.
     assert found == {"passages": of(0, 1, 2), "content of an item is no text": of(2), "no text": of(3, 4), "invalid JSON": (of(5)[0] + 1, of(5)[1] + 7)}
+
+
+def test_the_driver_holds_no_names_of_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    listed = []
+
+    def passages_of(files, *rest):
+        listed.extend(files.inputFiles())
+        return known(files, *rest)
+
+    known = jobs.passages_of
+    monkeypatch.setattr(jobs, "passages_of", passages_of)
+    found = {r.outcome: r.files for r in QUERIES["j4_ingest_of_mixed_files"](spark, str(tmp_path)).collect()}
+    assert found == {"passages": 30, "content of an item is no text": 10, "no text": 20, "invalid JSON": 10}
+    assert listed and not [name for name in listed if "doc_id" in name]
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path, scheme):
+    contents = {"a.txt": b"one", "b b/c%20+.json": b'"two"', "b b/d/e/f.TXT": b"", "b b/d/_k=1/g.odt": b"?", "b b/d/big.json": b" " * 30,
+                "_hidden/h.txt": b"no", ".i.txt": b"no", "b b/_j.txt": b"no"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "empty").mkdir()
+    files, opened = list_files(spark, f"{scheme}{tmp_path}")
+    seen = {n: c for n, c in contents.items() if not n.startswith(("_", ".")) and "/_j" not in n}
+    assert sorted(map(tuple, files.select("path", "length").collect())) == sorted((f"{tmp_path}/{n}", len(c)) for n, c in seen.items())
+    assert opened(f"{tmp_path}/b b/c%20+.json") == b'"two"'
+    wanted = spark.sparkContext.accumulator(0)
+
+    def counted(path):
+        wanted.add(1)
+        return opened(path)
+
+    read = {r.path.removeprefix(f"{tmp_path}/"): (r.body, r.reason) for r in read_files(files, {}, 20, counted).collect()}
+    assert read == {"a.txt": ("one", None), "b b/c%20+.json": ('"two"', None), "b b/d/e/f.TXT": ("", None),
+                    "b b/d/_k=1/g.odt": (None, "no extractor"), "b b/d/big.json": (None, "too large")}
+    assert wanted.value == 3
+    with pytest.raises(Exception, match="nowhere"):
+        list_files(spark, f"{scheme}{tmp_path}/nowhere")
+
+
+def test_files_of_a_task_leave_in_several_batches(spark):
+    texts = [f"text {i}" * (200_000 if i % 1000 == 7 else 1) for i in range(2500)]
+    rows = [(f"/{i}.txt", None, len(t), bytearray(t.encode())) for i, t in enumerate(texts)]
+    read = read_files(spark.createDataFrame(rows, jobs.FILES).coalesce(1), {}, 1 << 30).collect()
+    assert sorted((r.path, r.body) for r in read) == sorted((f"/{i}.txt", t) for i, t in enumerate(texts))
