@@ -2,7 +2,7 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathomdoc.config import DEFAULTS
@@ -10,6 +10,8 @@ from fathomdoc.session import once
 
 # Paragraph, line, word, character.
 SEPARATORS = ("\n\n", "\n", " ", "")
+# Texts whose passages a worker holds and sends together, out of the many of a batch.
+TEXTS_AT_ONCE = 256
 
 
 def fixed_windows(df: DataFrame, text: str, size: int = DEFAULTS.chunk_size,
@@ -74,10 +76,12 @@ def recursive_chunks(df: DataFrame, text: str, size: int = DEFAULTS.chunk_size,
                      separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """Adds chunk_no and chunk_text, one row per passage; texts without passages give no row."""
 
-    @F.pandas_udf("array<string>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda t: split_text(t, size, overlap, separators) if t else [])
+            for start in range(0, len(batch), TEXTS_AT_ONCE):
+                texts = batch.slice(start, TEXTS_AT_ONCE).to_pylist()
+                yield pa.array([split_text(t, size, overlap, separators) if t else [] for t in texts], pa.list_(pa.string()))
 
     return df.select("*", F.posexplode(split(text)).alias("chunk_no", "chunk_text"))
 
