@@ -25,6 +25,8 @@ Extractor = Callable[[bytes], list[tuple[str, int | None, dict[str, str]]]]
 Opener = Callable[[str], bytes]
 # Parts for each core in which many small files are listed, read or written.
 PARTS_PER_CORE = 4
+# Files and bytes in a part of a large listing: what is read from a part is later sent to workers in batches of many rows.
+FILES_PER_PART, BYTES_PER_PART = 10_000, 1 << 26
 # What leaves a worker together: names of a listing, and rows and characters of files that were read.
 NAMES_AT_ONCE, ROWS_AT_ONCE, CHARACTERS_AT_ONCE = 10_000, 1000, 1 << 22
 
@@ -74,7 +76,8 @@ class Folder:
 
 
 def list_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Opener]:
-    """path and length of every file below ``folder``, in parts for each core, and what reads one of them in a task.
+    """path and length of every file below ``folder``, dealt out in parts for each core, or more if these would be large, and
+    what reads one of them in a task.
 
     For more files than the driver can hold, as Spark's own readers list all of them there and send their names with the
     tasks. Here each round lists the folders that the round before found, in tasks, and writes what it finds; a task
@@ -97,7 +100,9 @@ def list_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Opener]:
         files.append(found.filter("NOT is_folder"))
         folders = found.filter("is_folder").select("name").repartition(parts)
     path = F.concat(F.lit(f"{below.shown}/"), "name")
-    return union_all(files).select(path.alias("path"), "length").repartition(parts), below.read
+    listed = union_all(files).select(path.alias("path"), "length")
+    count, size = listed.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
+    return listed.repartition(max(parts, -(-count // FILES_PER_PART), -(-size // BYTES_PER_PART))), below.read
 
 
 def decoded_files(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from fathomdoc.operators.embedding import hashing_embedder
 from fathomdoc.plans.answering import answer_questions
 from fathomdoc.plans import documents  # noqa: F401
 from fathomdoc.plans.registry import QUERIES
-from fathomdoc.sources.files import list_files, read_files
+from fathomdoc.sources.files import PARTS_PER_CORE, list_files, read_files
 from fathomdoc.sources.json_docs import json_documents
 from fathomdoc.streaming import jobs
 
@@ -167,3 +167,15 @@ def test_files_of_a_task_leave_in_several_batches(spark):
     rows = [(f"/{i}.txt", None, len(t), bytearray(t.encode())) for i, t in enumerate(texts)]
     read = read_files(spark.createDataFrame(rows, jobs.FILES).coalesce(1), {}, 1 << 30).collect()
     assert sorted((r.path, r.body) for r in read) == sorted((f"/{i}.txt", t) for i, t in enumerate(texts))
+
+
+def test_parts_of_a_listing_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    for i in range(200):
+        (tmp_path / f"{i}.txt").write_text("x" * 10)
+    few = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert list_files(spark, str(tmp_path))[0].rdd.getNumPartitions() == few
+    monkeypatch.setattr("fathomdoc.sources.files.FILES_PER_PART", 2)
+    assert list_files(spark, str(tmp_path))[0].rdd.getNumPartitions() == 100
+    monkeypatch.setattr("fathomdoc.sources.files.BYTES_PER_PART", 15)
+    files, _ = list_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 134 and files.distinct().count() == 200
